@@ -31,7 +31,9 @@ def order_statistics(
     names = list(ranks)
     margin = 5.0 / ACCURACY
     points = [
-        p for name in names for p in (max(0.0, ranks[name][0] - margin), min(1.0, ranks[name][0] + margin))
+        p
+        for name in names
+        for p in (max(0.0, ranks[name][0] - margin), min(1.0, ranks[name][0] + margin))
     ]
     sketch = rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
@@ -47,19 +49,20 @@ def order_statistics(
             F.when(whole, F.col("_max")).otherwise(F.col("_q")[2 * i + 1]).alias(f"_hi{i}")
         )
     limits = sketch.select(*keys, *bounds)
+    weighted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_w"))
     inside = F.lit(False)
     for i, _ in enumerate(names):
         inside = inside | F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
-    joined = lookup(rows, limits, keys, how="inner")
+    joined = lookup(weighted, limits, keys, how="inner")
     counted = (
         joined.withColumn("_c", F.when(inside, F.col("_v")))
         .groupBy(*keys, "_c")
         .agg(
-            F.count("*").alias("_m"),
+            F.sum("_w").alias("_m"),
             F.first("n").alias("n"),
             *[F.first(f"_lo{i}").alias(f"_lo{i}") for i, _ in enumerate(names)],
             *[
-                F.sum(F.when(F.col("_v") < F.col(f"_lo{i}"), 1).otherwise(0)).alias(f"_below{i}")
+                F.sum(F.when(F.col("_v") < F.col(f"_lo{i}"), F.col("_w")).otherwise(0)).alias(f"_below{i}")
                 for i, _ in enumerate(names)
             ],
         )
