@@ -4,9 +4,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatelens.functions.scalars import escape_token, is_prefix
+from gatelens.functions.scalars import escape_token
 
 DEPTH = 4
+CHILDREN = "array<struct<key:string,value:variant>>"
 
 
 def _children(value: Column) -> Column:
@@ -34,22 +35,28 @@ def leaf_array(args: Column, *, depth: int = DEPTH) -> Column:
             F.concat(F.lit("/"), e["key"]).alias("pointer"), e["value"].alias("value")
         ),
     )
-    for _ in range(depth - 1):
-        found = F.flatten(
-            F.transform(
-                found,
-                lambda n: F.when(
-                    F.size(_children(n["value"])) > 0,
-                    F.transform(
-                        _children(n["value"]),
-                        lambda e: F.struct(
-                            F.concat(n["pointer"], F.lit("/"), e["key"]).alias("pointer"),
-                            e["value"].alias("value"),
-                        ),
-                    ),
-                ).otherwise(F.array(n)),
-            )
+    return open_leaves(found, depth - 1)
+
+
+def open_leaves(found: Column, levels: int) -> Column:
+    """Replace containers in an array of (pointer, value) by their children, ``levels`` times."""
+
+    def opened(node: Column) -> Column:
+        itself = F.array(
+            F.struct(F.lit(None).cast("string").alias("key"), node["value"].alias("value"))
+        )
+        # a scalar or an empty container stands for itself: a one-element list with no key
+        inner = F.concat(_children(node["value"]), F.array().cast(CHILDREN))
+        return F.transform(
+            F.coalesce(F.get(F.filter(F.array(inner), lambda c: F.size(c) > 0), 0), itself),
+            lambda e: F.struct(
+                F.concat_ws("/", node["pointer"], e["key"]).alias("pointer"),
+                e["value"].alias("value"),
+            ),
         )
+
+    for _ in range(levels):
+        found = F.flatten(F.transform(found, opened))
     return found
 
 
@@ -95,8 +102,3 @@ def flatten_args(
         ).where(F.col("pointer") != "")
     opened = calls.select(key, leaf_array(F.try_parse_json(args), depth=depth).alias("leaves"))
     return opened.select(key, F.explode("leaves").alias("leaf")).select(key, "leaf.*")
-
-
-def covering(labels: Column, pointer: Column) -> Column:
-    """Entries of a label array whose pointer is the leaf or one of its ancestors."""
-    return F.filter(labels, lambda e: is_prefix(e["pointer"], pointer))

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.functions.hashing import canonical_json, sha256_hex
-from gatelens.functions.leaves import covering, leaf_array
-from gatelens.functions.scalars import is_prefix, strip
-from gatelens.functions.text import close_tags
+from gatelens.functions.leaves import flatten_args, leaf_array
+from gatelens.functions.scalars import escape_token, is_prefix, strip
 from gatelens.operators import predicates as p
+from gatelens.operators.labels import cover_labels
 from gatelens.operators.ruleset import ALLOW, DECISION_NAMES, DENY, STEP_UP, UNTRUSTED, RuleSet
 
 REASON = (
@@ -68,88 +68,87 @@ def decision_name(decision: Column) -> Column:
 # ---------------------------------------------------------------- preparing call rows
 
 
+NO_TYPES = "map<string,string>"
+
+
 def with_tools(calls: DataFrame, ruleset: RuleSet) -> DataFrame:
-    """Add the declared category and argument specs (NULL for unknown tools) and parsed args."""
-    declared = calls.withColumn(p.ARGS, F.try_parse_json("args")).withColumn(
-        "_spec", ruleset.tool_spec(F.col("tool"))
+    """Add the declared category and argument specs (NULL for unknown tools), the parsed
+    arguments and the JSON type of each of them."""
+    types = (
+        f"transform_values(coalesce(try_variant_get({p.ARGS}, '$', 'map<string,variant>'), "
+        f"CAST(map() AS map<string,variant>)), (k, v) -> {p.json_type_sql('v')})"
     )
-    return declared.select("*", "_spec.*").drop("_spec")
+    typed = calls.withColumn(p.ARGS, F.try_parse_json("args")).withColumns(
+        {p.TYPES: F.expr(types), "_spec": ruleset.tool_spec(F.col("tool"))}
+    )
+    return typed.select("*", "_spec.*").drop("_spec")
 
 
-def label_array(labels: DataFrame) -> DataFrame:
-    """One row per call with its distinct (pointer, level, kind, tag) entries.
+def label_probes(labels: DataFrame, probes: list[p.Probe]) -> DataFrame:
+    """One row per call: its labelled pointers and the answers for scalar arguments.
 
-    Pointers are bounded by the size of the arguments and the other parts by small domains, so
-    the array is bounded too; duplicates are removed before the shuffle.
+    Everything but the pointers is a plain ``max``, combined before the shuffle. Pointers are
+    bounded by the size of a call's arguments, and repeats collapse before the shuffle too.
     """
-    return labels.groupBy("call_id").agg(
-        F.collect_set(
-            F.struct("pointer", "level", F.col("source_kind").alias("kind"), "tag")
-        ).alias("_entries")
-    )
+    answers = [
+        F.max(F.when(F.col("pointer") == probe.path, probe.answer())).alias(probe.name)
+        for probe in probes
+    ]
+    return labels.groupBy("call_id").agg(F.collect_set("pointer").alias("_pointers"), *answers)
 
 
-def _path_label(leaf_rows: Column, path: str) -> Column:
-    under = F.filter(leaf_rows, lambda x: is_prefix(F.lit(path), x["pointer"]))
-    entries = F.flatten(F.transform(under, lambda x: x["entries"]))
-    missing = F.exists(under, lambda x: F.size(x["entries"]) == 0)
-    return F.when(
-        F.size(under) > 0,
-        F.struct(
-            F.when(missing, UNTRUSTED)
-            .otherwise(F.array_max(F.transform(entries, lambda e: e["level"])))
-            .alias("level"),
-            F.array_sort(F.array_distinct(F.array_compact(F.transform(entries, lambda e: e["kind"]))))
-            .alias("kinds"),
-            close_tags(F.array_compact(F.transform(entries, lambda e: e["tag"]))).alias("tags"),
-        ),
+def nested_probes(
+    calls: DataFrame, labels: DataFrame, probes: list[p.Probe], depth: int
+) -> DataFrame:
+    """Answers for container arguments: the join over all leaves under the path."""
+    covered = cover_labels(flatten_args(calls, depth=depth), labels)
+    answers = []
+    for probe in probes:
+        under = is_prefix(F.lit(probe.path), F.col("pointer"))
+        value = probe.answer()
+        if probe.what == "level":
+            value = F.coalesce(value, F.lit(UNTRUSTED))
+        answers.append(F.max(F.when(under, value)).alias(probe.name))
+    return covered.groupBy("call_id").agg(*answers)
+
+
+def _pointers_of(depth: int) -> Column:
+    """Pointers of all leaves; only calls with container arguments are opened further."""
+    top = F.transform(
+        F.map_entries(p.TYPES),
+        lambda e: F.concat(F.lit("/"), escape_token(e["key"])),
     )
+    deep = F.transform(leaf_array(F.col(p.ARGS), depth=depth), lambda x: x["pointer"])
+    nested = F.exists(F.map_values(p.TYPES), lambda t: t.isin("array", "object"))
+    return F.when(nested, deep).otherwise(top)
 
 
 def with_labels(calls: DataFrame, labels: DataFrame, ruleset: RuleSet, depth: int = 4) -> DataFrame:
-    """Add the labels of the paths the rules read and the list of unlabelled leaves."""
-    joined = calls.join(label_array(labels), "call_id", "left")
-    empty = F.array().cast(
-        "array<struct<pointer:string,level:int,kind:string,tag:string>>"
-    )
-    rows = joined.withColumn(
-        "_leaf",
-        F.transform(
-            leaf_array(F.col(p.ARGS), depth=depth),
-            lambda x: F.struct(
-                x["pointer"].alias("pointer"),
-                covering(F.coalesce(F.col("_entries"), empty), x["pointer"]).alias("entries"),
-            ),
-        ),
-    )
-    paths = ruleset.paths()
-    pairs = [x for path in paths for x in (F.lit(path), _path_label(F.col("_leaf"), path))]
-    # an empty object has the root as its only leaf, and the root never has a label
-    unlabelled = F.array_sort(
-        F.transform(
-            F.filter("_leaf", lambda x: F.size(x["entries"]) == 0), lambda x: x["pointer"]
-        )
-    )
-    return (
-        rows.withColumn("_missing", unlabelled)
-        .withColumn(p.LABELS, F.create_map(*pairs))
-        .drop("_leaf", "_entries")
+    """Add the answers to the rules' label probes and the list of unlabelled leaves."""
+    probes = ruleset.probes()
+    flat = [x for x in probes if ruleset.is_scalar(x.path)]
+    nested = [x for x in probes if not ruleset.is_scalar(x.path)]
+    rows = calls.join(label_probes(labels, flat), "call_id", "left")
+    if nested:
+        rows = rows.join(nested_probes(calls, labels, nested, depth), "call_id", "left")
+    known = F.coalesce("_pointers", F.array().cast("array<string>"))
+    unlabelled = F.filter(
+        _pointers_of(depth), lambda leaf: ~F.exists(known, lambda k: is_prefix(k, leaf))
     )
+    return rows.withColumn("_missing", F.array_sort(unlabelled)).drop("_pointers")
 
 
 def with_facts(calls: DataFrame, facts: DataFrame | None, ruleset: RuleSet) -> DataFrame:
     """Add one nullable ``fact_`` column per fact the rules read; facts not given are UNKNOWN."""
-    if facts is not None:
-        known = [f for f in ruleset.facts() if f in facts.columns]
-        calls = calls.join(
-            facts.select("call_id", *[F.col(f).alias(f"fact_{f}") for f in known]),
-            "call_id",
-            "left",
-        )
-    for name in ruleset.facts():
-        if f"fact_{name}" not in calls.columns:
-            calls = calls.withColumn(f"fact_{name}", F.lit(None).cast("boolean"))
-    return calls
+    wanted = ruleset.facts()
+    given_columns = [] if facts is None else facts.columns
+    known = [f for f in wanted if f in given_columns]
+    extra = [c for c in ("ml_decision", "purpose") if c in given_columns and c not in calls.columns]
+    if known or extra:
+        given = facts.select("call_id", *extra, *[F.col(f).alias(f"fact_{f}") for f in known])
+        calls = calls.join(given, "call_id", "left")
+    unknown = F.lit(None).cast("boolean")
+    return calls.withColumns({f"fact_{f}": unknown for f in wanted if f not in known})
 
 
 # ---------------------------------------------------------------- reasons
@@ -186,17 +185,10 @@ def category_mismatch_reasons() -> Column:
     ).otherwise(F.array().cast(f"array<{REASON}>"))
 
 
-def _members() -> Column:
-    return F.coalesce(
-        F.try_variant_get(p.ARGS, "$", "map<string,variant>"),
-        F.create_map().cast("map<string,variant>"),
-    )
-
-
 def unknown_arg_reasons() -> Column:
     declared = F.transform("specs", lambda s: s["name"])
     return F.transform(
-        F.array_sort(F.array_except(F.map_keys(_members()), declared)),
+        F.array_sort(F.array_except(F.map_keys(p.TYPES), declared)),
         lambda name: reason(
             "CORE.SCHEMA.UNKNOWN_ARG",
             "SCHEMA",
@@ -212,7 +204,7 @@ def wrong_type_reasons() -> Column:
     wrong = F.filter(
         "specs",
         lambda s: F.coalesce(
-            p.json_type(F.try_element_at(_members(), s["name"])) != s["type"], F.lit(False)
+            F.try_element_at(F.col(p.TYPES), s["name"]) != s["type"], F.lit(False)
         ),
     )
     return F.transform(
@@ -229,7 +221,7 @@ def wrong_type_reasons() -> Column:
 
 def missing_arg_reasons() -> Column:
     absent = F.filter(
-        "specs", lambda s: s["required"] & ~F.array_contains(F.map_keys(_members()), s["name"])
+        "specs", lambda s: s["required"] & ~F.map_contains_key(F.col(p.TYPES), s["name"])
     )
     return F.transform(
         absent,
@@ -245,7 +237,7 @@ def missing_arg_reasons() -> Column:
 
 def malformed_reasons() -> Column:
     """Arguments that are not a JSON object are a DENY row, never a dropped row."""
-    kind = p.json_type(F.col(p.ARGS))
+    kind = F.expr(p.json_type_sql(p.ARGS))
     return F.when(
         F.coalesce(kind != "object", F.lit(True)),
         F.array(
@@ -294,16 +286,21 @@ def fired(when: Column) -> Column:
 
 
 def rule_reasons(ruleset: RuleSet) -> Column:
-    built = []
-    for rule in ruleset.rules:
-        when = rule.when.build()
-        built.append(
-            F.when(
-                fired(when),
-                reason(rule.rule_id, rule.stage, rule.then, rule.explain, unknown=when.isNull()),
-            )
-        )
-    return F.array_compact(F.array(*built)) if built else F.array().cast(f"array<{REASON}>")
+    """Reasons of all rules that fire, as one expression: flags first, then their texts."""
+    if not ruleset.rules:
+        return F.array().cast(f"array<{REASON}>")
+    texts = ", ".join(
+        f"named_struct('rule_id', {p.quoted(r.rule_id)}, 'stage', {p.quoted(r.stage)}, "
+        f"'decision', {r.then}, 'explanation', {p.quoted(r.explain)})"
+        for r in ruleset.rules
+    )
+    flags = ", ".join(r.when.sql for r in ruleset.rules)
+    return F.expr(
+        f"transform(filter(arrays_zip(array({texts}), array({flags})), "
+        "z -> coalesce(z.`1`, true)), z -> named_struct('rule_id', z.`0`.rule_id, "
+        "'stage', z.`0`.stage, 'decision', z.`0`.decision, 'explanation', "
+        "z.`0`.explanation, 'unknown', z.`1` IS NULL, 'evidence', CAST(NULL AS string)))"
+    )
 
 
 # ---------------------------------------------------------------- the decision
@@ -320,13 +317,14 @@ def evaluate_policy(
     """Verdict per call: the input columns plus ``category``, ``decision`` and ``reasons``.
 
     ``calls`` needs ``call_id``, ``tool``, ``declared_category`` and ``args`` (JSON text);
-    ``purpose`` and ``ml_decision`` are read when present. Schema problems stop the rules, as
+    ``purpose`` and ``ml_decision`` are read when present there or among the facts. Schema problems stop the rules, as
     does an unknown tool. Rules can only escalate, and so can the signal in ``ml_decision``.
     """
     keep = calls.columns
-    if "purpose" not in keep:
-        calls = calls.withColumn("purpose", F.lit(None).cast("string"))
     rows = with_facts(with_labels(with_tools(calls, ruleset), labels, ruleset, depth), facts, ruleset)
+    for name, kind in (("purpose", "string"), ("ml_decision", "int")):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
     rows = rows.withColumn("_schema", schema_reasons())
     rows = rows.withColumn(
         "_found",
@@ -334,7 +332,6 @@ def evaluate_policy(
             F.concat(missing_label_reasons(), rule_reasons(ruleset))
         ),
     )
-    signal = F.col("ml_decision").cast("int") if "ml_decision" in keep else F.lit(None).cast("int")
     return tighten_with_signal(
         rows.select(
             *keep,
@@ -342,7 +339,7 @@ def evaluate_policy(
             combine(F.col("_found")).alias("rule_decision"),
             F.col("_found").alias("reasons"),
             (F.size("_schema") > 0).alias("schema_failed"),
-            signal.alias("_signal"),
+            F.col("ml_decision").cast("int").alias("_signal"),
         )
     )
 

@@ -1,32 +1,74 @@
-"""Three-valued rule predicates: each is a nullable boolean Column over one call row.
+"""Three-valued rule predicates: each is a nullable boolean SQL expression over one call row.
 
 NULL means UNKNOWN. Spark's AND, OR and NOT already follow Kleene logic, so composition is
-plain Column algebra. A predicate also states which argument paths and facts it reads, so the
-evaluation knows which labels to bring to the call row.
+plain expression text, and a whole rule set becomes one projection. A predicate also states
+which labels and facts it reads, so the evaluation knows what to bring to the call row.
 """
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gatelens.functions.scalars import resolve_pointer
+from gatelens.functions.scalars import variant_path
 
 ARGS = "_args"  # variant column with the call's arguments
-LABELS = "_labels"  # map path -> label struct of the paths the rules read
+TYPES = "_types"  # map of argument name -> JSON type, for the top level
 CATEGORY = "category"  # category of the tool as the rule set declares it
+UNTRUSTED_LEVEL = 2
+
+
+def quoted(value: str | int | bool | None) -> str:
+    """A constant as SQL text."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+@dataclass(frozen=True)
+class Probe:
+    """One question about the label of an argument path, answered before the rules run.
+
+    ``what`` is level, tag or kind; ``values`` are the tags or kinds asked for. The answer is a
+    column named ``name``: the greatest level, or 1 when a tag or kind is present.
+    """
+
+    path: str
+    what: str
+    values: tuple[str, ...] = ()
+
+    @property
+    def name(self) -> str:
+        return "_lab " + " ".join([self.path, self.what, *self.values])
+
+    def answer(self) -> Column:
+        """Value of one label row (columns level, source_kind, tag) for this question."""
+        if self.what == "level":
+            return F.col("level")
+        if self.what == "kind":
+            return F.when(F.col("source_kind").isin(*self.values), 1)
+        hit = F.col("tag").isin(*self.values)
+        if "PII" in self.values:  # every specific personal-data tag implies the general one
+            hit = hit | F.startswith(F.col("tag"), F.lit("PII"))
+        return F.when(hit, 1)
 
 
 @dataclass(frozen=True)
 class Predicate:
-    """A Column builder with the label paths and fact names it needs."""
+    """Expression text with the label probes and fact names it needs."""
 
-    build: Callable[[], Column]
-    paths: frozenset[str] = field(default=frozenset())
+    sql: str
+    probes: frozenset[Probe] = field(default=frozenset())
     facts: frozenset[str] = field(default=frozenset())
 
+    def build(self) -> Column:
+        return F.expr(self.sql)
+
     def __and__(self, other: "Predicate") -> "Predicate":
         return all_of(self, other)
 
@@ -37,150 +79,145 @@ class Predicate:
         return not_(self)
 
 
-def _merge(items: Iterable[Predicate], build: Callable[[], Column]) -> Predicate:
+def _merge(items: Iterable[Predicate], sql: str) -> Predicate:
     items = list(items)
     return Predicate(
-        build,
-        frozenset().union(*[p.paths for p in items]),
+        sql,
+        frozenset().union(*[p.probes for p in items]),
         frozenset().union(*[p.facts for p in items]),
     )
 
 
 def const(value: bool) -> Predicate:
-    return Predicate(lambda: F.lit(value))
+    return Predicate(quoted(value))
 
 
 def all_of(*items: Predicate) -> Predicate:
-    return _merge(items, lambda: reduce(lambda a, b: a & b, [p.build() for p in items], F.lit(True)))
+    return _merge(items, "(" + " AND ".join(p.sql for p in items) + ")" if items else "true")
 
 
 def any_of(*items: Predicate) -> Predicate:
-    return _merge(
-        items, lambda: reduce(lambda a, b: a | b, [p.build() for p in items], F.lit(False))
-    )
+    return _merge(items, "(" + " OR ".join(p.sql for p in items) + ")" if items else "false")
 
 
 def not_(item: Predicate) -> Predicate:
-    return _merge([item], lambda: ~item.build())
+    return _merge([item], f"(NOT {item.sql})")
 
 
 def tool_is(tool: str) -> Predicate:
-    return Predicate(lambda: F.col("tool") == tool)
+    return Predicate(f"(tool = {quoted(tool)})")
 
 
 def tool_category_in(*categories: str) -> Predicate:
-    return Predicate(lambda: F.col(CATEGORY).isin(*categories))
-
-
-def _value(path: str) -> Column:
-    return resolve_pointer(F.col(ARGS), path)
-
-
-def json_type(value: Column) -> Column:
-    """string, integer, number, boolean, null, array or object; NULL when absent."""
-    schema = F.schema_of_variant(value)
-    return (
-        F.when(schema == "STRING", "string")
-        .when(schema == "BIGINT", "integer")
-        .when(schema == "BOOLEAN", "boolean")
-        .when(schema == "VOID", "null")
-        .when(F.startswith(schema, F.lit("ARRAY")), "array")
-        .when(F.startswith(schema, F.lit("OBJECT")), "object")
-        # integers beyond 64 bits are kept as decimals without a fraction
-        .when(F.regexp_like(schema, F.lit(r"^DECIMAL\(\d+,\s*0\)")), "integer")
-        .when(schema.isNotNull(), "number")
-    )
+    return Predicate(f"({CATEGORY} IN ({', '.join(quoted(c) for c in categories)}))")
+
+
+# fixed values: how the type names of variants read as JSON types
+_JSON_TYPES = {
+    "STRING": "string",
+    "BIGINT": "integer",
+    "BOOLEAN": "boolean",
+    "VOID": "null",
+    "ARRAY": "array",
+    "OBJECT": "object",
+    "DOUBLE": "number",
+    "FLOAT": "number",
+    "DECIMAL": "number",
+}
+
 
+def json_type_sql(value: str) -> str:
+    """string, integer, number, boolean, null, array or object; NULL when absent.
+
+    Integers beyond 64 bits are held as decimals without a fraction and count as integers.
+    """
+    schema = rf"regexp_replace(schema_of_variant({value}), '^DECIMAL\\(\\d+, ?0\\)$', 'BIGINT')"
+    table = ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in _JSON_TYPES.items())
+    return f"try_element_at(map({table}), regexp_extract({schema}, '^[A-Z]+', 0))"
+
+
+def _value_sql(path: str, kind: str = "variant") -> str:
+    return f"try_variant_get({ARGS}, {quoted(variant_path(path))}, '{kind}')"
 
-def _typed(value: Column, kind: str) -> Column:
-    return F.try_variant_get(value, "$", kind)
+
+def _present_sql(path: str) -> str:
+    if path.count("/") == 1:
+        name = path[1:].replace("~1", "/").replace("~0", "~")
+        return f"map_contains_key({TYPES}, {quoted(name)})"
+    return f"({_value_sql(path)} IS NOT NULL)"
+
+
+def _type_sql(path: str) -> str:
+    if path.count("/") == 1:
+        name = path[1:].replace("~1", "/").replace("~0", "~")
+        return f"try_element_at({TYPES}, {quoted(name)})"
+    return json_type_sql(_value_sql(path))
 
 
 def arg_exists(path: str) -> Predicate:
-    return Predicate(lambda: _value(path).isNotNull())
+    """An explicit null counts as existing."""
+    return Predicate(_present_sql(path))
+
+
+_BIG = "decimal(38,0)"
 
 
 def arg_compare(path: str, op: str, expected: bool | int | str | None) -> Predicate:
     """Absent: UNKNOWN. eq/ne compare type and value. Order needs two ints or two strings."""
-
-    def build() -> Column:
-        value = _value(path)
-        kind = json_type(value)
-        if isinstance(expected, bool):
-            same = (kind == "boolean") & F.coalesce(
-                _typed(value, "boolean") == expected, F.lit(False)
-            )
-        elif isinstance(expected, int):
-            same = (kind == "integer") & F.coalesce(
-                _typed(value, "decimal(38,0)") == F.lit(expected), F.lit(False)
-            )
-        elif expected is None:
-            same = kind == "null"
-        else:
-            same = (kind == "string") & F.coalesce(
-                _typed(value, "string") == expected, F.lit(False)
-            )
-        if op in ("eq", "ne"):
-            result = same if op == "eq" else ~same
-        elif isinstance(expected, int) and not isinstance(expected, bool):
-            number = _typed(value, "decimal(38,0)")
-            result = F.when(kind == "integer", _order(number, op, F.lit(expected)))
-        elif isinstance(expected, str):
-            result = F.when(kind == "string", _order(_typed(value, "string"), op, F.lit(expected)))
-        else:
-            result = F.lit(None).cast("boolean")
-        return F.when(value.isNotNull(), result)
-
-    return Predicate(build)
-
-
-def _order(left: Column, op: str, right: Column) -> Column:
-    return {
-        "lt": left < right,
-        "le": left <= right,
-        "gt": left > right,
-        "ge": left >= right,
-    }[op]
-
-
-def _label(path: str) -> Column:
-    return F.try_element_at(F.col(LABELS), F.lit(path))
+    kind = _type_sql(path)
+    signs = {"lt": "<", "le": "<=", "gt": ">", "ge": ">="}
+    if isinstance(expected, bool):
+        wanted, value = "boolean", _value_sql(path, "boolean")
+    elif isinstance(expected, int):
+        wanted, value = "integer", _value_sql(path, _BIG)
+    elif expected is None:
+        wanted, value = "null", None
+    else:
+        wanted, value = "string", _value_sql(path, "string")
+    right_type = f"coalesce({kind} = '{wanted}', false)"
+    if op in ("eq", "ne"):
+        same = right_type
+        if value is not None:
+            same = f"({right_type} AND coalesce({value} = {quoted(expected)}, false))"
+        result = same if op == "eq" else f"(NOT {same})"
+    elif wanted in ("integer", "string"):
+        result = f"CASE WHEN {right_type} THEN {value} {signs[op]} {quoted(expected)} END"
+    else:
+        result = "CAST(NULL AS boolean)"
+    return Predicate(f"(CASE WHEN {_present_sql(path)} THEN {result} END)")
 
 
 def label_at_least(path: str, level: int) -> Predicate:
-    """Absent argument: FALSE, never UNKNOWN."""
+    """Absent argument: FALSE, never UNKNOWN. A present one without a label is untrusted."""
+    probe = Probe(path, "level")
+    known = f"coalesce(`{probe.name}`, {UNTRUSTED_LEVEL})"
     return Predicate(
-        lambda: F.coalesce(_label(path)["level"] >= level, F.lit(False)), frozenset({path})
+        f"coalesce({_present_sql(path)} AND {known} >= {level}, false)", frozenset({probe})
     )
 
 
-def label_has_tag(path: str, tag: str) -> Predicate:
+def _has(probe: Probe) -> Predicate:
     return Predicate(
-        lambda: F.coalesce(F.array_contains(_label(path)["tags"], tag), F.lit(False)),
-        frozenset({path}),
+        f"coalesce({_present_sql(probe.path)} AND `{probe.name}` = 1, false)", frozenset({probe})
     )
 
 
+def label_has_tag(path: str, tag: str) -> Predicate:
+    return _has(Probe(path, "tag", (tag,)))
+
+
 def source_kind_in(path: str, *kinds: str) -> Predicate:
-    return Predicate(
-        lambda: F.coalesce(
-            F.arrays_overlap(_label(path)["kinds"], F.array(*[F.lit(k) for k in kinds])),
-            F.lit(False),
-        ),
-        frozenset({path}),
-    )
+    return _has(Probe(path, "kind", tuple(sorted(kinds))))
 
 
 def purpose_is(purpose: str) -> Predicate:
-    return Predicate(lambda: F.col("purpose") == purpose)
+    return Predicate(f"(purpose = {quoted(purpose)})")
 
 
 def amount_exceeds(path: str, cap: int) -> Predicate:
     """UNKNOWN unless the argument is an integer."""
     return Predicate(
-        lambda: F.when(
-            json_type(_value(path)) == "integer", _typed(_value(path), "decimal(38,0)") > cap
-        )
+        f"(CASE WHEN {_type_sql(path)} = 'integer' THEN {_value_sql(path, _BIG)} > {cap} END)"
     )
 
 
@@ -188,7 +225,7 @@ def fact(name: str) -> Predicate:
     """A nullable boolean computed elsewhere; missing or NULL is UNKNOWN.
 
     Consent, mandate and approval predicates are facts too: their joins run once, as
-    DataFrames (see ``facts_consent``, ``facts_payment`` and ``approvals``), and arrive here as
-    one column each.
+    DataFrames (see ``consents``, ``payments`` and ``approvals``), and arrive here as one
+    column each.
     """
-    return Predicate(lambda: F.col(f"fact_{name}"), frozenset(), frozenset({name}))
+    return Predicate(f"`fact_{name}`", frozenset(), frozenset({name}))

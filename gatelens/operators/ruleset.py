@@ -42,11 +42,21 @@ class RuleSet:
     tools: Mapping[str, Tool]
     rules: tuple[Rule, ...]
 
-    def paths(self) -> list[str]:
-        """Argument paths whose labels some rule reads, or that are sinks."""
-        found = {path for rule in self.rules for path in rule.when.paths}
-        found |= {f"/{n}" for t in self.tools.values() for n, a in t.args.items() if a.sink}
-        return sorted(found)
+    def probes(self) -> list[p.Probe]:
+        """Label questions of the rules, and the level of every sink argument."""
+        found = {probe for rule in self.rules for probe in rule.when.probes}
+        for tool in self.tools.values():
+            found |= {p.Probe(f"/{n}", "level") for n, a in tool.args.items() if a.sink}
+        return sorted(found, key=lambda probe: probe.name)
+
+    def is_scalar(self, path: str) -> bool:
+        """True when the path is a top-level argument that every tool declares as a scalar.
+
+        Calls that pass the schema checks then hold a single leaf there.
+        """
+        name = path[1:]
+        types = {t.args[name].type for t in self.tools.values() if name in t.args}
+        return "/" not in name and not types & {"array", "object"}
 
     def facts(self) -> list[str]:
         return sorted({f for rule in self.rules for f in rule.when.facts})
@@ -64,29 +74,19 @@ class RuleSet:
         """
         entries = []
         for name, spec in sorted(self.tools.items()):
-            args = [
-                F.struct(
-                    F.lit(n).alias("name"),
-                    F.lit(a.type).alias("type"),
-                    F.lit(a.required).alias("required"),
-                    F.lit(a.sink).alias("sink"),
-                )
+            args = ", ".join(
+                f"named_struct('name', {p.quoted(n)}, 'type', {p.quoted(a.type)}, "
+                f"'required', {p.quoted(a.required)}, 'sink', {p.quoted(a.sink)})"
                 for n, a in sorted(spec.args.items())
-            ]
-            specs = F.array(*args).cast(f"array<{ARG_STRUCT}>")
-            entries += [
-                F.lit(name),
-                F.struct(F.lit(spec.category).alias("category"), specs.alias("specs")),
-            ]
-        if not entries:
-            entries = [
-                F.lit(""),
-                F.struct(
-                    F.lit("").alias("category"),
-                    F.array().cast(f"array<{ARG_STRUCT}>").alias("specs"),
-                ),
-            ]
-        return F.try_element_at(F.create_map(*entries), tool)
+            )
+            entries.append(
+                f"{p.quoted(name)}, named_struct('category', {p.quoted(spec.category)}, "
+                f"'specs', CAST(array({args}) AS array<{ARG_STRUCT}>))"
+            )
+        entries = entries or [
+            f"'', named_struct('category', '', 'specs', CAST(array() AS array<{ARG_STRUCT}>))"
+        ]
+        return F.try_element_at(F.expr(f"map({', '.join(entries)})"), tool)
 
 
 ARG_STRUCT = "struct<name:string,type:string,required:boolean,sink:boolean>"

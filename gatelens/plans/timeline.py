@@ -17,7 +17,7 @@ COARSE_SECONDS = 86_400
 
 def bucket_of(ts: str | Column, seconds: int) -> Column:
     column = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(F.unix_micros(column) / F.lit(seconds * 1_000_000)).cast("long")
+    return F.floor(F.unix_micros(column.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
 
 
 def running_total(

@@ -17,7 +17,7 @@ def _truth(t, predicate: p.Predicate):
     base = all_rules()
     rules = RuleSet("one", base.tools, (Rule("R", "CAP", 2, "", predicate),))
     rows = ev.with_tools(t.v_call_args.withColumn("purpose", F.lit(None).cast("string")), rules)
-    if predicate.paths:
+    if predicate.probes:
         rows = ev.with_labels(rows, t.v_call_labels, rules)
     return rows.select("call_id", predicate.build().alias("truth"))
 

@@ -126,8 +126,7 @@ def facts(t):
 
 
 def verdicts(t, rules=RULES):
-    calls = t.v_call_args.join(facts(t).select("call_id", "ml_decision"), "call_id")
-    return ev.evaluate_policy(calls, t.v_call_labels, rules, facts=facts(t).drop("ml_decision"))
+    return ev.evaluate_policy(t.v_call_args, t.v_call_labels, rules, facts=facts(t))
 
 
 def shown(rows):
@@ -289,7 +288,7 @@ SHIPPED = merge("shipped", [core_rules(), payment_rules(), voice_rules()])
 )
 def apply_builtin_rules(t):
     return _rule_counts(
-        ev.evaluate_policy(t.v_call_args, t.v_call_labels, SHIPPED, facts=facts(t)).where(
+        ev.evaluate_policy(t.v_call_args, t.v_call_labels, SHIPPED, facts=facts(t).drop("ml_decision")).where(
             "NOT schema_failed"
         )
     )
@@ -303,7 +302,7 @@ def apply_builtin_rules(t):
 )
 def apply_purpose_rules(t):
     return _rule_counts(
-        ev.evaluate_policy(t.v_call_args, t.v_call_labels, purpose_rules(), facts=facts(t)).where(
+        ev.evaluate_policy(t.v_call_args, t.v_call_labels, purpose_rules(), facts=facts(t).drop("ml_decision")).where(
             "NOT schema_failed"
         )
     )
@@ -326,7 +325,7 @@ def _rule_counts(rows):
 )
 def compare_policies(t):
     weaker = RULES.without("PAYSHIELD.TAINT.UNTRUSTED_NEW_PAYEE")
-    return ev.compare_policies(t.v_call_args, t.v_call_labels, RULES, weaker, facts=facts(t))
+    return ev.compare_policies(t.v_call_args, t.v_call_labels, RULES, weaker, facts=facts(t).drop("ml_decision"))
 
 
 STATUS = """
