@@ -20,6 +20,11 @@ def _col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value computed once, for bodies whose lambdas would compute it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: str | Column) -> Column:
     """Trim any Unicode white space, tabs and newlines included."""
     return F.regexp_replace(_col(text), r"(?U)^\s+|\s+$", "")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gatelens.functions.scalars import fraction_paise, ordered_case, plain_number, strip
+from gatelens.functions.scalars import fraction_paise, let, ordered_case, plain_number, strip
 
 # ---------------------------------------------------------------- personal data
 # fixed values: recognisers by kind, in Java syntax ((?U) makes \w \d \s Unicode)
@@ -91,40 +91,40 @@ def pii_spans(text: str | Column) -> Column:
     come from one split and one find-all per kind, inside the JVM.
     """
     t = F.col(text) if isinstance(text, str) else text
-    spans = []
-    for kind, pattern in PII_PATTERNS.items():
-        values = F.regexp_extract_all(t, F.lit(pattern), 0)
-        pieces = F.split(t, pattern)
-        placed = F.transform(
-            values,
-            lambda v, i: F.struct(
-                F.aggregate(
-                    F.slice(pieces, 1, i + 1), F.lit(0), lambda acc, p: acc + F.length(p)
-                ).alias("gap"),
-                F.aggregate(
-                    F.slice(values, 1, i), F.lit(0), lambda acc, p: acc + F.length(p)
-                ).alias("used"),
-                v.alias("value"),
-            ),
-        )
-        spans.append(
-            F.transform(
-                F.filter(
-                    placed,
-                    lambda s: verhoeff_valid(_only_digits(s["value"]))
-                    if kind == "aadhaar"
-                    else F.lit(True),
-                ),
-                lambda s: F.struct(
-                    (s["gap"] + s["used"]).alias("start"),
-                    (s["gap"] + s["used"] + F.length(s["value"])).alias("end"),
-                    F.lit(kind).alias("kind"),
-                ),
-            )
-        )
+    spans = [_spans_of(t, kind, pattern) for kind, pattern in PII_PATTERNS.items()]
     return F.array_sort(F.concat(*spans))
 
 
+def _spans_of(text: Column, kind: str, pattern: str) -> Column:
+    cut = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), 0).alias("values"),
+        F.split(text, pattern).alias("pieces"),
+    )
+    start = "struct<at:int,spans:array<struct<start:int,end:int,kind:string>>>"
+
+    def place(c: Column) -> Column:
+        """Walk the matches once, adding the piece before each and the match itself."""
+        numbered = F.transform(
+            c["values"],
+            lambda v, i: F.struct(F.length(F.get(c["pieces"], i)).alias("gap"), v.alias("value")),
+        )
+
+        def step(acc: Column, m: Column) -> Column:
+            begin = acc["at"] + m["gap"]
+            end = begin + F.length(m["value"])
+            span = F.array(F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind")))
+            if kind == "aadhaar":
+                good = verhoeff_valid(_only_digits(m["value"]))
+                span = F.when(good, span).otherwise(F.slice(span, 1, 0))
+            return F.struct(end.alias("at"), F.concat(acc["spans"], span).alias("spans")).cast(start)
+
+        nothing = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+        zero = F.struct(F.lit(0).alias("at"), nothing.alias("spans")).cast(start)
+        return F.aggregate(numbered, zero, step, lambda acc: acc["spans"])
+
+    return let(cut, place)
+
+
 def pii_tags(text: str | Column) -> Column:
     """Sorted tags of a text, closed: a specific tag brings the general one."""
     specific = F.array_compact(

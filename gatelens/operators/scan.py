@@ -132,16 +132,17 @@ def chunk_windows(
     rows = docs.select(key, tokens.alias("_t")).where(F.size("_t") > 0)
     # as many windows as it takes for the last one to reach the end
     count = F.greatest(F.lit(1), F.ceil((F.size("_t") - overlap) / F.lit(step))).cast("int")
-    opened = rows.select(
-        key, "_t", F.explode(F.sequence(F.lit(0), count - 1)).alias("window")
+    # windows are cut inside the row, so the tokens of a document are never repeated whole
+    cut = F.transform(
+        F.sequence(F.lit(0), count - 1), lambda i: F.slice("_t", i * step + 1, F.lit(size))
     )
-    part = F.slice("_t", F.col("window") * step + 1, F.lit(size))
-    return opened.select(
-        key,
-        "window",
-        F.size(part).cast("long").alias("n_tokens"),
-        F.array_join(part, " ").alias("text"),
+    parts = F.transform(
+        cut,
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_tokens"), F.array_join(w, " ").alias("text")
+        ),
     )
+    return rows.select(key, F.posexplode(parts).alias("window", "p")).select(key, "window", "p.*")
 
 
 def score_texts(
@@ -274,7 +275,9 @@ def display_scores(calls: DataFrame) -> DataFrame:
         "call_id",
         F.col("spoof").cast("double").alias("spoof"),
         F.greatest("injection", "classifier").alias("injection"),
-        F.least(F.lit(1.0), F.least(F.lit(1000.0), F.col("z")) / 7.0).alias("anomaly"),
+        F.when(
+            F.col("z").isNotNull(), F.least(F.lit(1.0), F.least(F.lit(1000.0), F.col("z")) / 7.0)
+        ).alias("anomaly"),
     )
 
 

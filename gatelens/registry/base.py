@@ -37,7 +37,7 @@ def query(name: str, check: str | None = None, **extra: str):
             raise ValueError(f"query {name} exists")
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if check is not None:
-            CHECKS[name] = with_views(check, extra)
+            CHECKS[name] = with_views(check, extra).replace("WITH ", "WITH RECURSIVE ", 1)
         return fn
 
     return register

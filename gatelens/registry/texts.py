@@ -143,7 +143,7 @@ def scrub_documents(t):
 def contains_secret_deep(t):
     leaves = flatten_args(t.v_call_args)
     text = F.when(F.schema_of_variant("value") == "STRING", F.try_variant_get("value", "$", "string"))
-    hit = tx.contains_secret(F.coalesce(text, F.lit(""))) | F.exists(F.split("pointer", "/"), tx.contains_secret)
+    hit = tx.contains_secret(F.coalesce(text, F.lit(""))) | F.exists(F.split("pointer", "/"), lambda name: tx.contains_secret(name))
     return leaves.groupBy("call_id").agg(F.bool_or(hit).alias("found"))
 
 
