@@ -41,3 +41,12 @@ def durable(df: DataFrame) -> DataFrame:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="gatelens-ckpt-"))
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a job's own files, below the shared folder of the cluster."""
+    import uuid
+
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    base = base or tempfile.mkdtemp(prefix="gatelens-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
