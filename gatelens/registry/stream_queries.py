@@ -22,7 +22,8 @@ def _shaped(t, body: str):
     return t.spark.sql(with_views(body))
 
 
-SECONDS = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+def seconds():
+    return st.epoch_seconds(F.col("ts"))
 
 
 @query("src03_read_call_stream", "SELECT event_id, event_type, value FROM events")
@@ -75,7 +76,7 @@ UNION ALL SELECT nonce_id, 'attempt', 1, session_id, ts, contains(transcript, 'a
     "ON i.nonce_id = a.nonce_id AND i.session_id = a.session_id AND a.ts >= i.issued_at WHERE a.transcript IS NOT NULL OR a.ts > i.issued_at + INTERVAL 30 SECOND GROUP BY a.nonce_id) u ON u.nonce_id = a.nonce_id) z GROUP BY 1, 2, 3",
 )
 def nonce_match(t):
-    mixed = _shaped(t, NONCES.strip()).withColumn("ts", SECONDS)
+    mixed = _shaped(t, NONCES.strip()).withColumn("ts", seconds())
     return st.run_available(st.nonce_match(mixed), "nonces").groupBy("nonce_id", "session_id", "liveness").agg(F.count("*").alias("n"))
 
 
@@ -92,7 +93,7 @@ UNION ALL SELECT 'tok' || CAST(event_id AS STRING), 'use', 1, ts + INTERVAL 100
     "UNION ALL SELECT CASE WHEN event_id % 3 = 0 OR event_id % 4 = 0 THEN 'valid' ELSE 'replay' END FROM events WHERE event_type = 'click') z GROUP BY verdict",
 )
 def approval_expiry(t):
-    mixed = _shaped(t, TOKENS.strip()).withColumns({"ts": SECONDS, "expires": st.epoch_seconds(F.col("expires"))})
+    mixed = _shaped(t, TOKENS.strip()).withColumns({"ts": seconds(), "expires": st.epoch_seconds(F.col("expires"))})
     return st.run_available(st.approval_expiry(mixed), "approvals").groupBy("verdict").agg(F.count("*").alias("n"))
 
 
@@ -102,27 +103,27 @@ def approval_expiry(t):
 )
 def token_replay(t):
     nonce = F.concat(F.lit("n"), F.floor(F.col("event_id") / 3).cast("string"))
-    uses = _events(t).select(nonce.alias("nonce"), SECONDS.alias("ts"), F.col("event_id").alias("call_id"))
+    uses = _events(t).select(nonce.alias("nonce"), seconds().alias("ts"), F.col("event_id").alias("call_id"))
     return st.run_available(st.token_replay(uses), "replay")
 
 
 # the bucket and the sliding limit feed back on themselves: no SQL, brute force in the tests
 @query("stm07_rate_limit")
 def rate_limit(t):
-    requests = _events(t).select(F.col("user_id").alias("client"), (SECONDS / 1000).alias("ts"), F.col("event_id").alias("request_id"))
+    requests = _events(t).select(F.col("user_id").alias("client"), (seconds() / 1000).alias("ts"), F.col("event_id").alias("request_id"))
     return st.run_available(st.rate_limit(requests, per_minute=5), "rate")
 
 
 @query("stm08_sliding_attempts")
 def sliding_attempts(t):
-    requests = _events(t).select(F.col("user_id").alias("client"), (SECONDS / 3000).alias("ts"), F.col("event_id").alias("request_id"))
+    requests = _events(t).select(F.col("user_id").alias("client"), (seconds() / 3000).alias("ts"), F.col("event_id").alias("request_id"))
     return st.run_available(st.sliding_attempts(requests), "sliding")
 
 
 @query("stm09_daily_cap_stream")
 def daily_cap_stream(t):
     pays = _shaped(t, "SELECT txn_id, principal, amount_paise, ts, CAST(CAST(ts AS DATE) AS STRING) AS day, CAST(20000 AS BIGINT) AS daily_cap FROM v_payments")
-    return st.run_available(st.daily_cap_stream(pays.withColumn("ts", SECONDS)), "cap")
+    return st.run_available(st.daily_cap_stream(pays.withColumn("ts", seconds())), "cap")
 
 
 CLOSED = "time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
