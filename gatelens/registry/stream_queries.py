@@ -12,7 +12,7 @@ from gatelens.streaming import streams as st
 
 def _events(t):
     schema = t.events.schema
-    stream = st.read_call_stream(t.spark, f"{t.sf_dir}/events.parquet", schema)
+    stream = st.read_call_stream(t.spark, f"{t.sf_dir}/event*.parquet", schema)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
