@@ -4,10 +4,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatelens.functions.scalars import escape_token
+from gatelens.functions.scalars import escape_token, let
 
 DEPTH = 4
-CHILDREN = "array<struct<key:string,value:variant>>"
 
 
 def _children(value: Column) -> Column:
@@ -38,26 +37,45 @@ def leaf_array(args: Column, *, depth: int = DEPTH) -> Column:
     return open_leaves(found, depth - 1)
 
 
+def _is_container(value: Column) -> Column:
+    schema = F.schema_of_variant(value)
+    return F.startswith(schema, F.lit("OBJECT<")) | F.startswith(schema, F.lit("ARRAY<"))
+
+
 def open_leaves(found: Column, levels: int) -> Column:
-    """Replace containers in an array of (pointer, value) by their children, ``levels`` times."""
+    """Replace containers in an array of (pointer, value) by their children, ``levels`` times.
+
+    Arrays without containers are left at once, so flat arguments cost one look per leaf.
+    """
 
     def opened(node: Column) -> Column:
-        itself = F.array(
-            F.struct(F.lit(None).cast("string").alias("key"), node["value"].alias("value"))
-        )
-        # a scalar or an empty container stands for itself: a one-element list with no key
-        inner = F.concat(_children(node["value"]), F.array().cast(CHILDREN))
-        return F.transform(
-            F.coalesce(F.get(F.filter(F.array(inner), lambda c: F.size(c) > 0), 0), itself),
-            lambda e: F.struct(
-                F.concat_ws("/", node["pointer"], e["key"]).alias("pointer"),
-                e["value"].alias("value"),
-            ),
+        itself = F.array(node)
+
+        def named(children: Column) -> Column:
+            return F.when(
+                F.size(children) > 0,
+                F.transform(
+                    children,
+                    lambda e: F.struct(
+                        F.concat(node["pointer"], F.lit("/"), e["key"]).alias("pointer"),
+                        e["value"].alias("value"),
+                    ),
+                ),
+            ).otherwise(itself)
+
+        return F.when(_is_container(node["value"]), let(_children(node["value"]), named)).otherwise(
+            itself
         )
 
-    for _ in range(levels):
-        found = F.flatten(F.transform(found, opened))
-    return found
+    if levels == 0:
+        return found
+    return let(
+        found,
+        lambda nodes: F.when(
+            F.exists(nodes, lambda n: _is_container(n["value"])),
+            open_leaves(F.flatten(F.transform(nodes, opened)), levels - 1),
+        ).otherwise(nodes),
+    )
 
 
 def any_depth_leaves(text: Column) -> Column:

@@ -28,70 +28,68 @@ def order_statistics(
     bracketed by their own minimum and maximum, so the result is exact at every size.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    names = list(ranks)
+    brackets = sorted({q for q, _ in ranks.values()})
     margin = 5.0 / ACCURACY
-    points = [
-        p
-        for name in names
-        for p in (max(0.0, ranks[name][0] - margin), min(1.0, ranks[name][0] + margin))
-    ]
+    points = [p for q in brackets for p in (max(0.0, q - margin), min(1.0, q + margin))]
     sketch = rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
         F.percentile_approx("_v", points, ACCURACY).alias("_q"),
     )
-    bounds = [F.col("n")]
-    for i, _ in enumerate(names):
-        whole = F.col("n") <= small
+    whole = F.col("n") <= small
+    bounds = []
+    for i, _ in enumerate(brackets):
         bounds.append(F.when(whole, F.col("_min")).otherwise(F.col("_q")[2 * i]).alias(f"_lo{i}"))
         bounds.append(
             F.when(whole, F.col("_max")).otherwise(F.col("_q")[2 * i + 1]).alias(f"_hi{i}")
         )
-    limits = sketch.select(*keys, *bounds)
+    limits = sketch.select(*keys, "n", *bounds)
     weighted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_w"))
     inside = F.lit(False)
-    for i, _ in enumerate(names):
+    for i, _ in enumerate(brackets):
         inside = inside | F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
-    joined = lookup(weighted, limits, keys, how="inner")
+    # values inside a bracket stay; all others of a group fold into one row without a value
     counted = (
-        joined.withColumn("_c", F.when(inside, F.col("_v")))
+        lookup(weighted, limits, keys, how="inner")
+        .withColumn("_c", F.when(inside, F.col("_v")))
         .groupBy(*keys, "_c")
         .agg(
             F.sum("_w").alias("_m"),
             F.first("n").alias("n"),
-            *[F.first(f"_lo{i}").alias(f"_lo{i}") for i, _ in enumerate(names)],
+            *[F.first(f"_lo{i}").alias(f"_lo{i}") for i, _ in enumerate(brackets)],
             *[
-                F.sum(F.when(F.col("_v") < F.col(f"_lo{i}"), F.col("_w")).otherwise(0)).alias(f"_below{i}")
-                for i, _ in enumerate(names)
+                F.sum(F.when(F.col("_v") < F.col(f"_lo{i}"), F.col("_w")).otherwise(0)).alias(
+                    f"_below{i}"
+                )
+                for i, _ in enumerate(brackets)
             ],
         )
     )
-    whole = W.partitionBy(*keys)
-    upto = whole.orderBy(F.col("_c").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    for i, _ in enumerate(names):
-        counted = counted.withColumn(f"_below{i}", F.sum(f"_below{i}").over(whole)).withColumn(
-            f"_cum{i}",
-            F.col(f"_below{i}")
-            + F.sum(
-                F.when(F.col("_c").isNotNull() & (F.col("_c") >= F.col(f"_lo{i}")), F.col("_m"))
-                .otherwise(0)
-            ).over(upto),
-        )
+    upto = (
+        W.partitionBy(*keys)
+        .orderBy(F.col("_c").asc_nulls_first())
+        .rowsBetween(W.unboundedPreceding, 0)
+    )
+    # rows up to a value of a bracket: kept values so far and the folded ones below the bracket
+    ranked = counted.withColumns(
+        {
+            f"_cum{i}": F.sum(
+                F.when(F.col("_c").isNull(), F.col(f"_below{i}")).otherwise(F.col("_m"))
+            ).over(upto)
+            for i, _ in enumerate(brackets)
+        }
+    )
     picked = []
-    for i, name in enumerate(names):
-        rank = ranks[name][1](F.col("n"))
-        picked.append(
-            F.min(
-                F.when(
-                    F.col("_c").isNotNull()
-                    & (F.col("_c") >= F.col(f"_lo{i}"))
-                    & (F.col(f"_cum{i}") >= rank),
-                    F.col("_c"),
-                )
-            ).alias(name)
+    for name, (q, rank) in ranks.items():
+        i = brackets.index(q)
+        hit = (
+            F.col("_c").isNotNull()
+            & (F.col("_c") >= F.col(f"_lo{i}"))
+            & (F.col(f"_cum{i}") >= rank(F.col("n")))
         )
-    return counted.groupBy(*keys).agg(F.first("n").alias("n"), *picked)
+        picked.append(F.min(F.when(hit, F.col("_c"))).alias(name))
+    return ranked.groupBy(*keys).agg(F.first("n").alias("n"), *picked)
 
 
 def lower_middle(n: Column) -> Column:
