@@ -1,6 +1,6 @@
 """Session settings and lineage cutting shared by jobs, tests and the benchmark."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,24 +29,30 @@ def local_session(cores: int | str = "*", *, memory: str = "12g", shuffle: int =
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that every machine of the session sees.
 
-    The folder comes from ``spark.checkpoint.dir``; only where neither that nor a checkpoint
-    folder is set (tests on one machine) is a fresh temporary one chosen.
+    ``spark.checkpoint.dir`` names it. Where that is unset, a session on one machine uses a folder
+    below its warehouse; on a cluster the setting is required.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        folder = f"{warehouse}/_checkpoints"
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="gatelens-ckpt-"))
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage through the reliable checkpoint folder of the cluster."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder for a job's own files, below the shared folder of the cluster."""
-    import uuid
-
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    base = base or tempfile.mkdtemp(prefix="gatelens-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
