@@ -1,7 +1,10 @@
 """Helpers that several operators of this subpackage share."""
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -59,3 +62,44 @@ def id_blocks(df: DataFrame, id_col: str, rows: int) -> tuple[int, int]:
 def clear_of(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``docs`` without columns of the names that an operator adds."""
     return docs.drop(*[c for c in docs.columns if c.lower() in {x.lower() for x in columns}])
+
+
+#: Counts in one row of a partition's report; partitions are added up in this many groups first.
+COUNT_BLOCK = 4096
+GROUPS = 64
+
+
+def report(key: str, part: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows ``key, block, part, counts`` of one vector of counts."""
+    for block, at in enumerate(range(0, len(counts), COUNT_BLOCK)):
+        some = counts[at : at + COUNT_BLOCK].astype("<i8")
+        if some.any():
+            yield pa.RecordBatch.from_pydict(
+                {"key": [key], "block": [block], "part": [part], "counts": [some.tobytes()]}
+            )
+
+
+REPORT = "key string, block long, part long, counts binary"
+
+
+def summed(reports: DataFrame, size: int) -> dict[str, np.ndarray]:
+    """The summed vector of each key; few keys, vectors of ``size`` counts.
+
+    The vectors of all partitions are added in two steps, so no task holds many of them.
+    """
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(pdf["counts"].iloc[0], "<i8").copy()
+        for other in pdf["counts"].iloc[1:]:
+            total += np.frombuffer(other, "<i8")
+        return pdf.head(1).assign(counts=[total.tobytes()])
+
+    some = reports.withColumn("part", F.col("part") % GROUPS)
+    some = some.groupBy("key", "block", "part").applyInPandas(add, REPORT)
+    rows = some.groupBy("key", "block").applyInPandas(add, REPORT).collect()
+    out: dict[str, np.ndarray] = {}
+    for row in rows:
+        vector = out.setdefault(row.key, np.zeros(size, np.int64))
+        found = np.frombuffer(row.counts, "<i8")
+        vector[row.block * COUNT_BLOCK : row.block * COUNT_BLOCK + len(found)] = found
+    return out

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm import packing, token_counts, token_files
+from gatelens.llm import language, packing, quality, token_counts, token_files
+from gatelens.llm.common import written
 from gatelens.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +45,20 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_files.write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json"))
     back = token_files.read_token_files(spark, path)
     return back.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@registered
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language.held_out("doc_id")
+    model = language.train(docs.where(~out), "text", "lang")
+    found = language.identify(docs.drop("lang"), model)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@registered
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = written(quality.classify(docs, model).drop("text"), "quality")
+    return quality.resample(scored, scored.where("kept").count() // 4)
