@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm import language, packing, quality, token_counts, token_files
+from gatelens.llm import language, packing, quality, token_counts, token_files, warc
 from gatelens.llm.common import written
 from gatelens.session import scratch
 
@@ -62,3 +62,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = written(quality.classify(docs, model).drop("text"), "quality")
     return quality.resample(scored, scored.where("kept").count() // 4)
+
+
+@registered
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_bundles(table(spark, sf_dir, "pages"), path)
+    return warc.read_bundles(spark, path)
