@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.llm.common import small, starts, written
-from gatelens.llm.token_ids import ids_of
+from gatelens.llm.token_ids import ids_of, sliced
 
 _ENCODED = pa.schema(
     [
@@ -35,7 +35,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int, id_col: str, text: str) -
         words = ids_of(tokenizer)
         part = TaskContext.get().partitionId()
         done = 0
-        for batch in batches:
+        for batch in sliced(batches, 1):
             ids = words.of_texts(batch.column(1), end)
             n = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
             local = done + np.cumsum(n) - n

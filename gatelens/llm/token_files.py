@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 
 from gatelens.llm.blobs import read_files, write_files
 from gatelens.llm.common import id_blocks, starts
-from gatelens.llm.token_ids import ids_of
+from gatelens.llm.token_ids import ids_of, sliced
 
 MAGIC = b"GTIDS001"
 END = b"GTIDSEND"
@@ -56,7 +56,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text: str) ->
     width = id_width(tokenizer)
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 0):
             ids = ids_of(tokenizer).of_texts(batch.column(0)).to_pylist()
             short = [narrow(x, width)[:TRAIN_BYTES] for x in ids]
             yield pa.RecordBatch.from_pydict({"ids": pa.array(short, pa.large_binary())})
@@ -119,7 +119,7 @@ def write_token_files(
         if known:
             known.precompute_compress(level=LEVEL)
         zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=known)
-        for batch in batches:
+        for batch in sliced(batches, 2):
             ids = words.of_texts(batch.column(2), end)
             n = pc.divide(pc.binary_length(ids), 4).cast(pa.int64())
             frames = [zstd.compress(narrow(x.as_py(), width)) for x in ids]

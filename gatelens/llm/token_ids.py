@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Runs in one of the two generations of a worker's cache.
-GENERATION = 250_000
+GENERATION = 150_000
 #: Bytes of text that are cut into words at a time; a longer text is a slice of its own.
-SLICE = 12_000_000
+SLICE = 4_000_000
 
 # The layout for which runs may be cut here: fixed values of the public tokenizer file.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -56,17 +56,13 @@ class WordIds:
         No special tokens are put around a text, and a null text has no ids.
         """
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        parts = []
-        for some in _slices(texts):
-            certain = self._certain(some)
-            ids = self._from_words(pc.if_else(certain, some, ""))
-            if not pc.all(certain).as_py():
-                rest = [None if c else self._from_library(t) for c, t in zip(
-                    certain.to_pylist(), some.to_pylist(), strict=True)]
-                ids = pc.if_else(certain, ids, pa.array(rest, pa.large_binary()))
-            parts.append(ids)
-        out = pa.concat_arrays(parts) if parts else pa.array([], pa.large_binary())
-        if end is None or not len(out):
+        certain = self._certain(texts)
+        out = self._from_words(pc.if_else(certain, texts, ""))
+        if not pc.all(certain).as_py():
+            pairs = zip(certain.to_pylist(), texts.to_pylist(), strict=True)
+            rest = [None if known else self._from_library(text) for known, text in pairs]
+            out = pc.if_else(certain, out, pa.array(rest, pa.large_binary()))
+        if end is None:
             return out
         last = pa.scalar(packed([end]), pa.large_binary())
         return pc.binary_join_element_wise(out, last, pa.scalar(b"", pa.large_binary()))
@@ -153,15 +149,18 @@ class WordIds:
                     )
 
 
-def _slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """Neighbouring texts of at most ``SLICE`` bytes together."""
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(texts):
-        done = ends[at - 1] if at else 0
-        upto = max(at + 1, int(np.searchsorted(ends, done + SLICE, side="right")))
-        yield texts.slice(at, upto - at)
-        at = upto
+def sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with at most ``SLICE`` bytes of text, so that few ids are held at a time."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+        ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            done = ends[at - 1] if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, done + SLICE, side="right")))
+            yield batch.slice(at, upto - at)
+            at = upto
+        pa.default_memory_pool().release_unused()
 
 
 def _cuts_into_runs(layout: dict) -> bool:
