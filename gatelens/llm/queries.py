@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm import fingerprints, language, neardup, packing, quality, token_counts, token_files, warc
+from gatelens.llm import fingerprints, language, nbest, neardup, packing, quality, token_counts, token_files, warc
 from gatelens.llm.common import written
 from gatelens.session import scratch
 
@@ -80,3 +80,19 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_bundles(table(spark, sf_dir, "pages"), path)
     return warc.read_bundles(spark, path)
+
+
+@registered
+def op10_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = nbest.encode_nbest(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    first = F.col("nbest")[0]
+    return found.select(
+        "doc_id",
+        F.size("nbest").alias("n_best"),
+        (F.octet_length(first["ids"]) / 4).cast("long").alias("n_pieces"),
+        F.transform("nbest", lambda x: x["score"]).alias("scores"),
+        F.transform("nbest", lambda x: F.crc32(x["ids"])).alias("ids_crc32"),
+        F.octet_length("decoded").cast("long").alias("decoded_bytes"),
+        F.sha1("decoded").alias("decoded_sha1"),
+    )
