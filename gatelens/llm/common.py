@@ -15,13 +15,23 @@ from gatelens.session import scratch
 BLOCK = 4096
 #: Rows of two numbers that may be broadcast.
 BROADCAST_ROWS = 2_000_000
+#: Shuffle files of a finished write are removed at once, so rounds do not pile them up.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` after a round trip through a table in the shared folder; cuts lineage."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
