@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gatelens.llm.blobs import read_files, write_files
-from gatelens.llm.common import id_blocks, starts
+from gatelens.llm.common import id_blocks, small, starts
 from gatelens.llm.token_ids import ids_of, sliced
 
 MAGIC = b"GTIDS001"
@@ -266,6 +266,8 @@ def read_token_files(spark: SparkSession, path: str, wanted: list[int] | None =
     )
     kind = "segment long, part long, doc_id long, local long, n_tokens long, ids binary"
     found = files.mapInArrow(documents, kind)
+    # one row of three numbers a file: broadcast while that is few, so that no ids are shuffled
+    bases = small(bases, read_files(spark, f"{path}/files").select("path").count())
     return found.join(bases, ["segment", "part"]).select(
         "doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids"
     )
