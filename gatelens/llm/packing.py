@@ -67,14 +67,13 @@ def pack(
     packed each, other columns are left aside, and an empty table gives no pieces. All sequences
     but the last are full.
     """
-    parts = max(1, docs.rdd.getNumPartitions())
     rows = written(encoded(docs, tokenizer, end, id_col, text), "packing")
     totals = rows.groupBy("part").agg(F.sum("n").alias("total"))
-    bases = starts(totals, "part", "total", "base").select("part", "base")
+    bases = small(starts(totals, "part", "total", "base").select("part", "base"), totals.count())
     begin = F.col("base") + F.col("local")
     last = F.floor((begin + F.col("n") - 1) / length)
     placed = (
-        rows.join(small(bases, parts), "part")
+        rows.join(bases, "part")
         .withColumn("begin", begin)
         .withColumn("sequence_id", F.explode(F.sequence(F.floor(begin / length), last)))
     )
