@@ -50,7 +50,8 @@ def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         upto = max(at + 1, int(np.searchsorted(ends, done + SLICE, side="right")))
         some = texts.slice(at, upto - at)
         signs = pc.replace_substring_regex(some, r"([!-/:-@\[-`{-~]+)", r" \1 ")
-        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(signs))
+        signs = pc.ascii_trim_whitespace(signs)
+        lists = pc.ascii_split_whitespace(signs)
         words = pc.dictionary_encode(lists.flatten())
         hashes = np.array(
             [xxhash.xxh32_intdigest(w) if w else 0 for w in words.dictionary.to_pylist()], np.uint32
