@@ -46,8 +46,9 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     Words are runs without ASCII white space, with A-Z in lower case. A text with fewer words than
     a shingle has one, its whole sequence; a text without words has none.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    # lower case first: it misreads a slice that was cast to wide offsets
+    texts = pc.fill_null(pc.ascii_lower(texts), "").cast(pa.large_string())
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
     words = pc.dictionary_encode(lists.flatten())
     known = words.dictionary.to_pylist()
     blank = known.index("") if "" in known else -1

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -143,6 +144,14 @@ def test_near_duplicates_against_brute_force(spark, percent, monkeypatch):
     assert all(r.kept == (i == want[i]) for i, r in got.items())
 
 
+def test_shingles_of_slices():
+    texts = pa.array([t for _, t in _copies()] * 2)
+    whole, count = neardup.shingles(texts)
+    at = int(count[:50].sum())
+    part, some = neardup.shingles(texts.slice(50))
+    assert (some == count[50:]).all() and (part == whole[at:]).all()
+
+
 def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "A B")], "doc_id long, text string")
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
