@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from gatelens.functions.scalars import escape_token, let
 
-DEPTH = 4
+#: Levels opened inside the JVM; deeper containers, which are rare, are finished in Arrow batches.
+NATIVE_LEVELS = 4
 
 
 def _children(value: Column) -> Column:
@@ -22,11 +23,11 @@ def _children(value: Column) -> Column:
     return F.coalesce(members, items)
 
 
-def leaf_array(args: Column, *, depth: int = DEPTH) -> Column:
+def leaf_array(args: Column, *, depth: int = NATIVE_LEVELS) -> Column:
     """Leaves of a variant as array<struct<pointer, value>>, inside the row and the JVM.
 
-    ``depth`` levels are opened. A container below that stays in the result as it is, so
-    nothing is lost and ``any_depth_leaves`` can finish it.
+    ``depth`` levels are opened. A container below that stays in the result as it is;
+    ``with_leaves`` finishes it.
     """
     found = F.transform(
         _children(args),
@@ -42,6 +43,11 @@ def _is_container(value: Column) -> Column:
     return F.startswith(schema, F.lit("OBJECT<")) | F.startswith(schema, F.lit("ARRAY<"))
 
 
+def is_filled(value: Column) -> Column:
+    """Whether a variant is a container with members; only an empty one is a leaf."""
+    return _is_container(value) & (F.size(_children(value)) > 0)
+
+
 def open_leaves(found: Column, levels: int) -> Column:
     """Replace containers in an array of (pointer, value) by their children, ``levels`` times.
 
@@ -78,45 +84,76 @@ def open_leaves(found: Column, levels: int) -> Column:
     )
 
 
-def any_depth_leaves(text: Column) -> Column:
-    """Leaves of JSON text at any depth (values as JSON text), for rows deeper than usual."""
+def _finished(rest: Column) -> Column:
+    """Leaves of (pointer, JSON text) containers at any depth; most rows have none of them."""
 
     @F.pandas_udf("array<struct<pointer:string,value:string>>")
-    def walk_documents(documents: pd.Series) -> pd.Series:
+    def walk_documents(rows: pd.Series) -> pd.Series:
         import json
 
         def walk(value, base):
-            if isinstance(value, dict) and value:
-                for key, item in value.items():
-                    yield from walk(item, base + "/" + key.replace("~", "~0").replace("/", "~1"))
-            elif isinstance(value, list) and value:
-                for position, item in enumerate(value):
-                    yield from walk(item, f"{base}/{position}")
-            else:
-                yield {"pointer": base, "value": json.dumps(value, ensure_ascii=False)}
-
-        def one(document):
-            try:
-                return list(walk(json.loads(document), ""))
-            except (TypeError, ValueError):
-                return None
-
-        return documents.map(one)
-
-    return walk_documents(text)
+            waiting = [(value, base)]
+            while waiting:
+                value, base = waiting.pop()
+                if isinstance(value, dict) and value:
+                    inner = [(k.replace("~", "~0").replace("/", "~1"), v) for k, v in value.items()]
+                elif isinstance(value, list) and value:
+                    inner = list(enumerate(value))
+                else:
+                    yield {"pointer": base, "value": json.dumps(value, ensure_ascii=False)}
+                    continue
+                waiting.extend((item, f"{base}/{name}") for name, item in reversed(inner))
+
+        def one(nodes):
+            if nodes is None or not len(nodes):
+                return []
+            return [x for n in nodes for x in walk(json.loads(n["value"]), n["pointer"])]
+
+        return rows.map(one)
+
+    # not to be evaluated twice, nor to be moved into a filter below the projection
+    return walk_documents.asNondeterministic()(rest)
+
+
+def with_leaves(df: DataFrame, args: Column, out: str) -> DataFrame:
+    """``df`` with all leaves of a variant as array<struct<pointer, value>>, at any depth.
+
+    The first levels are opened in the JVM. Only containers below them go through Arrow, as text;
+    rows without such a container send an empty array. NULL for what is no container.
+    """
+    native = df.withColumn("_native", leaf_array(args))
+    filled = F.filter("_native", lambda n: is_filled(n["value"]))
+    rest = F.transform(
+        F.coalesce(filled, F.array().cast("array<struct<pointer:string,value:variant>>")),
+        lambda n: F.struct(n["pointer"].alias("pointer"), F.to_json(n["value"]).alias("value")),
+    )
+    below = F.transform(
+        "_below",
+        lambda n: F.struct(
+            n["pointer"].alias("pointer"), F.try_parse_json(n["value"]).alias("value")
+        ),
+    )
+    ready = F.filter("_native", lambda n: ~is_filled(n["value"]))
+    return (
+        native.withColumn("_below", _finished(rest))
+        .withColumn(
+            out, F.when(F.size("_below") == 0, F.col("_native")).otherwise(F.concat(ready, below))
+        )
+        .drop("_native", "_below")
+    )
 
 
 def flatten_args(
-    calls: DataFrame, *, args: str = "args", key: str = "call_id", depth: int | None = DEPTH
+    calls: DataFrame, *, args: str = "args", key: str = "call_id", depth: int | None = None
 ) -> DataFrame:
     """``key``, ``pointer``, ``value`` (variant): one row per leaf of the JSON text ``args``.
 
-    With ``depth=None`` the documents are walked to any depth in Arrow batches.
+    Leaves are found at any depth. With ``depth`` only so many levels are opened, and a container
+    below them is a row of its own.
     """
+    parsed = F.try_parse_json(args)
     if depth is None:
-        leaves = calls.select(key, F.explode(any_depth_leaves(F.col(args))).alias("leaf"))
-        return leaves.select(
-            key, "leaf.pointer", F.try_parse_json("leaf.value").alias("value")
-        ).where(F.col("pointer") != "")
-    opened = calls.select(key, leaf_array(F.try_parse_json(args), depth=depth).alias("leaves"))
+        opened = with_leaves(calls.select(key, args), parsed, "leaves")
+    else:
+        opened = calls.select(key, leaf_array(parsed, depth=depth).alias("leaves"))
     return opened.select(key, F.explode("leaves").alias("leaf")).select(key, "leaf.*")

@@ -7,8 +7,10 @@ no step ever needs more than one block per row. Proofs and prefix roots join eac
 own block only, so no node near the root becomes a hot join key.
 """
 
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -468,22 +470,43 @@ def canonical_leaves(events: DataFrame, start: int = 0) -> DataFrame:
 
 
 def drop_secret_keys(document: Column) -> Column:
-    """JSON text without secret-named keys on the first two levels of objects.
+    """JSON text without secret-named keys, at any depth and inside lists.
 
-    Deeper or list-borne secrets are removed by the leaf form (``scan.drop_secret_leaves``).
+    Only texts that may hold such a key (or an escaped name) leave the JVM. Numbers keep their
+    text. NULL for what is no JSON object.
     """
     from gatelens.operators.scan import SECRET_KEYS
 
-    def clean(members: Column) -> Column:
-        return F.map_filter(members, lambda k, v: ~F.lower(k).isin(*SECRET_KEYS))
+    @F.pandas_udf("string")
+    def stripped(documents: pd.Series) -> pd.Series:
+        import json
 
-    members = F.try_variant_get(F.try_parse_json(document), "$", "map<string,variant>")
+        mark = "\ue000number:"
 
-    def inner(value: Column) -> Column:
-        nested = F.try_variant_get(value, "$", "map<string,variant>")
-        return F.coalesce(F.to_variant_object(clean(nested)), value)
+        def clean(value):
+            if isinstance(value, dict):
+                return {k: clean(v) for k, v in value.items() if k.lower() not in SECRET_KEYS}
+            return [clean(v) for v in value] if isinstance(value, list) else value
 
-    return F.to_json(F.to_variant_object(F.transform_values(clean(members), lambda _, v: inner(v))))
+        def one(document):
+            if document is None:
+                return None
+            try:
+                value = json.loads(document, parse_float=lambda text: mark + text)
+            except ValueError:
+                return None
+            text = json.dumps(clean(value), ensure_ascii=False)
+            return re.sub(f'"{mark}([^"]*)"', r"\1", text)
+
+        return documents.map(one)
+
+    names = "|".join(SECRET_KEYS)
+    suspect = F.regexp_like(document, F.lit(f'(?i)"(?:{names})"\\s*:')) | F.contains(
+        document, F.lit("\\u")
+    )
+    whole = F.when(suspect, stripped(F.when(suspect, document))).otherwise(document)
+    is_object = F.startswith(F.schema_of_variant(F.try_parse_json(document)), F.lit("OBJECT<"))
+    return F.when(is_object, whole)
 
 
 def tamper_diff(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.functions.hashing import canonical_json, sha256_hex
-from gatelens.functions.leaves import flatten_args, leaf_array
+from gatelens.functions.leaves import flatten_args, with_leaves
 from gatelens.functions.scalars import escape_token, is_prefix, strip
 from gatelens.operators import predicates as p
 from gatelens.operators.labels import cover_labels
@@ -98,10 +98,10 @@ def label_probes(labels: DataFrame, probes: list[p.Probe]) -> DataFrame:
 
 
 def nested_probes(
-    calls: DataFrame, labels: DataFrame, probes: list[p.Probe], depth: int
+    calls: DataFrame, labels: DataFrame, probes: list[p.Probe]
 ) -> DataFrame:
     """Answers for container arguments: the join over all leaves under the path."""
-    covered = cover_labels(flatten_args(calls, depth=depth), labels)
+    covered = cover_labels(flatten_args(calls), labels)
     answers = []
     for probe in probes:
         under = is_prefix(F.lit(probe.path), F.col("pointer"))
@@ -112,30 +112,34 @@ def nested_probes(
     return covered.groupBy("call_id").agg(*answers)
 
 
-def _pointers_of(depth: int) -> Column:
-    """Pointers of all leaves; only calls with container arguments are opened further."""
+def with_pointers(calls: DataFrame, out: str) -> DataFrame:
+    """Add the pointers of all leaves; only calls with container arguments are opened further."""
     top = F.transform(
         F.map_entries(p.TYPES),
         lambda e: F.concat(F.lit("/"), escape_token(e["key"])),
     )
-    deep = F.transform(leaf_array(F.col(p.ARGS), depth=depth), lambda x: x["pointer"])
     nested = F.exists(F.map_values(p.TYPES), lambda t: t.isin("array", "object"))
-    return F.when(nested, deep).otherwise(top)
+    opened = with_leaves(calls, F.when(nested, F.col(p.ARGS)), "_leaves")
+    deep = F.transform("_leaves", lambda x: x["pointer"])
+    return opened.withColumn(out, F.when(nested, deep).otherwise(top)).drop("_leaves")
 
 
-def with_labels(calls: DataFrame, labels: DataFrame, ruleset: RuleSet, depth: int = 4) -> DataFrame:
+def with_labels(calls: DataFrame, labels: DataFrame, ruleset: RuleSet) -> DataFrame:
     """Add the answers to the rules' label probes and the list of unlabelled leaves."""
     probes = ruleset.probes()
     flat = [x for x in probes if ruleset.is_scalar(x.path)]
     nested = [x for x in probes if not ruleset.is_scalar(x.path)]
     rows = calls.join(label_probes(labels, flat), "call_id", "left")
     if nested:
-        rows = rows.join(nested_probes(calls, labels, nested, depth), "call_id", "left")
+        rows = rows.join(nested_probes(calls, labels, nested), "call_id", "left")
     known = F.coalesce("_pointers", F.array().cast("array<string>"))
     unlabelled = F.filter(
-        _pointers_of(depth), lambda leaf: ~F.exists(known, lambda k: is_prefix(k, leaf))
+        "_leaf_pointers", lambda leaf: ~F.exists(known, lambda k: is_prefix(k, leaf))
+    )
+    rows = with_pointers(rows, "_leaf_pointers")
+    return rows.withColumn("_missing", F.array_sort(unlabelled)).drop(
+        "_pointers", "_leaf_pointers"
     )
-    return rows.withColumn("_missing", F.array_sort(unlabelled)).drop("_pointers")
 
 
 def with_facts(calls: DataFrame, facts: DataFrame | None, ruleset: RuleSet) -> DataFrame:
@@ -309,7 +313,6 @@ def evaluate_policy(
     ruleset: RuleSet,
     *,
     facts: DataFrame | None = None,
-    depth: int = 4,
 ) -> DataFrame:
     """Verdict per call: the input columns plus ``category``, ``decision`` and ``reasons``.
 
@@ -318,7 +321,7 @@ def evaluate_policy(
     does an unknown tool. Rules can only escalate, and so can the signal in ``ml_decision``.
     """
     keep = calls.columns
-    rows = with_facts(with_labels(with_tools(calls, ruleset), labels, ruleset, depth), facts, ruleset)
+    rows = with_facts(with_labels(with_tools(calls, ruleset), labels, ruleset), facts, ruleset)
     for name, kind in (("purpose", "string"), ("ml_decision", "int")):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatelens.functions.leaves import leaf_array
+from gatelens.functions.leaves import is_filled, with_leaves
 from gatelens.functions.scalars import normalise, strip
 from gatelens.functions.text import amount_tokens, close_tags, pii_tags
 from gatelens.operators.predicates import json_type_sql
@@ -43,11 +43,11 @@ def register_task_tokens(tasks: DataFrame) -> DataFrame:
     leaves = tasks.select(
         "task_id", F.concat(words, amounts).alias("_a"), F.try_parse_json("params").alias("_p")
     )
-    typed = leaves.select(
+    typed = with_leaves(leaves, F.col("_p"), "_found").select(
         "task_id",
         "_a",
         F.transform(
-            F.coalesce(leaf_array(F.col("_p")), F.array().cast("array<struct<pointer:string,value:variant>>")),
+            F.coalesce("_found", F.array().cast("array<struct<pointer:string,value:variant>>")),
             lambda x: F.struct(
                 F.try_variant_get(x["value"], "$", "string").alias("text"),
                 x["value"].alias("value"),
@@ -162,6 +162,7 @@ def label_for_values(
         "task_id",
         kind.alias("_kind"),
         F.when(kind == "string", text).alias("_text"),
+        is_filled(F.col("value")).alias("_filled"),
         key.alias("key"),
     )
     said = lookup(
@@ -191,7 +192,10 @@ def label_for_values(
         )
     )
     empty = F.array().cast("array<string>")
-    constant = F.col("_kind").isin("boolean", "null", "array", "object")
+    # a container that was not opened may hold anything: it counts as the model's own
+    constant = F.col("_kind").isin("boolean", "null", "array", "object") & ~F.coalesce(
+        "_filled", F.lit(False)
+    )
     found = (
         F.when(constant, "constant")
         .when(F.col("_said"), "task")

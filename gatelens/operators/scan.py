@@ -84,7 +84,8 @@ def sanitise_leaves(leaves: DataFrame, **options) -> DataFrame:
     A value under a secret-looking name, or nested deeper than twelve levels, is masked.
     ``leaves`` has ``pointer`` and ``value`` (text, NULL for JSON null).
     """
-    names = F.slice(F.split("pointer", "/"), 2, 10_000)
+    names = F.split("pointer", "/")
+    names = F.slice(names, 2, F.size(names))
     masked = F.exists(names, tx.is_secret_key) | (F.size(names) > MAX_DEPTH)
     safe_names = F.transform(names, lambda n: tx.safe_text(n, **options))
     return leaves.withColumn(

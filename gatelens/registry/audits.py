@@ -171,11 +171,13 @@ def head_schedule(t):
 
 @query(
     "aud15_canonical_leaf",
-    "SELECT event_id + 5 AS idx, '{\"domain\":\"x\",\"inner\":{\"kind\":\"' || event_type || '\"},\"n\":' || event_id || '}' AS payload, sha256(from_hex('00') || encode('{\"domain\":\"x\",\"inner\":{\"kind\":\"' || event_type || '\"},\"n\":' || event_id || '}')) AS leaf_hash FROM events",
+    "SELECT idx, payload, sha256(from_hex('00') || encode(payload)) AS leaf_hash FROM (SELECT event_id + 5 AS idx, "
+    "'{\"domain\":\"x\",\"inner\":{\"a\":{\"b\":{\"list\":[{\"ok\":1}]}},\"kind\":\"' || event_type || '\"},\"items\":[{},\"x\"],\"n\":' || event_id || '}' AS payload FROM events) e",
 )
 def canonical_leaf(t):
     events = t.sql(
-        "SELECT event_id AS seq, '{\"n\": ' || CAST(event_id AS STRING) || ', \"sig\": \"s\", \"inner\": {\"Token\": 1, \"kind\": \"' || event_type || '\", \"Seed\": 2}, \"domain\": \"x\"}' AS event FROM events"
+        "SELECT event_id AS seq, '{\"n\": ' || CAST(event_id AS STRING) || ', \"sig\": \"s\", \"inner\": {\"Token\": 1, \"kind\": \"' || event_type || '\", \"Seed\": 2, \"a\": {\"b\": {\"password\": \"hunter2\", \"list\": [{\"api_key\": \"k\", \"ok\": 1}]}}}, "
+        "\"items\": [{\"secret\": \"s\"}, \"x\"], \"domain\": \"x\"}' AS event FROM events"
     ).withColumn("event", F.replace("event", F.lit('"Token": 1, '), F.lit("")))
     return au.canonical_leaves(events, start=5)
 

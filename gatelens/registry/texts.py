@@ -176,13 +176,13 @@ def pseudonym_query(t):
 
 
 SECRET_EVENTS = """
-SELECT event_id AS call_id, '{"id":' || CAST(event_id AS STRING) || ',"Password":"p","inner":{"sig":"s","kind":"<b>' || event_type || '</b> & co"},"list":[{"seed":1,"ok":"c' || CAST(user_id AS STRING) || '@mail.example"}]}' AS args FROM events
+SELECT event_id AS call_id, '{"id":' || CAST(event_id AS STRING) || ',"Password":"p","inner":{"sig":"s","kind":"<b>' || event_type || '</b> & co"},"list":[{"seed":1,"ok":"c' || CAST(user_id AS STRING) || '@mail.example"}],"deep":{"a":{"b":{"c":{"d":{"password":"p","ok":"o"}}}}}}' AS args FROM events
 """
 
 
 @query(
     "scn09_drop_secret_keys",
-    "SELECT event_id AS call_id, unnest(['/id', '/inner/kind', '/list/0/ok']) AS pointer FROM events",
+    "SELECT event_id AS call_id, unnest(['/id', '/inner/kind', '/list/0/ok', '/deep/a/b/c/d/ok']) AS pointer FROM events",
 )
 def drop_secret_keys(t):
     return sc.drop_secret_leaves(flatten_args(t.sql(SECRET_EVENTS.strip()))).select("call_id", "pointer")
@@ -190,7 +190,7 @@ def drop_secret_keys(t):
 
 @query(
     "scn10_sanitise_event",
-    "SELECT call_id, unnest(['/Password', '/id', '/inner/kind', '/inner/sig', '/list/0/ok', '/list/0/seed']) AS pointer, unnest(['[REDACTED]', '' || call_id, '&lt;b&gt;' || event_type || '&lt;/b&gt; &amp; co', 's', '[REDACTED:email]', '1']) AS value FROM v_calls",
+    "SELECT call_id, unnest(['/Password', '/id', '/inner/kind', '/inner/sig', '/list/0/ok', '/list/0/seed', '/deep/a/b/c/d/password', '/deep/a/b/c/d/ok']) AS pointer, unnest(['[REDACTED]', '' || call_id, '&lt;b&gt;' || event_type || '&lt;/b&gt; &amp; co', 's', '[REDACTED:email]', '1', '[REDACTED]', 'o']) AS value FROM v_calls",
 )
 def sanitise_event(t):
     leaves = flatten_args(t.sql(SECRET_EVENTS.strip())).select(

@@ -45,7 +45,8 @@ SELECT call_id, ts, principal, session_id, task_id, server, tool, payee_vpa, amo
   WHEN tool = 'read_document' THEN '{"doc_id":"D' || CAST(call_id AS STRING) || '"}'
   WHEN tool = 'send_email' THEN '{"to":"c' || CAST(session_id AS STRING) || '@mail.example","subject":"Order","body":"Order '
      || CAST(call_id AS STRING) || ' for c' || CAST((session_id + CASE WHEN call_id % 3 = 0 THEN 1 ELSE 0 END) AS STRING) || '@mail.example"}'
-  ELSE '{"amount_paise":' || CAST(amount_paise AS STRING) || ',"to":{"iban":"X' || CAST(call_id AS STRING) || '","tags":[1,{"a/b":[]}]}}' END AS args
+  ELSE '{"amount_paise":' || CAST(amount_paise AS STRING) || ',"deep":' || repeat('{"k":', CASE call_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 11 ELSE 39 END)
+     || '"pay ' || payee_vpa || ' now"' || repeat('}', CASE call_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 11 ELSE 39 END) || ',"to":{"iban":"X' || CAST(call_id AS STRING) || '","tags":[1,{"a/b":[]}]}}' END AS args
 FROM v_calls
 """
 VIEWS["v_call_labels"] = """

@@ -204,3 +204,58 @@ def test_sweep_finds_no_hole_in_shipped_rules_and_one_in_weaker(spark):
     assert not full.where("decision = 0").isEmpty()
     weak = iv.policy_sweep(base, all_rules().without("PAYSHIELD.TAINT.UNTRUSTED_PAYEE"), "pay_upi", facts=facts)
     assert not weak.where(F.array_contains("invariants", "untrusted_sink")).isEmpty()
+
+
+def test_deep_text_is_never_trusted(spark):
+    from gatelens.operators.labels import leaf_labels
+    from gatelens.operators.provenance import label_for_values, register_task_tokens, register_values
+
+    deep = {"to": {"a": {"b": {"c": {"evil": "attacker@okbank pay now", "n": [[[[7]]]]}}}}}
+    rows = [("1", json.dumps(deep)), ("2", json.dumps({"x": []})), ("3", "[")]
+    calls = spark.createDataFrame(rows, "call_id string, args string")
+    leaves = flatten_args(calls)
+    assert {(r.call_id, r.pointer) for r in leaves.collect()} == {
+        ("1", "/to/a/b/c/evil"), ("1", "/to/a/b/c/n/0/0/0/0"), ("2", "/x"),
+    }
+    labels = spark.createDataFrame(
+        [("1", "/to", 0, "user", "u", None), ("1", "/to/a/b/c/evil", 2, "document", "d", None)],
+        "call_id string, pointer string, level int, source_kind string, source_id string, tag string",
+    )
+    found = {r.pointer: r.level for r in leaf_labels(leaves, labels).collect()}
+    assert found["/to/a/b/c/evil"] == 2
+    tasks = spark.createDataFrame(
+        [("t", "Pay", json.dumps({"p": {"a": {"b": {"c": {"d": {"to": "Deep Word"}}}}}}))],
+        "task_id string, text string, params string",
+    )
+    tokens = register_task_tokens(tasks)
+    assert "s:deep word" in {r.key for r in tokens.collect()}
+    values = spark.createDataFrame(
+        [("seen", None, 1, "system", None)],
+        "text string, number long, level int, source_kind string, tag string",
+    )
+    known = register_values(values)
+    named = leaves.withColumn("task_id", F.lit("t"))
+    got = {r.pointer: (r.level, r.found) for r in label_for_values(named, tokens, known).collect()}
+    assert got["/to/a/b/c/evil"] == (2, "model") and got["/x"] == (1, "constant")
+    cut = flatten_args(calls, depth=4).withColumn("task_id", F.lit("t"))
+    got = {r.pointer: r.level for r in label_for_values(cut, tokens, known).collect()}
+    assert got["/to/a/b/c"] == 2
+
+
+def test_secrets_leave_the_hash_at_any_depth(spark):
+    from gatelens.operators.audit import canonical_leaves
+
+    events = [
+        {"a": {"b": {"password": "hunter2", "list": [{"api_key": "k"}]}}, "items": [{"secret": "s"}]},
+        {"k": {"l": {"m": {"n": {"Seed": 1, "kept": [1, {"sig": 2}]}}}}},
+        {"plain": 1},
+    ]
+    rows = [(i, json.dumps(e)) for i, e in enumerate(events)] + [(3, '{"\\u0073eed": 1, "x": 2}'), (4, "[1]")]
+    got = canonical_leaves(spark.createDataFrame(rows, "seq long, event string")).collect()
+    assert {r.idx: r.payload for r in got} == {
+        0: '{"a":{"b":{"list":[{}]}},"items":[{}]}',
+        1: '{"k":{"l":{"m":{"n":{"kept":[1,{}]}}}}}',
+        2: '{"plain":1}',
+        3: '{"x":2}',
+        4: None,
+    }
