@@ -14,15 +14,17 @@ def approval_check(calls: DataFrame, approvals: DataFrame) -> DataFrame:
     """``approval_valid`` and ``approval_binding_mismatch`` of each call.
 
     ``calls``: call_id, ts, task_id, tool, digest. ``approvals``: task_id, tool, digest,
-    issued_at, expires_at, status, consumed_ts, sig_ok. A token is live from its issue up to
-    its expiry (exclusive) while approved and unconsumed. Both questions are answered by
+    issued_at, expires_at, status, consumed_ts, sig_ok. An approved token is live from its issue
+    up to its expiry or its use (both exclusive); a use after the call does not undo the call. Both questions are answered by
     counting live intervals at the time of the call, so a busy task never pairs all its calls
     with all its approvals.
     """
-    usable = approvals.where("status = 'approved' AND consumed_ts IS NULL")
+    usable = approvals.where("status = 'approved'").withColumn(
+        "_end", F.least("expires_at", "consumed_ts")
+    )
     points = calls.select("call_id", "ts", "task_id", "tool", "digest")
     live = stab_count(
-        points, usable, ["task_id", "tool"], "ts", "issued_at", "expires_at", "live"
+        points, usable, ["task_id", "tool"], "ts", "issued_at", "_end", "live"
     )
     exact = stab_count(
         live,
@@ -30,7 +32,7 @@ def approval_check(calls: DataFrame, approvals: DataFrame) -> DataFrame:
         ["task_id", "tool", "digest"],
         "ts",
         "issued_at",
-        "expires_at",
+        "_end",
         "exact",
     )
     valid = F.col("exact") > 0

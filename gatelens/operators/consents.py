@@ -105,12 +105,13 @@ def consent_facts(
 
     ``calls``: call_id, ts, tool, purpose, to. ``subjects``: call_id, subject. ``consents``:
     principal_id, category, purpose (one row per purpose), exp, withdrawn_at. ``emails``:
-    subject, email. Without a purpose both facts are NULL. All subjects must be covered.
+    subject, email. Without a purpose both facts are NULL. All subjects must be covered. A consent
+    holds up to its expiry or withdrawal; a withdrawal after the call does not undo the call.
     """
     usable = (
-        consents.where("category = 'customer_data' AND withdrawn_at IS NULL")
+        consents.where("category = 'customer_data'")
         .groupBy(F.col("principal_id").cast("string").alias("subject"), "purpose")
-        .agg(F.max("exp").alias("_last"))
+        .agg(F.max(F.least("exp", "withdrawn_at")).alias("_last"))
     )
     own = emails.groupBy("subject").agg(F.min(normalise("email")).alias("_email"))
     pairs = subjects.join(calls.select("call_id", "ts", "purpose", "to"), "call_id")

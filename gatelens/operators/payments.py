@@ -44,7 +44,7 @@ def mandate_as_of(calls: DataFrame, mandates: DataFrame) -> DataFrame:
 
 
 def nonce_owners(mandates: DataFrame) -> DataFrame:
-    """The first mandate that used a nonce owns it."""
+    """The first mandate that used a nonce owns it, whatever is stored later."""
     first = oldest_per_key(
         mandates.select("nonce", "mandate_id", "stored_order"), ["nonce"], ["stored_order"]
     )
@@ -97,32 +97,37 @@ def payment_facts(
     """The eight mandate facts of each payment call; NULL where they cannot be determined.
 
     ``calls``: call_id, ts, principal, payee_vpa, amount_paise, task_category,
-    declared_category. ``mandates``: principal, mandate_id, nonce, stored_order, per_txn_cap,
-    daily_cap, category, nbf, exp, key_id, sig_ok and optionally ``parsed``. ``payees``:
-    principal, vpa, cap. Without a mandate every fact is NULL; a mandate that cannot be read
-    only fails the signature fact. The signature verdict arrives as a column; the purpose of
-    the key is checked here.
+    declared_category. ``mandates``: principal, mandate_id, nonce, stored_order, stored_at,
+    per_txn_cap, daily_cap, category (one or an array of them), nbf, exp, key_id, sig_ok and
+    optionally ``parsed``. ``payees``: mandate_id, vpa, cap. A call is judged by the mandate that
+    was the newest when it came and by that mandate's own payees; what is stored later changes
+    nothing. Without a mandate every fact is NULL; a mandate that cannot be read only fails the
+    signature fact. The signature verdict arrives as a column; the purpose of the key is checked
+    here.
     """
-    current = latest_mandate(mandates)
-    if "parsed" not in current.columns:
-        current = current.withColumn("parsed", F.lit(True))
-    current = (
-        current.join(nonce_owners(mandates), "nonce", "left")
-        .select(
-            "principal",
-            F.struct(
-                "mandate_id", "per_txn_cap", "daily_cap", "category", "nbf", "exp", "parsed",
-                F.coalesce(F.col("owner") == F.col("mandate_id"), F.lit(False)).alias("fresh"),
-                F.coalesce(F.col("sig_ok") & (key_purpose("key_id") == "mandate-signer"), F.lit(False)).alias("signed"),
-            ).alias("m"),
-        )
+    stored = mandates
+    if "parsed" not in stored.columns:
+        stored = stored.withColumn("parsed", F.lit(True))
+    categories = F.col("category")
+    if stored.schema["category"].dataType.typeName() != "array":
+        categories = F.array("category")
+    fresh = F.coalesce(F.col("owner") == F.col("mandate_id"), F.lit(False))
+    signed = F.coalesce(F.col("sig_ok") & (key_purpose("key_id") == "mandate-signer"), F.lit(False))
+    history = stored.join(nonce_owners(mandates), "nonce", "left").select(
+        "principal",
+        "stored_at",
+        "stored_order",
+        F.struct(
+            "mandate_id", "per_txn_cap", "daily_cap", categories.alias("categories"),
+            "nbf", "exp", "parsed", fresh.alias("fresh"), signed.alias("signed"),
+        ).alias("m"),
     )
-    caps = payees.groupBy("principal", "vpa").agg(F.min("cap").alias("payee_cap")).select(
-        "principal", F.col("vpa").alias("payee_vpa"), "payee_cap"
+    caps = payees.groupBy("mandate_id", "vpa").agg(F.min("cap").alias("payee_cap")).select(
+        F.col("mandate_id").alias("_mandate"), F.col("vpa").alias("payee_vpa"), "payee_cap"
     )
     spent = spend_before(calls, ledger).select(F.col("id").alias("_id"), "spent")
-    rows = lookup(calls, current, ["principal"])
-    rows = lookup(rows, caps, ["principal", "payee_vpa"])
+    rows = mandate_as_of(calls, history).withColumn("_mandate", F.col("m.mandate_id"))
+    rows = lookup(rows, caps, ["_mandate", "payee_vpa"])
     rows = rows.withColumn("_id", F.col("call_id").cast("string")).join(spent, "_id", "left")
     readable = F.col("m").isNotNull() & F.col("m.parsed")
     amount = F.when(F.col("amount_paise") > 0, F.col("amount_paise"))
@@ -146,7 +151,7 @@ def payment_facts(
         ),
         "category_matches": F.when(
             readable,
-            F.coalesce(F.col("task_category") == F.col("m.category"), F.lit(False))
+            F.coalesce(F.array_contains("m.categories", F.col("task_category")), F.lit(False))
             & F.coalesce(declared == "PAYMENT", F.lit(True)),
         ),
     }
@@ -164,7 +169,7 @@ def mandate_status(
         F.count("*").alias("uses"),
     )
     # a mandate lists its own payees: their number is bounded by the mandate document
-    names = payees.groupBy("principal").agg(
+    names = payees.groupBy("mandate_id").agg(
         F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("payee_names")
     )
     owned = mandates.join(nonce_owners(mandates), "nonce", "left")
@@ -180,7 +185,7 @@ def mandate_status(
     return (
         owned.withColumn("state", state)
         .join(used, "principal", "left")
-        .join(names, "principal", "left")
+        .join(names, "mandate_id", "left")
         .select(
             "mandate_id",
             "principal",

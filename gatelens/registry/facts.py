@@ -11,7 +11,11 @@ PAYS = """
 SELECT call_id, ts, principal, CASE WHEN call_id % 59 = 0 THEN NULL ELSE payee_vpa END AS payee_vpa, CASE WHEN call_id % 61 = 0 THEN NULL WHEN call_id % 67 = 0 THEN -5 ELSE amount_paise END AS amount_paise,
   CASE WHEN call_id % 12 = 0 THEN 'READ' ELSE 'PAYMENT' END AS task_category, declared_category FROM v_calls WHERE tool = 'pay_upi'
 """
-LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY principal ORDER BY stored_order DESC) AS rn FROM v_mandates) z WHERE rn = 1"
+# the mandate that was the newest in the store when the call came
+LATEST = (
+    "SELECT * FROM (SELECT c.call_id AS for_call, m.*, row_number() OVER (PARTITION BY c.call_id ORDER BY m.stored_at DESC, m.stored_order DESC) AS rn "
+    "FROM pays c JOIN v_mandates m ON m.principal = c.principal AND m.stored_at <= c.ts) z WHERE rn = 1"
+)
 OWNERS = "SELECT nonce, min_by(mandate_id, stored_order) AS owner FROM v_mandates GROUP BY nonce"
 SPENT = """
 SELECT txn_id AS call_id, coalesce(sum(amount_paise) OVER (PARTITION BY principal, CAST(ts AS DATE) ORDER BY ts, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM v_payments
@@ -26,8 +30,8 @@ SELECT c.call_id,
   CASE WHEN m.mandate_id IS NOT NULL AND c.amount_paise > 0 THEN c.amount_paise <= m.per_txn_cap END AS amount_within_per_txn_cap,
   CASE WHEN m.mandate_id IS NOT NULL AND c.amount_paise > 0 THEN s.spent + c.amount_paise <= m.daily_cap END AS amount_within_daily_cap,
   CASE WHEN m.mandate_id IS NOT NULL THEN c.task_category = m.category AND coalesce(c.declared_category = 'PAYMENT', true) END AS category_matches
-FROM pays c LEFT JOIN latest m ON m.principal = c.principal LEFT JOIN owners o ON o.nonce = m.nonce
-LEFT JOIN v_mandate_payees p ON p.principal = c.principal AND p.vpa = c.payee_vpa LEFT JOIN spent s ON s.call_id = c.call_id
+FROM pays c LEFT JOIN latest m ON m.for_call = c.call_id LEFT JOIN owners o ON o.nonce = m.nonce
+LEFT JOIN v_mandate_payees p ON p.mandate_id = m.mandate_id AND p.vpa = c.payee_vpa LEFT JOIN spent s ON s.call_id = c.call_id
 """
 PARTS = {"pays": PAYS, "latest": LATEST, "owners": OWNERS, "spent": SPENT, "facts": FACT_SQL}
 
@@ -73,7 +77,7 @@ CHECK_APPROVALS = "SELECT approval_id, task_id, tool, CAST(bound_call_id AS STRI
 CHECKED = """
 SELECT c.call_id, bool_or(a.sig_ok AND a.digest = c.digest) IS TRUE AS approval_valid,
   count(a.task_id) > 0 AND bool_or(a.sig_ok AND a.digest = c.digest) IS NOT TRUE AS approval_binding_mismatch
-FROM ccalls c LEFT JOIN capps a ON a.task_id = c.task_id AND a.tool = c.tool AND a.status = 'approved' AND a.consumed_ts IS NULL AND a.issued_at <= c.ts AND c.ts < a.expires_at
+FROM ccalls c LEFT JOIN capps a ON a.task_id = c.task_id AND a.tool = c.tool AND a.status = 'approved' AND (a.consumed_ts IS NULL OR c.ts < a.consumed_ts) AND a.issued_at <= c.ts AND c.ts < a.expires_at
 GROUP BY c.call_id
 """
 
@@ -145,10 +149,9 @@ def call_subjects(t):
 
 
 CONSENT_FACTS = """
-SELECT s.call_id, CASE WHEN s.purpose IS NOT NULL THEN bool_and(k.last IS NOT NULL AND s.ts < k.last) END AS consent_active,
+SELECT s.call_id, CASE WHEN s.purpose IS NOT NULL THEN bool_and(EXISTS (SELECT 1 FROM v_consents k WHERE CAST(k.principal_id AS VARCHAR) = j.subject AND k.purpose = s.purpose AND k.category = 'customer_data' AND s.ts < k.exp AND (k.withdrawn_at IS NULL OR s.ts < k.withdrawn_at))) END AS consent_active,
   CASE WHEN s.purpose IS NOT NULL THEN s.purpose <> 'marketing' AND s.tool IN ('read_customer_data', 'send_email') AND (s.tool <> 'send_email' OR bool_and(c.email IS NOT NULL AND c.email = s.dest)) END AS sink_allowed_for_purpose
 FROM scalls s JOIN subj j ON j.call_id = s.call_id
-LEFT JOIN (SELECT CAST(principal_id AS VARCHAR) AS subject, purpose, max(exp) AS last FROM v_consents WHERE category = 'customer_data' AND withdrawn_at IS NULL GROUP BY 1, 2) k ON k.subject = j.subject AND k.purpose = s.purpose
 LEFT JOIN cust c ON c.subject = j.subject GROUP BY s.call_id, s.purpose, s.tool
 """
 
@@ -276,12 +279,12 @@ def mandate_present(t):
 
 @query(
     "prd15_mandate_covers",
-    "SELECT c.call_id, CASE WHEN c.amount_paise IS NOT NULL AND c.payee_vpa IS NOT NULL THEN EXISTS (SELECT 1 FROM v_mandates m JOIN v_mandate_payees p ON p.principal = m.principal "
+    "SELECT c.call_id, CASE WHEN c.amount_paise IS NOT NULL AND c.payee_vpa IS NOT NULL THEN EXISTS (SELECT 1 FROM v_mandates m JOIN v_mandate_payees p ON p.mandate_id = m.mandate_id "
     "WHERE m.principal = c.principal AND p.vpa = c.payee_vpa AND c.amount_paise <= p.cap AND m.nbf <= c.ts AND c.ts <= m.exp) END AS mandate_covers FROM pays c",
     pays=PAYS,
 )
 def mandate_covers(t):
-    offers = t.v_mandates.join(t.v_mandate_payees, "principal").select(
+    offers = t.v_mandates.join(t.v_mandate_payees.drop("principal"), "mandate_id").select(
         "principal", F.col("vpa").alias("payee_vpa"), "cap", "nbf", "exp"
     )
     return pay.mandate_covers(t.sql(PAYS.strip()), offers)
@@ -292,7 +295,7 @@ def mandate_covers(t):
     f"SELECT m.mandate_id, m.principal, CASE WHEN NOT m.sig_ok OR o.owner <> m.mandate_id THEN 'invalid' WHEN {NOW} < m.nbf THEN 'not_yet_valid' WHEN {NOW} >= m.exp THEN 'expired' ELSE 'valid' END AS state, "
     f"CAST(coalesce(u.today, 0) AS BIGINT) AS used_today, coalesce(u.uses, 0) AS uses, coalesce(n.names, '') AS payee_names FROM v_mandates m JOIN owners o ON o.nonce = m.nonce "
     f"LEFT JOIN (SELECT principal, sum(CASE WHEN CAST(ts AS DATE) = CAST({NOW} AS DATE) THEN amount_paise ELSE 0 END) AS today, count(*) AS uses FROM v_payments GROUP BY principal) u ON u.principal = m.principal "
-    "LEFT JOIN (SELECT principal, string_agg(DISTINCT name, ', ' ORDER BY name) AS names FROM v_mandate_payees GROUP BY principal) n ON n.principal = m.principal",
+    "LEFT JOIN (SELECT mandate_id, string_agg(DISTINCT name, ', ' ORDER BY name) AS names FROM v_mandate_payees GROUP BY mandate_id) n ON n.mandate_id = m.mandate_id",
     owners=OWNERS,
 )
 def mandate_status(t):

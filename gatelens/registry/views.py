@@ -89,16 +89,27 @@ SELECT n_nationkey, 'm' || CAST(n_nationkey AS STRING) || 'b', 'nb' || CAST(n_na
   TIMESTAMP '2024-01-12 06:00:00', CAST(15000 AS BIGINT), CAST(60000 AS BIGINT), 'PAYMENT',
   TIMESTAMP '2024-01-12 00:00:00', TIMESTAMP '2024-03-01 00:00:00', true, 'mandate-signer'
 FROM nation WHERE n_regionkey = 2
+UNION ALL
+SELECT n_nationkey, 'm' || CAST(n_nationkey AS STRING) || 'z', 'nz' || CAST(n_nationkey AS STRING), n_nationkey + 200,
+  TIMESTAMP '2030-01-01 00:00:00', CAST(900000000 AS BIGINT), CAST(900000000 AS BIGINT), 'PAYMENT',
+  TIMESTAMP '2030-01-01 00:00:00', TIMESTAMP '2031-01-01 00:00:00', true, 'mandate-signer'
+FROM nation
 """
 VIEWS["v_mandate_payees"] = """
-SELECT principal, payee_vpa AS vpa, CAST(2000 + min(amount_paise) % 5000 + 3000 AS BIGINT) AS cap, 'Payee of ' || payee_vpa AS name
+SELECT principal, 'm' || CAST(principal AS STRING) AS mandate_id, payee_vpa AS vpa, CAST(2000 + min(amount_paise) % 5000 + 3000 AS BIGINT) AS cap, 'Payee of ' || payee_vpa AS name
 FROM v_calls GROUP BY principal, payee_vpa HAVING min(amount_paise) < 200
+UNION ALL
+SELECT principal, 'm' || CAST(principal AS STRING) || 'b', payee_vpa, CAST(9000 AS BIGINT), 'Payee of ' || payee_vpa
+FROM v_calls WHERE principal IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) GROUP BY principal, payee_vpa HAVING min(amount_paise) % 2 = 0
+UNION ALL
+SELECT principal, 'm' || CAST(principal AS STRING) || 'z', payee_vpa, CAST(900000000 AS BIGINT), 'Payee of ' || payee_vpa
+FROM v_calls GROUP BY principal, payee_vpa
 """
 VIEWS["v_consents"] = """
 SELECT 'cn' || CAST(c_custkey AS STRING) AS consent_id, c_custkey AS principal_id, 'customer_data' AS category,
   CASE WHEN c_mktsegment = 'FURNITURE' THEN 'order_support' WHEN c_custkey % 2 = 0 THEN 'payment_reminders' ELSE 'marketing' END AS purpose,
   CASE WHEN c_custkey % 4 = 0 THEN TIMESTAMP '2024-01-15 00:00:00' ELSE TIMESTAMP '2025-01-01 00:00:00' END AS exp,
-  CASE WHEN c_custkey % 7 = 0 THEN TIMESTAMP '2024-01-10 00:00:00' END AS withdrawn_at
+  CASE WHEN c_custkey % 7 = 0 THEN TIMESTAMP '2024-01-10 00:00:00' WHEN c_custkey % 7 = 3 THEN TIMESTAMP '2024-06-01 00:00:00' END AS withdrawn_at
 FROM customer
 UNION ALL
 SELECT 'co' || CAST(c_custkey AS STRING), c_custkey, CASE WHEN c_acctbal < 0 THEN 'location' ELSE 'customer_data' END, 'order_support',
@@ -108,7 +119,7 @@ VIEWS["v_approvals"] = """
 SELECT 'a' || CAST(event_id AS STRING) AS approval_id, 'T' || CAST(user_id AS STRING) AS task_id, 'pay_upi' AS tool,
   CASE WHEN event_id % 4 = 0 THEN event_id + 1 ELSE event_id END AS bound_call_id,
   ts - INTERVAL 60 SECOND AS issued_at, ts + INTERVAL 60 SECOND AS expires_at,
-  CASE WHEN event_id % 10 = 0 THEN ts - INTERVAL 1 SECOND END AS consumed_ts, event_id % 9 <> 0 AS sig_ok,
+  CASE WHEN event_id % 10 = 0 THEN ts - INTERVAL 1 SECOND WHEN event_id % 10 = 5 THEN ts + INTERVAL 31 SECOND WHEN event_id % 10 = 7 THEN ts + INTERVAL 20 SECOND END AS consumed_ts, event_id % 9 <> 0 AS sig_ok,
   CASE WHEN event_id % 14 = 0 THEN 'rejected' WHEN event_id % 15 = 0 THEN 'pending' ELSE 'approved' END AS status,
   CASE WHEN event_id % 11 = 0 THEN 'voice-desk' WHEN event_id % 13 = 0 THEN '' ELSE 'ops' || CAST(event_id % 5 AS STRING) END AS approver
 FROM events WHERE event_type = 'purchase' AND value > 20
