@@ -215,15 +215,14 @@ def label_for_value(t):
 
 @query(
     "lbl12_substring_taint",
-    "SELECT d.call_id, 'c' || c.c_custkey || '@mail.example' AS text FROM doc d JOIN customer c ON d.tool = 'send_email' AND contains(d.j->>'$.body', 'c' || c.c_custkey || '@mail.example')",
-    doc=DOC,
+    "SELECT l.call_id, l.pointer, 'c' || c.c_custkey || '@mail.example' AS text FROM leaf l JOIN customer c ON l.type = 'VARCHAR' AND contains(CAST(l.value AS VARCHAR), 'c' || c.c_custkey || '@mail.example')",
+    **TREES,
 )
 def substring_taint(t):
-    bodies = t.v_call_args.select("call_id", F.get_json_object("args", "$.body").alias("value")).where(
-        "value IS NOT NULL"
-    )
+    leaves = flatten_args(t.v_call_args).where(F.schema_of_variant("value") == "STRING")
+    values = leaves.select("call_id", "pointer", F.try_variant_get("value", "$", "string").alias("value"))
     registry = t.customer.select(F.concat(F.lit("c"), "c_custkey", F.lit("@mail.example")).alias("text"))
-    return pv.substring_taint(bodies, registry, ["call_id"])
+    return pv.substring_taint(values, registry, ["call_id", "pointer"])
 
 
 # three derived handles per document, each derived from the one before

@@ -260,7 +260,7 @@ def agent_suite_means(t):
     return mt.agent_suite_means(t.sql(UNITS), ["side"])
 
 
-BLOCKS = "SELECT task_id AS task, tool || ' -> ' || CASE WHEN call_id % 2 = 0 THEN 'DENY: payee -> x' ELSE 'STEP_UP' END AS decision FROM v_calls WHERE amount_paise > 3000"
+BLOCKS = "SELECT task_id AS task, tool || ' -> ' || CASE WHEN call_id % 2 = 0 THEN 'DENY: payee -> x' ELSE 'STEP_UP' END AS decision FROM v_calls"
 
 
 @query(

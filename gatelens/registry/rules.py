@@ -6,6 +6,7 @@ from gatelens.operators import evaluate as ev
 from gatelens.operators import predicates as p
 from gatelens.operators.ruleset import all_rules, core_rules, merge, payment_rules, purpose_rules, voice_rules
 from gatelens.registry.base import query
+from gatelens.registry.labels import COVER, TREES
 from gatelens.registry.predicates import DOC
 
 RULES = all_rules()
@@ -236,14 +237,12 @@ def missing_arg(t):
 
 @query(
     "rul10_missing_label",
-    "SELECT call_id, string_agg(ptr, ',' ORDER BY ptr) AS paths FROM ("
-    "SELECT d.call_id, '/' || replace(replace(k.name, '~', '~0'), '/', '~1') AS ptr FROM (SELECT call_id, j, unnest(json_keys(j)) AS name FROM doc WHERE tool = 'pay_upi') k "
-    "JOIN doc d ON d.call_id = k.call_id) x WHERE NOT EXISTS (SELECT 1 FROM v_call_labels l WHERE l.call_id = x.call_id AND l.pointer = x.ptr) GROUP BY call_id",
-    doc=DOC,
+    "SELECT call_id, string_agg(DISTINCT pointer, ',' ORDER BY pointer) AS paths FROM cover WHERE level IS NULL GROUP BY call_id",
+    **TREES,
+    cover=COVER,
 )
 def missing_label(t):
-    pay = t.v_call_args.where("tool = 'pay_upi'")
-    rows = ev.with_labels(ev.with_tools(pay, RULES), t.v_call_labels, RULES)
+    rows = ev.with_labels(ev.with_tools(t.v_call_args, RULES), t.v_call_labels, RULES)
     return rows.select("call_id", F.explode(ev.missing_label_reasons()).alias("r")).select(
         "call_id", F.col("r.evidence").alias("paths")
     )
@@ -383,19 +382,19 @@ def denial_summary(t):
 
 @query(
     "rul21_strip_agent_purpose",
-    "SELECT call_id, json_exists(j, '$.Purpose') AS purpose_ignored, replace(args, '\"Purpose\":\"marketing\",', '') AS args FROM doc WHERE tool = 'read_customer_data' AND j IS NOT NULL",
+    "SELECT call_id, json_exists(j, '$.Purpose') AS purpose_ignored, replace(args, '\"Purpose\":\"marketing\",', '') AS args FROM doc WHERE j IS NOT NULL",
     doc=DOC,
 )
 def strip_agent_purpose(t):
-    reads = t.v_call_args.where("tool = 'read_customer_data'").where(F.try_parse_json("args").isNotNull())
+    reads = t.v_call_args.where(F.try_parse_json("args").isNotNull())
     return ev.strip_agent_purpose(reads).select("call_id", "purpose_ignored", "args")
 
 
 @query(
     "rul22_call_digest",
-    "SELECT call_id, sha256('{\"args\":{\"name\":\"Payee ' || (call_id % 10) || '\",\"vpa\":\"' || payee_vpa || '\"},\"principal\":\"' || principal || "
-    "'\",\"server\":\"upi\",\"task_id\":\"' || task_id || '\",\"tool\":\"add_payee\"}') AS digest FROM v_call_args WHERE tool = 'add_payee' AND json_valid(args)",
+    "SELECT call_id, sha256('{\"args\":{' || string_agg('\"' || name || '\":' || CAST(json_extract(j, '$.\"' || name || '\"') AS VARCHAR), ',' ORDER BY name) || '},\"principal\":\"' || principal || "
+    "'\",\"server\":\"upi\",\"task_id\":\"' || task_id || '\",\"tool\":\"' || tool || '\"}') AS digest FROM (SELECT *, unnest(json_keys(j)) AS name FROM doc WHERE j IS NOT NULL) k GROUP BY call_id, principal, task_id, tool",
+    doc=DOC,
 )
 def call_digest(t):
-    calls = t.v_call_args.where("tool = 'add_payee'")
-    return calls.select("call_id", ev.call_digest().alias("digest")).where("digest IS NOT NULL")
+    return t.v_call_args.select("call_id", ev.call_digest().alias("digest")).where("digest IS NOT NULL")

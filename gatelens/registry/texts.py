@@ -7,6 +7,7 @@ from gatelens.functions.hashing import pseudonym
 from gatelens.functions.leaves import flatten_args
 from gatelens.operators import scan as sc
 from gatelens.registry.base import query
+from gatelens.registry.labels import TREES
 from gatelens.registry.predicates import DOC
 
 # documents as they are, and texts with Indian identifiers made from the customer table
@@ -116,20 +117,26 @@ def find_secrets(t):
     return t.sql(SECRET_TEXT.strip()).select("doc_id", F.array_join(tx.find_secrets("text"), ",").alias("kinds"))
 
 
+SCRUBBED_DOCUMENTS = (
+    "SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\\b(?:api[_-]?key|secret|token|passwd|password)\\s*[:=]\\s*[^\\s,;\"'']{6,}', '[REDACTED:api_key]', 'g'), "
+    "'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}', '[REDACTED:email]', 'g') AS clean FROM documents"
+)
+
+
 @query(
     "scn05_scrub_text",
+    SCRUBBED_DOCUMENTS + " UNION ALL "
     "SELECT 2000000000 + event_id AS doc_id, CASE event_type WHEN 'click' THEN 'Authorization: [REDACTED:bearer]' WHEN 'view' THEN 'key [REDACTED:api_key]' WHEN 'error' THEN '[REDACTED:session]; path=/' WHEN 'signup' THEN '[REDACTED:api_key]' ELSE '[REDACTED:api_key] ok' END AS clean FROM events "
     "UNION ALL SELECT 1000000000 + c_custkey, 'Card of ' || c_name || ' [REDACTED:email], call [REDACTED:phone] PAN [REDACTED:pan] id [REDACTED:aadhaar].' FROM customer",
 )
 def scrub_text(t):
-    rows = t.sql(SECRET_TEXT.strip()).where("doc_id >= 1000000000")
+    rows = t.sql(SECRET_TEXT.strip())
     return rows.select("doc_id", tx.scrub("text").alias("clean"))
 
 
 @query(
     "scn05_scrub_documents",
-    "SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\\b(?:api[_-]?key|secret|token|passwd|password)\\s*[:=]\\s*[^\\s,;\"'']{6,}', '[REDACTED:api_key]', 'g'), "
-    "'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}', '[REDACTED:email]', 'g') AS clean FROM documents",
+    SCRUBBED_DOCUMENTS,
 )
 def scrub_documents(t):
     return t.documents.select("doc_id", tx.scrub("text").alias("clean"))
@@ -152,7 +159,7 @@ HMAC = (
     "substr(sha256(from_hex('" + bytes(b ^ 0x5C for b in KEY.ljust(64, b"\0")).hex() + "') || from_hex(sha256(from_hex('"
     + bytes(b ^ 0x36 for b in KEY.ljust(64, b"\0")).hex() + "') || encode({v})))), 1, 16)"
 )
-EMAIL_LEAVES = "SELECT d.call_id, '/' || a.name AS pointer, d.j->>('$.' || a.name) AS value FROM doc d, (SELECT unnest(['to', 'subject', 'body']) AS name) a WHERE d.tool = 'send_email' AND d.j IS NOT NULL"
+TEXT_LEAVES = "SELECT call_id, pointer, CASE type WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN json_extract_string(value, '$') ELSE CAST(value AS VARCHAR) END AS value FROM leaf"
 
 
 @query(
@@ -160,11 +167,11 @@ EMAIL_LEAVES = "SELECT d.call_id, '/' || a.name AS pointer, d.j->>('$.' || a.nam
     "SELECT call_id, pointer, CASE WHEN reason IS NULL THEN value WHEN reason <> 'secret' THEN " + HMAC.format(v="value") + " END AS value, reason FROM ("
     "SELECT f.*, CASE WHEN bool_or(l.tag = 'SECRET') THEN 'secret' WHEN bool_or(l.tag LIKE 'PII%') THEN 'pii' WHEN regexp_matches(f.value, '@mail\\.example') THEN 'pattern:email' END AS reason "
     "FROM ml f LEFT JOIN v_call_labels l ON l.call_id = f.call_id AND l.pointer = f.pointer GROUP BY f.call_id, f.pointer, f.value) z",
-    doc=DOC,
-    ml=EMAIL_LEAVES,
+    **TREES,
+    ml=TEXT_LEAVES,
 )
 def redact_args(t):
-    leaves = flatten_args(t.v_call_args.where("tool = 'send_email'")).select(
+    leaves = flatten_args(t.v_call_args).select(
         "call_id", "pointer", F.try_variant_get("value", "$", "string").alias("value")
     )
     return sc.redact_leaves(leaves, t.v_call_labels, KEY)
