@@ -117,10 +117,13 @@ def substring_taint(
     A contained text has all its pieces in the value, so values and texts meet on one piece of
     each text: the one fewest registered texts share, which keeps common prefixes from pairing
     everything with everything. ``contains`` then decides. Texts are cut into pieces as long as
-    their length tier allows; texts below the first tier do not count.
+    their length tier allows; texts below the first tier do not count. Each distinct value is cut
+    once, and pieces travel with the hash of their value, never with the value.
     """
     texts = registry.select("text").distinct()
-    whole = values.select(*keys, normalise("value").alias("_v"))
+    whole = values.select(*keys, normalise("value").alias("_v")).where("_v IS NOT NULL")
+    whole = whole.withColumn("_id", F.xxhash64("_v"))
+    unique = whole.select("_id", "_v").distinct()
     hits = None
     for place, size in enumerate(tiers):
         fits = F.length("text") >= size
@@ -135,10 +138,12 @@ def substring_taint(
             .groupBy("text")
             .agg(F.min_by("piece", F.struct("_n", "piece")).alias("piece"))
         )
-        opened = whole.select(*keys, "_v", F.explode(_shingles(F.col("_v"), size)).alias("piece"))
-        found = opened.join(anchors, "piece").where(F.contains("_v", "text")).select(*keys, "text")
+        opened = unique.select("_id", F.explode(_shingles(F.col("_v"), size)).alias("piece"))
+        found = opened.join(anchors, "piece").select("_id", "text")
         hits = found if hits is None else hits.unionByName(found)
-    return hits.distinct()
+    # values whose hashes collide are told apart here
+    inside = hits.distinct().join(unique, "_id").where(F.contains("_v", "text"))
+    return whole.join(inside, ["_id", "_v"]).select(*keys, "text").distinct()
 
 
 def label_for_values(
@@ -261,7 +266,8 @@ def handle_roots(handles: DataFrame) -> DataFrame:
     """Source handle of every handle: ``handle``, ``root``, ``depth`` of derivation.
 
     Pointer doubling: each round every handle jumps to what its current ancestor has reached,
-    so a chain of length n needs log2(n) joins. Only an emptiness test comes to the driver.
+    so a chain of length n needs log2(n) joins. Only counts come to the driver. A round that ends
+    no walk leaves nothing but cycles and what hangs on them: those get a NULL root and depth.
     """
     from gatelens.session import durable
 
@@ -271,6 +277,7 @@ def handle_roots(handles: DataFrame) -> DataFrame:
         F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"),
         F.col("parent").isNull().alias("done"),
     )
+    before = None
     while True:
         ahead = state.select(
             F.col("handle").alias("root"),
@@ -290,8 +297,11 @@ def handle_roots(handles: DataFrame) -> DataFrame:
                 (F.col("done") | F.coalesce("_done", F.lit(True))).alias("done"),
             )
         )
-        if state.where(~F.col("done")).isEmpty():
-            return state.select("handle", "root", "depth")
+        open_walks = state.where(~F.col("done")).count()
+        if open_walks in (0, before):
+            ended = [F.when(F.col("done"), F.col(c)).alias(c) for c in ("root", "depth")]
+            return state.select("handle", *ended)
+        before = open_walks
 
 
 def lineage(

@@ -9,7 +9,13 @@ from pyspark.sql import Window as W
 from gatelens.plans.skew import lookup
 
 ACCURACY = 10_000
-SMALL_GROUP = 100_000
+#: Half the width of a bracket, as a share of the group.
+MARGIN = 5.0 / ACCURACY
+#: A rank lies at most this many rows from its quantile; see the rank functions below.
+OFF = 2
+#: Beyond so many rows a bracket holds its rank: the sketch is off by n / ACCURACY at most, and the
+#: margin of n * MARGIN is wider than that and OFF together. Groups up to here are taken whole.
+WHOLE = int(OFF / (MARGIN - 1.0 / ACCURACY)) + 1
 
 
 def order_statistics(
@@ -18,19 +24,19 @@ def order_statistics(
     value: str,
     ranks: Mapping[str, tuple[float, Callable[[Column], Column]]],
     *,
-    small: int = SMALL_GROUP,
+    small: int = WHOLE,
 ) -> DataFrame:
     """Exact values at 1-based ranks of each group: ``keys``, ``n`` and one column per rank.
 
     ``ranks`` maps an output name to (quantile, function of the group size giving the rank).
     A quantile sketch (bounded size, partially aggregated) brackets each rank; only rows inside
-    a bracket, counted per distinct value, are ordered. Groups up to ``small`` rows are
-    bracketed by their own minimum and maximum, so the result is exact at every size.
+    a bracket, counted per distinct value, are ordered. Groups of up to ``small`` rows are
+    bracketed by their own minimum and maximum. Every bracket is checked against the counts below
+    it: should one miss its rank, the query fails rather than return a neighbour.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     brackets = sorted({q for q, _ in ranks.values()})
-    margin = 5.0 / ACCURACY
-    points = [p for q in brackets for p in (max(0.0, q - margin), min(1.0, q + margin))]
+    points = [p for q in brackets for p in (max(0.0, q - MARGIN), min(1.0, q + MARGIN))]
     sketch = rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.min("_v").alias("_min"),
@@ -81,6 +87,7 @@ def order_statistics(
         }
     )
     picked = []
+    kind = df.schema[value].dataType
     for name, (q, rank) in ranks.items():
         i = brackets.index(q)
         hit = (
@@ -88,7 +95,10 @@ def order_statistics(
             & (F.col("_c") >= F.col(f"_lo{i}"))
             & (F.col(f"_cum{i}") >= rank(F.col("n")))
         )
-        picked.append(F.min(F.when(hit, F.col("_c"))).alias(name))
+        found = F.min(F.when(hit, F.col("_c")))
+        holds = (F.sum(f"_below{i}") < rank(F.first("n"))) & found.isNotNull()
+        missed = F.raise_error(F.lit(f"a bracket misses the rank of {name}"))
+        picked.append(F.when(holds, found).otherwise(missed.cast(kind)).alias(name))
     return ranked.groupBy(*keys).agg(F.first("n").alias("n"), *picked)
 
 

@@ -10,14 +10,23 @@ SALTS = 16
 
 
 def lookup(
-    rows: DataFrame, table: DataFrame, keys: Sequence[str], *, how: str = "left", salts: int = SALTS
+    rows: DataFrame,
+    table: DataFrame,
+    keys: Sequence[str],
+    *,
+    how: str = "left",
+    salts: int | None = None,
 ) -> DataFrame:
     """Join many ``rows`` with a ``table`` that has one row per key.
 
-    The rows of a hot key are spread over ``salts`` reducers and the lookup row is repeated
-    for each of them, so no reducer receives a whole hot key. Rows get their salt from their
-    own content (not from a random number), so a retried task reproduces it.
+    As it stands a hot key is split at run time, when the shuffle has been measured (adaptive skew
+    join). With ``salts`` the rows of every key are spread over that many reducers and the lookup
+    row is repeated for each of them, for callers that know of hot keys and go on by the same key.
+    Rows then get their salt from their own content (not from a random number), so a retried task
+    reproduces it.
     """
+    if salts is None:
+        return rows.join(table, list(keys), how)
     payload = [c for c in rows.columns if c not in keys] or list(keys)
     # complex columns may hold maps, which xxhash64 refuses: hash the scalar columns only
     scalar = [

@@ -225,7 +225,9 @@ def deep_leaves(t):
     return flatten_args(rows, depth=None).select("call_id", "pointer", F.try_variant_get("value", "$", "bigint").alias("v"))
 
 
-@query("vox02_model_spread", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+@query("vox02_model_spread", "SELECT label, count(*) AS n, min(len(embedding)) / 16.0 AS shortest_s, max(len(embedding)) / 16.0 AS longest_s FROM embeddings GROUP BY label")
 def model_spread(t):
     quality = vo.clip_quality(t.embeddings.select(F.col("vec_id").alias("clip_id"), F.col("embedding").alias("samples")), frame=4, sample_rate=16)
-    return quality.join(t.embeddings, F.col("clip_id") == F.col("vec_id")).groupBy("label").agg(F.count("*").alias("n"))
+    return quality.join(t.embeddings, F.col("clip_id") == F.col("vec_id")).groupBy("label").agg(
+        F.count("*").alias("n"), F.min("duration_s").alias("shortest_s"), F.max("duration_s").alias("longest_s")
+    )

@@ -94,3 +94,25 @@ def test_edges_and_top_n(spark):
         assert newest[key] == max(mine)[1] and oldest[key] == min(mine)[1]
         want = sorted(((v, i) for i, k, _, v in rows if k == key), reverse=True)[:5]
         assert sorted(((r.v, r.id) for r in top if r.k == key), reverse=True) == want
+
+
+def test_order_statistics_on_both_sides_of_the_bracket_size(spark):
+    from gatelens.plans.order_stats import WHOLE, half_even_index, half_even_rank, upper_middle
+
+    ranks = {"mid": (0.5, upper_middle), "p95": (0.95, half_even_rank(0.95)), "p99": (0.99, half_even_index(0.99))}
+    for n in (1, 2, 7, WHOLE - 1, WHOLE, WHOLE + 1, 3 * WHOLE, 250_000):
+        df = spark.range(n).select(
+            F.lit("k").alias("k"), (F.pmod(F.col("id") * 7919, F.lit(n)) * F.lit(3)).alias("v")
+        )
+        row = order_statistics(df, ["k"], "v", ranks).first()
+        values = [3 * i for i in range(n)]
+        at = {"mid": n // 2 + 1, "p95": min(n, max(1, round(0.95 * n + 0.5))), "p99": min(n, round(0.99 * (n - 1)) + 1)}
+        assert row.n == n and {c: row[c] for c in ranks} == {c: values[r - 1] for c, r in at.items()}
+
+
+def test_a_cycle_of_handles_is_reported(spark):
+    from gatelens.operators.provenance import handle_roots
+
+    rows = [("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "x")]
+    got = {r.handle: (r.root, r.depth) for r in handle_roots(spark.createDataFrame(rows, "handle string, parent string")).collect()}
+    assert got == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "x": (None, None), "y": (None, None), "z": (None, None)}

@@ -259,3 +259,59 @@ def test_secrets_leave_the_hash_at_any_depth(spark):
         3: '{"x":2}',
         4: None,
     }
+
+
+def test_facts_are_those_of_the_time_of_the_call(spark):
+    from gatelens.operators.approvals import approval_check
+    from gatelens.operators.consents import consent_facts
+    from gatelens.operators.payments import FACTS, payment_facts
+
+    calls = spark.sql(
+        "SELECT 'c' AS call_id, TIMESTAMP '2024-01-05 00:00:00' AS ts, 1 AS principal, 'old@x' AS payee_vpa, 60L AS amount_paise,"
+        " 'READ' AS task_category, CAST(NULL AS STRING) AS declared_category"
+    )
+    mandates = spark.sql(
+        "SELECT * FROM VALUES (1, 'm1', 'n1', 1, TIMESTAMP '2024-01-01 00:00:00', 50L, 50L, array('PAYMENT', 'READ')),"
+        " (1, 'm2', 'n1', 2, TIMESTAMP '2024-01-20 00:00:00', 9000L, 9000L, array('PAYMENT'))"
+        " AS t(principal, mandate_id, nonce, stored_order, stored_at, per_txn_cap, daily_cap, category)"
+    ).selectExpr("*", "TIMESTAMP '2024-01-01 00:00:00' AS nbf", "TIMESTAMP '2025-01-01 00:00:00' AS exp", "'mandate-signer/1' AS key_id", "true AS sig_ok")
+    payees = spark.sql("SELECT 'm1' AS mandate_id, 'old@x' AS vpa, 55L AS cap UNION ALL SELECT 'm2', 'new@x', 9000L")
+    ledger = spark.sql("SELECT 1 AS principal, TIMESTAMP '2024-01-06 00:00:00' AS ts, 't' AS txn_id, 5L AS amount_paise")
+    row = payment_facts(calls, mandates, payees, ledger).first()
+    assert (row.payee_in_mandate, row.mandate_nonce_fresh, row.category_matches) == (True, True, True)
+    assert not (row.amount_within_per_txn_cap or row.amount_within_daily_cap or row.amount_within_payee_cap)
+    later = payment_facts(calls.withColumn("ts", F.expr("TIMESTAMP '2024-02-01 00:00:00'")), mandates, payees, ledger).first()
+    assert (later.payee_in_mandate, later.mandate_nonce_fresh, later.category_matches) == (False, False, False)
+    assert later.amount_within_per_txn_cap and set(FACTS) < set(later.asDict())
+
+    points = spark.sql(
+        "SELECT call_id, TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, s) AS ts, 't' AS task_id, 'pay' AS tool, 'd' AS digest"
+        " FROM VALUES ('a', 30), ('b', 31), ('c', 40) AS v(call_id, s)"
+    )
+    approvals = spark.sql(
+        "SELECT 't' AS task_id, 'pay' AS tool, 'd' AS digest, TIMESTAMP '2024-01-01 00:00:00' AS issued_at, TIMESTAMP '2024-01-01 00:02:00' AS expires_at,"
+        " 'approved' AS status, TIMESTAMP '2024-01-01 00:00:31' AS consumed_ts, true AS sig_ok"
+    )
+    assert {r.call_id: r.approval_valid for r in approval_check(points, approvals).collect()} == {"a": True, "b": False, "c": False}
+
+    asked = spark.sql(
+        "SELECT call_id, ts, 'read_customer_data' AS tool, 'order_support' AS purpose, CAST(NULL AS STRING) AS `to` FROM VALUES"
+        " ('a', TIMESTAMP '2024-01-05 00:00:00'), ('b', TIMESTAMP '2024-06-01 00:00:00') AS v(call_id, ts)"
+    )
+    subjects = spark.sql("SELECT 'a' AS call_id, '7' AS subject UNION ALL SELECT 'b', '7'")
+    consents = spark.sql(
+        "SELECT 7 AS principal_id, 'customer_data' AS category, 'order_support' AS purpose, TIMESTAMP '2025-01-01 00:00:00' AS exp,"
+        " TIMESTAMP '2024-06-01 00:00:00' AS withdrawn_at"
+    )
+    emails = spark.sql("SELECT '7' AS subject, 'e@x' AS email")
+    found = {r.call_id: r.consent_active for r in consent_facts(asked, subjects, consents, emails).collect()}
+    assert found == {"a": True, "b": False}
+
+
+def test_a_report_with_two_heads_is_not_ok(spark):
+    from gatelens.operators.audit import verify_report
+
+    entries = spark.createDataFrame([], "idx long, proof_idx long, payload string, domain string, leaf_hash string, path array<string>, tree_size long, root string")
+    heads = spark.createDataFrame([(1, "r", True), (1, "r", True)], "size long, root string, sig_ok boolean")
+    assert verify_report(entries, heads.limit(1), "d").first().ok
+    assert not verify_report(entries, heads, "d").first().ok
