@@ -17,6 +17,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from gatelens.functions.hashing import leaf_hash
 from gatelens.session import scratch
 
+#: How far behind the newest event an event may come before it is dropped.
+DELAY = "1 hour"
+#: How long the state of a nonce, token or approval is kept after its last event.
+KEEP_SECONDS = 86_400.0
+
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
@@ -89,26 +94,49 @@ def keyed(
     initial: tuple,
     output: str,
     state: str,
+    *,
+    keep_seconds: float | None = None,
+    delay: str = DELAY,
 ) -> DataFrame:
     """Fold the rows of each key in event order over a small state.
 
-    ``step(state, row) -> (state, output rows)``. ``state`` is the schema of the tuple.
+    ``step(state, row) -> (state, output rows)``. ``state`` is the schema of the tuple. With
+    ``keep_seconds`` a key starts anew with a row that comes so long after its last one (by ``ts``,
+    epoch seconds), and its state is dropped once the watermark (``delay`` behind the newest row) is
+    that far on, so keys that are used once do not pile up; rows behind the watermark are dropped.
     """
     names = [field.split()[0] for field in output.split(", ")]
+    timeout = GroupStateTimeout.NoTimeout
+    if keep_seconds is not None:
+        timeout = GroupStateTimeout.EventTimeTimeout
+        # one second on, since the first watermark is the epoch and would drop its instant
+        at = F.timestamp_micros(((F.col("ts") + 1) * 1_000_000).cast("long"))
+        stream = stream.withColumn("_at", at).withWatermark("_at", delay)
+        state = f"{state}, _last double"
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState):
-        current = held.get if held.exists else initial
+        if held.hasTimedOut:
+            held.remove()
+            return
+        current = tuple(held.get) if held.exists else initial
+        if keep_seconds is not None:
+            *current, last = current if held.exists else (*current, float("-inf"))
+            current = tuple(current)
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
         out: list[dict] = []
         for row in rows.to_dict("records"):
+            if keep_seconds is not None:
+                current = initial if row["ts"] - last > keep_seconds else current
+                last = max(last, float(row["ts"]))
             current, emitted = step(current, row)
             out.extend(emitted)
-        held.update(current)
+        held.update(current if keep_seconds is None else (*current, last))
+        if keep_seconds is not None:
+            until = int((last + 1 + keep_seconds) * 1000)
+            held.setTimeoutTimestamp(max(until, held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=names)
 
-    return stream.groupBy(*keys).applyInPandasWithState(
-        update, output, state, "append", GroupStateTimeout.NoTimeout
-    )
+    return stream.groupBy(*keys).applyInPandasWithState(update, output, state, "append", timeout)
 
 
 def gap_alerts(events: DataFrame) -> DataFrame:
@@ -142,11 +170,18 @@ def late_events(events: DataFrame) -> DataFrame:
     )
 
 
-def nonce_match(events: DataFrame, *, ttl_seconds: float = 30.0) -> DataFrame:
+def nonce_match(
+    events: DataFrame,
+    *,
+    ttl_seconds: float = 30.0,
+    keep_seconds: float = KEEP_SECONDS,
+    delay: str = DELAY,
+) -> DataFrame:
     """Liveness of each attempt; issues and attempts come in one stream.
 
     Input: nonce_id, kind (issue or attempt), session_id, ts (epoch seconds), heard (whether the
-    phrase was heard, NULL without a transcript). State: session, time of issue, used.
+    phrase was heard, NULL without a transcript). State: session, time of issue, used; it is dropped
+    ``keep_seconds`` after the last event of the nonce, and an attempt after that is a mismatch.
     """
 
     def step(state, row):
@@ -174,13 +209,18 @@ def nonce_match(events: DataFrame, *, ttl_seconds: float = 30.0) -> DataFrame:
         (-1, -1.0, False),
         "nonce_id bigint, session_id bigint, ts double, liveness string",
         "session bigint, issued double, used boolean",
+        keep_seconds=keep_seconds,
+        delay=delay,
     )
 
 
-def approval_expiry(events: DataFrame) -> DataFrame:
+def approval_expiry(
+    events: DataFrame, *, keep_seconds: float = KEEP_SECONDS, delay: str = DELAY
+) -> DataFrame:
     """First use of a live token wins; other uses are late, unknown or for another call.
 
-    Input: token_id, kind (issue or use), ts (epoch seconds), expires (issue), digest.
+    Input: token_id, kind (issue or use), ts (epoch seconds), expires (issue), digest. A token is
+    forgotten ``keep_seconds`` after its last event; uses after that are unknown.
     """
 
     def step(state, row):
@@ -208,18 +248,22 @@ def approval_expiry(events: DataFrame) -> DataFrame:
         (-1.0, "", False),
         "token_id string, ts double, verdict string",
         "expires double, digest string, used boolean",
+        keep_seconds=keep_seconds,
+        delay=delay,
     )
 
 
-def token_replay(events: DataFrame) -> DataFrame:
-    """Later uses of a nonce. Input: nonce, ts (epoch seconds), call_id."""
+def token_replay(
+    events: DataFrame, *, keep_seconds: float = KEEP_SECONDS, delay: str = DELAY
+) -> DataFrame:
+    """Later uses of a nonce within ``keep_seconds``. Input: nonce, ts (epoch seconds), call_id."""
 
     def step(state, row):
         (seen,) = state
         again = [{"nonce": row["nonce"], "call_id": row["call_id"]}] if seen else []
         return (True,), again
 
-    return keyed(events, ["nonce"], ["ts", "call_id"], step, (False,), "nonce string, call_id bigint", "seen boolean")
+    return keyed(events, ["nonce"], ["ts", "call_id"], step, (False,), "nonce string, call_id bigint", "seen boolean", keep_seconds=keep_seconds, delay=delay)
 
 
 def rate_limit(events: DataFrame, *, per_minute: int = 20) -> DataFrame:
@@ -274,7 +318,9 @@ def sliding_attempts(events: DataFrame, *, limit: int = 5, seconds: float = 60.0
     )
 
 
-def daily_cap_stream(payments: DataFrame) -> DataFrame:
+def daily_cap_stream(
+    payments: DataFrame, *, keep_seconds: float = 2 * KEEP_SECONDS, delay: str = DELAY
+) -> DataFrame:
     """Payments allowed under the daily cap, where only allowed ones use it up.
 
     Input: principal, day, ts (epoch seconds), txn_id, amount_paise, daily_cap.
@@ -295,6 +341,8 @@ def daily_cap_stream(payments: DataFrame) -> DataFrame:
         (0,),
         "txn_id bigint, principal int, allowed boolean, spent bigint",
         "spent bigint",
+        keep_seconds=keep_seconds,
+        delay=delay,
     )
 
 

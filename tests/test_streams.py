@@ -71,3 +71,13 @@ def test_audit_stream_continues_indexes(spark, tmp_path):
     got = spark.read.parquet(path).orderBy("idx").collect()
     assert [(r.idx, r.payload) for r in got] == [(i, f"p{i}") for i in range(40)]
     assert len({r.batch for r in got}) == 3
+
+
+def test_state_of_old_keys_is_dropped(spark, tmp_path):
+    rows = [(0, "a", 0.0), (1, "a", 50.0), (2, "b", 5_000.0), (3, "c", 9_000.0), (4, "a", 20_000.0), (5, "a", 20_010.0)]
+    df = spark.createDataFrame(rows, "seq long, nonce string, ts double").withColumn("call_id", F.col("seq"))
+    live = stream_of(spark, tmp_path, df, "replay", 3)
+    kept = st.token_replay(live, keep_seconds=1e9, delay="1 second")
+    assert {r.call_id for r in st.run_available(kept, "kept").collect()} == {1, 4, 5}
+    dropped = st.token_replay(live, keep_seconds=100.0, delay="1 second")
+    assert {r.call_id for r in st.run_available(dropped, "dropped").collect()} == {1, 5}
