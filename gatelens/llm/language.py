@@ -9,7 +9,6 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.llm.common import REPORT, clear_of, report, summed
+from gatelens.llm.token_ids import sliced
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -98,7 +98,7 @@ def train(docs: DataFrame, text: str, lang: str) -> LanguageModel:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in sliced(batches, 0):
             texts, langs = batch.column(0), batch.column(1)
             for name in pc.unique(langs).to_pylist():
                 some = texts.filter(pc.equal(langs, name)).to_pylist()
@@ -136,23 +136,30 @@ def predictor(docs: DataFrame, model: LanguageModel, text: str) -> Column:
     """A column ``lang_pred, score`` for ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = shared.value
-        names = np.array([*known.languages, UNKNOWN], object)
-        for texts in batches:
-            letters = pc.match_substring_regex(pa.array(texts, pa.string()), r"\p{L}")
-            letters = letters.fill_null(False).to_numpy(zero_copy_only=False)
-            if not known.languages:
-                letters[:] = False
-            best = np.full(len(texts), len(known.languages))
-            score = np.zeros(len(texts))
-            if letters.any():
-                total = scores(known, texts[letters].tolist())
-                chance = np.exp(total - total.max(1, keepdims=True))
-                best[letters] = total.argmax(1)
-                score[letters] = (chance / chance.sum(1, keepdims=True)).max(1)
-            yield pd.DataFrame({"lang_pred": names[best], "score": score})
+        names = pa.array([*known.languages, UNKNOWN])
+        for whole in batches:
+            found = []
+            for part in sliced(iter([pa.record_batch([whole], names=["text"])]), 0):
+                texts = part.column(0)
+                letters = pc.match_substring_regex(texts, r"\p{L}").fill_null(False)
+                some = letters.to_numpy(zero_copy_only=False) & bool(known.languages)
+                best = np.full(len(texts), len(known.languages))
+                score = np.zeros(len(texts))
+                if some.any():
+                    total = scores(known, texts.filter(pa.array(some)).to_pylist())
+                    chance = np.exp(total - total.max(1, keepdims=True))
+                    best[some] = total.argmax(1)
+                    score[some] = (chance / chance.sum(1, keepdims=True)).max(1)
+                found.append(
+                    pa.StructArray.from_arrays(
+                        [names.take(pa.array(best)), pa.array(score)], names=["lang_pred", "score"]
+                    )
+                )
+            kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+            yield pa.concat_arrays(found) if found else pa.array([], kind)
 
     return predict(F.col(text))
 

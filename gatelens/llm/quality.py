@@ -9,15 +9,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.llm.common import REPORT, clear_of, report, summed
+from gatelens.llm.token_ids import sliced
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
@@ -29,8 +29,6 @@ NEUTRAL = 20.0
 KEEP_GOOD = 0.995
 #: Features that a text of any length counts for in its weight.
 WEIGHT_FEATURES = 32.0
-#: Bytes of text that are cut into words at a time; a longer text is a slice of its own.
-SLICE = 12_000_000
 
 
 @dataclass
@@ -40,39 +38,30 @@ class QualityModel:
     threshold: float
 
 
-def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For slices of texts: number of the first text, buckets, and buckets by text."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(texts):
-        done = ends[at - 1] if at else 0
-        upto = max(at + 1, int(np.searchsorted(ends, done + SLICE, side="right")))
-        some = texts.slice(at, upto - at)
-        signs = pc.replace_substring_regex(some, r"([!-/:-@\[-`{-~]+)", r" \1 ")
-        signs = pc.ascii_trim_whitespace(signs)
-        lists = pc.ascii_split_whitespace(signs)
-        words = pc.dictionary_encode(lists.flatten())
-        hashes = np.array(
-            [xxhash.xxh32_intdigest(w) if w else 0 for w in words.dictionary.to_pylist()], np.uint32
-        )
-        word = hashes[words.indices.to_numpy(zero_copy_only=False)]
-        cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        n = np.diff(cuts)
-        pair = np.empty(2 * len(word), np.uint32)
-        pair[::2] = word
-        follows = np.append(word[1:], np.uint32(0)) * np.uint32(0x85EBCA6B)
-        pair[1::2] = (word * np.uint32(0xC2B2AE35)) ^ follows
-        pair *= np.uint32(0x9E3779B1)
-        pair >>= np.uint32(16)
-        used = np.ones(len(pair), bool)
-        used[2 * cuts[1:][n > 0] - 1] = False  # the last word of a text has no follower
-        empty = pc.equal(pc.list_value_length(lists), 1).to_numpy(zero_copy_only=False)
-        blank = empty & (pc.binary_length(signs).to_numpy(zero_copy_only=False) == 0)
-        used[2 * cuts[:-1][blank]] = False
-        sizes = np.where(blank, 0, np.maximum(2 * n - 1, 0))
-        yield at, pair[used], sizes
-        at = upto
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words and neighbouring pairs of all texts, and how many each text has."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    signs = pc.replace_substring_regex(texts, r"([!-/:-@\[-`{-~]+)", r" \1 ")
+    signs = pc.ascii_trim_whitespace(signs)
+    lists = pc.ascii_split_whitespace(signs)
+    words = pc.dictionary_encode(lists.flatten())
+    hashes = np.array(
+        [xxhash.xxh32_intdigest(w) if w else 0 for w in words.dictionary.to_pylist()], np.uint32
+    )
+    word = hashes[words.indices.to_numpy(zero_copy_only=False)]
+    cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    n = np.diff(cuts)
+    pair = np.empty(2 * len(word), np.uint32)
+    pair[::2] = word
+    follows = np.append(word[1:], np.uint32(0)) * np.uint32(0x85EBCA6B)
+    pair[1::2] = (word * np.uint32(0xC2B2AE35)) ^ follows
+    pair *= np.uint32(0x9E3779B1)
+    pair >>= np.uint32(16)
+    used = np.ones(len(pair), bool)
+    used[2 * cuts[1:][n > 0] - 1] = False  # the last word of a text has no follower
+    blank = (n == 1) & (pc.binary_length(signs).to_numpy(zero_copy_only=False) == 0)
+    used[2 * cuts[:-1][blank]] = False
+    return pair[used], np.where(blank, 0, np.maximum(2 * n - 1, 0))
 
 
 def labelled_sample(labels: DataFrame, id_col: str, rows: int = LABELLED) -> DataFrame:
@@ -102,13 +91,12 @@ def train(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus = np.zeros(BUCKETS, np.int64)
         target = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             ids = batch.column(0).fill_null(-1).to_numpy()
             wanted = np.isin(ids, shared.value) & batch.column(0).is_valid().to_numpy(False)
-            for at, codes, sizes in features(batch.column(1)):
-                corpus += np.bincount(codes, minlength=BUCKETS)
-                mine = np.repeat(wanted[at : at + len(sizes)], sizes)
-                target += np.bincount(codes[mine], minlength=BUCKETS)
+            codes, sizes = features(batch.column(1))
+            corpus += np.bincount(codes, minlength=BUCKETS)
+            target += np.bincount(codes[np.repeat(wanted, sizes)], minlength=BUCKETS)
         part = TaskContext.get().partitionId()
         yield from report("corpus", part, corpus)
         yield from report("target", part, target)
@@ -157,18 +145,25 @@ def scorer(docs: DataFrame, model: QualityModel, text: str) -> Column:
     """A column ``n_features, score`` for ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(model.ratio)
 
-    @F.pandas_udf("n_features long, score double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            n = np.zeros(len(texts), np.int64)
-            total = np.zeros(len(texts))
-            for at, codes, sizes in features(pa.array(texts, pa.string())):
+    @F.arrow_udf("n_features long, score double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in batches:
+            scored = []
+            for part in sliced(iter([pa.record_batch([whole], names=["text"])]), 0):
+                codes, sizes = features(part.column(0))
+                total = np.zeros(len(sizes))
                 some = np.flatnonzero(sizes)
-                n[at : at + len(sizes)] = sizes
                 if len(some):
                     begins = np.cumsum(sizes[some]) - sizes[some]
-                    total[at + some] = np.add.reduceat(shared.value[codes], begins)
-            yield pd.DataFrame({"n_features": n, "score": total / (n + NEUTRAL)})
+                    total[some] = np.add.reduceat(shared.value[codes], begins)
+                columns = [sizes.astype(np.int64), total / (sizes + NEUTRAL)]
+                scored.append(
+                    pa.StructArray.from_arrays(
+                        [pa.array(c) for c in columns], names=["n_features", "score"]
+                    )
+                )
+            kind = pa.struct([("n_features", pa.int64()), ("score", pa.float64())])
+            yield pa.concat_arrays(scored) if scored else pa.array([], kind)
 
     return score(F.col(text))
 
