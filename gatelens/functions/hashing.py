@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,13 +18,29 @@ def has_float(document: Column) -> Column:
 
 
 def canonical_json(document: Column) -> Column:
-    """Compact JSON text with sorted keys of a variant; NULL for floats (money is integer).
+    """Compact JSON text with keys sorted by code point of a variant; NULL for floats.
 
-    Variants keep object keys sorted, so the text needs no Python. The sort order is by UTF-16
-    unit, the one RFC 8785 asks for; it differs from code point order only for keys with
-    characters beyond the Basic Multilingual Plane.
+    Money is integer, hence no floats. Variants keep object keys sorted by UTF-16 unit, which is
+    the same order unless a key has signs beyond the Basic Multilingual Plane; only texts with such
+    signs leave the JVM to be sorted anew.
     """
-    return F.when(~has_float(document), F.to_json(document))
+
+    @F.pandas_udf("string")
+    def by_code_point(texts: pd.Series) -> pd.Series:
+        import json
+
+        def one(text):
+            if text is None:
+                return None
+            return json.dumps(
+                json.loads(text), ensure_ascii=False, sort_keys=True, separators=(",", ":")
+            )
+
+        return texts.map(one)
+
+    text = F.when(~has_float(document), F.to_json(document))
+    astral = F.regexp_like(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    return F.when(astral, by_code_point(F.when(astral, text))).otherwise(text)
 
 
 def sha256_hex(text: str | Column) -> Column:

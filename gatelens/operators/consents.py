@@ -99,7 +99,12 @@ def call_subjects(calls: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def consent_facts(
-    calls: DataFrame, subjects: DataFrame, consents: DataFrame, emails: DataFrame
+    calls: DataFrame,
+    subjects: DataFrame,
+    consents: DataFrame,
+    emails: DataFrame,
+    *,
+    tools: Mapping[str, Sequence[str]] = PURPOSE_TOOLS,
 ) -> DataFrame:
     """``consent_active`` and ``sink_allowed_for_purpose`` of each call.
 
@@ -123,7 +128,7 @@ def consent_facts(
         F.bool_and(F.coalesce(F.col("_email") == normalise("to"), F.lit(False))).alias("_own"),
     )
     rows = calls.join(per_call, "call_id", "left")
-    listed = F.array_contains(_per_purpose(PURPOSE_TOOLS, F.col("purpose")), F.col("tool"))
+    listed = F.array_contains(_per_purpose(tools, F.col("purpose")), F.col("tool"))
     allowed = (
         listed
         & F.col("_active").isNotNull()
@@ -194,9 +199,11 @@ def consent_covers(calls: DataFrame, consents: DataFrame, purpose: str) -> DataF
     )
 
 
-def minimise(purpose: Column, record: Column) -> Column:
+def minimise(
+    purpose: Column, record: Column, fields: Mapping[str, Sequence[str]] = PURPOSE_FIELDS
+) -> Column:
     """Struct(kept, removed) of a record (map): allowed fields stay, the rest is named."""
-    allowed = _per_purpose(PURPOSE_FIELDS, purpose)
+    allowed = _per_purpose(fields, purpose)
     kept = F.map_filter(record, lambda k, v: F.array_contains(allowed, k))
     removed = F.array_sort(F.array_except(F.map_keys(record), allowed))
     return F.struct(kept.alias("kept"), removed.alias("removed"))

@@ -200,6 +200,20 @@ def minimise_record(t):
     )
 
 
+# purposes as a caller supplies them
+OWN_FIELDS = {"order_support": ("id", "pan"), "marketing": ("city",)}
+
+
+@query(
+    "udf07_purpose_tables",
+    "SELECT id, CASE purpose WHEN 'order_support' THEN 'id,pan' WHEN 'marketing' THEN 'city' ELSE '' END AS kept FROM rec",
+    rec=RECORDS,
+)
+def purpose_tables(t):
+    kept = cs.minimise(F.col("purpose"), _record(*RECORD_FIELDS), OWN_FIELDS)["kept"]
+    return t.sql(RECORDS.strip()).select("id", F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("kept"))
+
+
 @query(
     "lbl17_response_tags",
     "SELECT id, 'PII,PII_EMAIL' || CASE WHEN pan <> '' THEN ',PII_PAN' ELSE '' END || CASE WHEN phone <> '' THEN ',PII_PHONE' ELSE '' END AS tags FROM rec",

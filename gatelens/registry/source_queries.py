@@ -111,6 +111,23 @@ def read_results(t):
     )
 
 
+@query(
+    "src08_read_results_files",
+    "SELECT p_brand AS commit, max(p_size) AS asr, CASE WHEN count(*) % 2 = 0 THEN 'v' || count(*) END AS voice FROM part GROUP BY p_brand",
+)
+def read_results_files(t):
+    folder = scratch(t.spark, "results")
+    docs = t.part.groupBy("p_brand").agg(F.max("p_size").alias("s"), F.count("*").alias("n"))
+    value = "'{\"commit\":\"' || p_brand || '\",\\n\"with\":{\"asr\":' || s || '}' || CASE WHEN n % 2 = 0 THEN ',\"voice\":\"v' || n || '\"}' ELSE '}' END"
+    docs.select(F.expr(value).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    found = tb.read_results(t.spark, folder, ["commit", "with", "voice"])
+    return found.select(
+        F.try_variant_get("commit", "$", "string").alias("commit"),
+        F.try_variant_get("with", "$.asr", "int").alias("asr"),
+        F.try_variant_get("voice", "$", "string").alias("voice"),
+    )
+
+
 WRITES = "SELECT user_id AS key, value AS amount, event_id FROM events WHERE event_type = 'signup'"
 KEPT = "SELECT c_custkey AS key, c_acctbal AS amount, CAST(-1 AS BIGINT) AS event_id FROM customer WHERE c_acctbal > 0"
 
@@ -163,6 +180,15 @@ def systematic_sample(t):
     return tb.systematic_sample(t.documents.select("doc_id", "lang"), ["lang"], ["doc_id"], 20)
 
 
+@query(
+    "src14_systematic_sample_by_name",
+    "SELECT c_custkey, c_mktsegment FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY 'k' || (c_custkey % 100), c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) z WHERE i % greatest(1, n // 7) = 0 AND i // greatest(1, n // 7) < 7",
+)
+def systematic_sample_by_name(t):
+    rows = t.customer.select("c_custkey", "c_mktsegment", F.expr("'k' || (c_custkey % 100)").alias("name"))
+    return tb.systematic_sample(rows, ["c_mktsegment"], ["name", "c_custkey"], 7).drop("name")
+
+
 OFF_CALLS = "SELECT call_id, ts, tool, CASE WHEN tool IN ('read_document', 'read_customer_data') THEN 'READ' WHEN tool = 'pay_upi' THEN 'PAYMENT' END AS category, payee_vpa, amount_paise, CASE WHEN amount_paise % 2 = 0 THEN 'off' ELSE 'on' END AS mode FROM v_calls"
 
 

@@ -226,14 +226,17 @@ def systematic_sample(
 ) -> DataFrame:
     """Per stratum every ``max(1, n // k)``-th row in ``order``, the first ``k`` of them.
 
-    A row's place is found by exact ranks over value chunks, see ``plans.order_stats``; here the
-    order is counted with two windows: within a salt-free range of the first order column and
-    over the ranges.
+    The rows are dealt into ranges of ``order``, which may be of any type that can be sorted, and
+    written with the number of their range; a row's place is its place in the range plus the rows
+    in the ranges before.
     """
     from pyspark.sql import Window as W
 
+    from gatelens.session import durable
+
     sizes = corpus.groupBy(*strata).agg(F.count("*").alias("_n"))
-    ranges = corpus.withColumn("_r", F.floor(F.col(order[0]) / 65_536))
+    ranged = corpus.repartitionByRange(*order).withColumn("_r", F.spark_partition_id())
+    ranges = durable(ranged)
     counts = ranges.groupBy(*strata, "_r").agg(F.count("*").alias("_c"))
     before = (W.unboundedPreceding, -1)
     carry = counts.select(

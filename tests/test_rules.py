@@ -315,3 +315,9 @@ def test_a_report_with_two_heads_is_not_ok(spark):
     heads = spark.createDataFrame([(1, "r", True), (1, "r", True)], "size long, root string, sig_ok boolean")
     assert verify_report(entries, heads.limit(1), "d").first().ok
     assert not verify_report(entries, heads, "d").first().ok
+
+
+def test_keys_are_sorted_by_code_point(spark):
+    rows = [('{"\\uffee":1,"\\ud83d\\ude42":{"b":[true,null],"a":"x"},"a":2}',), ('{"b":1,"a":2}',), ('{"a":1.5}',)]
+    got = spark.createDataFrame(rows, "t string").select(canonical_json(F.try_parse_json("t")).alias("c")).collect()
+    assert [r.c for r in got] == ['{"a":2,"\uffee":1,"\U0001f642":{"a":"x","b":[true,null]}}', '{"a":2,"b":1}', None]
