@@ -147,6 +147,39 @@ def decision_counts_window(t):
     return st.run_available(st.decision_counts_window(decisions), "decisions")
 
 
+BEHIND = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+COUNTS = "count(*) AS calls, count(CASE WHEN event_id % 3 > 0 THEN 1 END) AS blocked, count(CASE WHEN event_id % 3 = 2 THEN 1 END) AS denied"
+
+
+@query(
+    "stm11_decision_counts_sliding",
+    f"SELECT window_start, {COUNTS} FROM (SELECT event_id, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS window_start FROM events) z "
+    f"WHERE window_start + INTERVAL 1 HOUR <= {BEHIND} GROUP BY 1",
+)
+def decision_counts_sliding(t):
+    decisions = _events(t).select("ts", (F.col("event_id") % 3).alias("decision"))
+    return st.run_available(st.decision_counts_window(decisions, slide="30 minutes"), "decisions")
+
+
+@query(
+    "stm11_decision_counts_session",
+    f"SELECT user_id, min(ts) AS session_start, {COUNTS} FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events) y) z "
+    f"GROUP BY user_id, sid HAVING max(ts) + INTERVAL 6 HOUR <= {BEHIND}",
+)
+def decision_counts_session(t):
+    decisions = _events(t).select("user_id", "ts", (F.col("event_id") % 3).alias("decision"))
+    return st.run_available(st.decision_counts_session(decisions, "user_id", gap="6 hours"), "sessions")
+
+
+@query(
+    "jon13_stream_interval_join",
+    "SELECT a.nonce_id, a.session_id, a.ts FROM v_nonce_issues i JOIN v_nonce_attempts a ON a.nonce_id = i.nonce_id AND a.ts >= i.issued_at AND a.ts <= i.issued_at + INTERVAL 30 SECOND",
+)
+def stream_interval_join(t):
+    issues, attempts = _shaped(t, "SELECT * FROM v_nonce_issues"), _shaped(t, "SELECT * FROM v_nonce_attempts")
+    return st.run_available(st.attempts_in_time(issues, attempts), "attempts")
+
+
 @query(
     "stm12_consent_withdrawal_stream",
     "SELECT c.consent_id, coalesce(c.withdrawn_at, w.ts) AS withdrawn_at FROM v_consents c LEFT JOIN (SELECT 'cn' || (user_id * 3) AS consent_id, min(ts) AS ts FROM events WHERE event_type = 'error' GROUP BY 1) w ON w.consent_id = c.consent_id",

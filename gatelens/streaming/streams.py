@@ -360,22 +360,60 @@ def stage_metrics_window(spans: DataFrame, *, delay: str = "10 minutes", width:
     )
 
 
+def _decision_counts() -> list[Column]:
+    return [
+        F.count("*").alias("calls"),
+        F.count_if(F.col("decision") > 0).alias("blocked"),
+        F.count_if(F.col("decision") == 2).alias("denied"),
+    ]
+
+
 def decision_counts_window(
-    decisions: DataFrame, *, delay: str = "10 minutes", width: str = "1 hour"
+    decisions: DataFrame,
+    *,
+    delay: str = "10 minutes",
+    width: str = "1 hour",
+    slide: str | None = None,
 ) -> DataFrame:
-    """Calls, blocked calls and denials per tumbling window."""
+    """Calls, blocked calls and denials per window, tumbling or, with ``slide``, sliding."""
     return (
         decisions.withWatermark("ts", delay)
-        .groupBy(F.window("ts", width).alias("w"))
-        .agg(
-            F.count("*").alias("calls"),
-            F.count_if(F.col("decision") > 0).alias("blocked"),
-            F.count_if(F.col("decision") == 2).alias("denied"),
-        )
+        .groupBy(F.window("ts", width, slide).alias("w"))
+        .agg(*_decision_counts())
         .select(F.col("w.start").alias("window_start"), "calls", "blocked", "denied")
     )
 
 
+def decision_counts_session(
+    decisions: DataFrame, key: str, *, delay: str = "10 minutes", gap: str = "30 minutes"
+) -> DataFrame:
+    """The same per session of a key: a session ends ``gap`` after its last call."""
+    return (
+        decisions.withWatermark("ts", delay)
+        .groupBy(key, F.session_window("ts", gap).alias("w"))
+        .agg(*_decision_counts())
+        .select(key, F.col("w.start").alias("session_start"), "calls", "blocked", "denied")
+    )
+
+
+def attempts_in_time(
+    issues: DataFrame, attempts: DataFrame, *, seconds: int = 30, delay: str = DELAY
+) -> DataFrame:
+    """Attempts that follow the issue of their nonce within ``seconds``: two streams joined.
+
+    ``issues``: nonce_id, issued_at. ``attempts``: nonce_id, session_id, ts. Both watermarks and the
+    interval bound how long either side is kept.
+    """
+    left = issues.select(F.col("nonce_id").alias("_nonce"), "issued_at")
+    right = attempts.select("nonce_id", "session_id", "ts").withWatermark("ts", delay)
+    near = F.expr(f"ts >= issued_at AND ts <= issued_at + INTERVAL {int(seconds)} SECONDS")
+    return (
+        left.withWatermark("issued_at", delay)
+        .join(right, (F.col("_nonce") == F.col("nonce_id")) & near)
+        .select("nonce_id", "session_id", "ts")
+    )
+
+
 def consent_withdrawals(withdrawals: DataFrame, consents: DataFrame, path: str) -> StreamingQuery:
     """Keep a consent table up to date from a stream of withdrawals.
 
