@@ -307,6 +307,24 @@ def rule_reasons(ruleset: RuleSet) -> Column:
 # ---------------------------------------------------------------- the decision
 
 
+def prepared(
+    calls: DataFrame, labels: DataFrame, ruleset: RuleSet, facts: DataFrame | None
+) -> DataFrame:
+    """Calls with everything the rules read, and their schema problems in ``_schema``."""
+    rows = with_facts(with_labels(with_tools(calls, ruleset), labels, ruleset), facts, ruleset)
+    for name, kind in (("purpose", "string"), ("ml_decision", "int")):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
+    return rows.withColumn("_schema", schema_reasons())
+
+
+def found_reasons(ruleset: RuleSet) -> Column:
+    """Reasons of a prepared call under a rule set."""
+    return F.when(F.size("_schema") > 0, F.col("_schema")).otherwise(
+        F.concat(missing_label_reasons(), rule_reasons(ruleset))
+    )
+
+
 def evaluate_policy(
     calls: DataFrame,
     labels: DataFrame,
@@ -321,17 +339,7 @@ def evaluate_policy(
     does an unknown tool. Rules can only escalate, and so can the signal in ``ml_decision``.
     """
     keep = calls.columns
-    rows = with_facts(with_labels(with_tools(calls, ruleset), labels, ruleset), facts, ruleset)
-    for name, kind in (("purpose", "string"), ("ml_decision", "int")):
-        if name not in rows.columns:
-            rows = rows.withColumn(name, F.lit(None).cast(kind))
-    rows = rows.withColumn("_schema", schema_reasons())
-    rows = rows.withColumn(
-        "_found",
-        F.when(F.size("_schema") > 0, F.col("_schema")).otherwise(
-            F.concat(missing_label_reasons(), rule_reasons(ruleset))
-        ),
-    )
+    rows = prepared(calls, labels, ruleset, facts).withColumn("_found", found_reasons(ruleset))
     return tighten_with_signal(
         rows.select(
             *keep,
@@ -377,14 +385,41 @@ def compare_policies(
     *,
     facts: DataFrame | None = None,
 ) -> DataFrame:
-    """Calls whose decision differs between two rule sets."""
-    old = evaluate_policy(calls, labels, before, facts=facts).select(
-        "call_id", "tool", F.col("decision").alias("decision_before")
-    )
-    new = evaluate_policy(calls, labels, after, facts=facts).select(
-        "call_id", F.col("decision").alias("decision_after")
+    """Calls whose decision differs between two rule sets.
+
+    Sets for the same tools are decided side by side on one prepared row; otherwise each set is
+    evaluated by itself.
+    """
+    changed = F.col("decision_before") != F.col("decision_after")
+    if before.tools != after.tools:
+        old = evaluate_policy(calls, labels, before, facts=facts).select(
+            "call_id", "tool", F.col("decision").alias("decision_before")
+        )
+        new = evaluate_policy(calls, labels, after, facts=facts).select(
+            "call_id", F.col("decision").alias("decision_after")
+        )
+        return old.join(new, "call_id").where(changed)
+    both = RuleSet(f"{before.name}+{after.name}", before.tools, before.rules + after.rules)
+    rows = prepared(calls, labels, both, facts)
+    ruled = rows.select(
+        "call_id",
+        "tool",
+        (F.size("_schema") > 0).alias("_failed"),
+        F.col("ml_decision").cast("int").alias("_signal"),
+        combine(found_reasons(before)).alias("_before"),
+        combine(found_reasons(after)).alias("_after"),
     )
-    return old.join(new, "call_id").where(F.col("decision_before") != F.col("decision_after"))
+
+    def tightened(decision: str) -> Column:
+        above = ~F.col("_failed") & F.coalesce(F.col("_signal") > F.col(decision), F.lit(False))
+        return F.when(above, F.col("_signal")).otherwise(F.col(decision))
+
+    return ruled.select(
+        "call_id",
+        "tool",
+        tightened("_before").alias("decision_before"),
+        tightened("_after").alias("decision_after"),
+    ).where(changed)
 
 
 # ---------------------------------------------------------------- around the decision
