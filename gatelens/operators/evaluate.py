@@ -5,6 +5,8 @@ already laid out by call id) and one projection. Rules are Columns, so Catalyst
 of them in a single pass over the call row.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -422,6 +424,26 @@ def compare_policies(
     ).where(changed)
 
 
+#: Errors that the evidence of a malformed call names.
+MOST_ERRORS = 20
+
+
+def error_evidence(
+    errors: DataFrame, known: Sequence[str], *, key: str = "call_id", most: int = MOST_ERRORS
+) -> DataFrame:
+    """``key``, ``errors``: the first distinct ``location: kind`` texts of each malformed call.
+
+    ``errors`` has ``key``, ``path`` (array of texts) and ``kind``. Steps of a path that are not
+    ``known`` field names may be chosen by an attacker and become ``*``. What is masked alike is one
+    error, so a call has few of them however many keys it holds.
+    """
+    step = lambda name: F.when(name.isin(*known), name).otherwise("*")
+    place = F.array_join(F.transform("path", step), "/")
+    told = errors.select(key, F.concat(place, F.lit(": "), F.col("kind")).alias("_error"))
+    listed = told.groupBy(key).agg(F.array_sort(F.collect_set("_error")).alias("errors"))
+    return listed.select(key, F.slice("errors", 1, most).alias("errors"))
+
+
 # ---------------------------------------------------------------- around the decision
 # fixed values: what a failed stage escalates to, in the order the stages run
 STAGE_FAILURE = {

@@ -276,6 +276,24 @@ def quarantine_malformed(t):
     return rows.select("call_id", "r.evidence", "r.decision")
 
 
+ERRORS = """
+SELECT session_id, CASE call_id % 3 WHEN 0 THEN 'args' WHEN 1 THEN event_type ELSE 'labels' END AS step, CASE WHEN call_id % 2 = 0 THEN 'tool' ELSE 'k' || CAST(call_id AS STRING) END AS leaf,
+  'type_' || CAST(amount_paise % 30 AS STRING) AS kind FROM v_calls
+"""
+KNOWN_STEPS = ("call", "args", "labels", "tool")
+
+
+@query(
+    "rul12_error_locations",
+    "SELECT session_id, array_to_string(list_slice(list_sort(list_distinct(list('call/' || CASE WHEN step IN ('args', 'labels') THEN step ELSE '*' END || '/' || CASE WHEN leaf = 'tool' THEN leaf ELSE '*' END || ': ' || kind))), 1, 20), ',') AS errors FROM er GROUP BY session_id",
+    er=ERRORS,
+)
+def error_locations(t):
+    errors = t.sql(ERRORS.strip()).select("session_id", F.array(F.lit("call"), "step", "leaf").alias("path"), "kind")
+    found = ev.error_evidence(errors, KNOWN_STEPS, key="session_id")
+    return found.select("session_id", F.array_join("errors", ",").alias("errors"))
+
+
 SHIPPED = merge("shipped", [core_rules(), payment_rules(), voice_rules()])
 
 
