@@ -1,8 +1,8 @@
 """Quality by importance weights: how much likelier a text is under the target than under the corpus.
 
 Two generative models over hashed words and pairs of words: one of documents labelled good, one of
-all documents. The mean log ratio of a text's features is its score. A threshold fitted on labelled
-documents accepts or rejects, and a Gumbel top-k draw resamples documents by their weights.
+all documents. The mean log ratio of a text's features is its score. A threshold accepts or rejects;
+it is fitted on labelled documents, each scored by a target model that has not seen its text. And a Gumbel top-k draw resamples documents by their weights.
 """
 
 from collections.abc import Iterator
@@ -25,7 +25,9 @@ SMOOTHING = 1.0
 LABELLED = 20_000
 #: Neutral features added to each text, so that a few words alone decide little.
 NEUTRAL = 20.0
-#: Share of good labelled documents that the threshold must accept.
+#: Parts of the labelled documents; each is scored by a target model of the other parts.
+FOLDS = 10
+#: Share of good labelled documents, scored out of their fold, that the threshold must accept.
 KEEP_GOOD = 0.995
 #: Features that a text of any length counts for in its weight.
 WEIGHT_FEATURES = 32.0
@@ -82,7 +84,11 @@ def labelled_sample(labels: DataFrame, id_col: str, rows: int = LABELLED) -> Dat
 def train(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text"
 ) -> QualityModel:
-    """Count all documents for the corpus, the good ones of the labelled sample for the target."""
+    """Count all documents for the corpus, the good ones of the labelled sample for the target.
+
+    The threshold is fitted on scores of labelled documents under target counts without their fold,
+    as documents without a label are not in the counts either. Equal texts are in one fold.
+    """
     spark = docs.sparkSession
     sample = labelled_sample(labels, id_col).toPandas()
     good = sample[(sample["quality"] == 1) & (sample["toxic"] == 0)]["id"].to_numpy(np.int64)
@@ -90,38 +96,70 @@ def train(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus = np.zeros(BUCKETS, np.int64)
-        target = np.zeros(BUCKETS, np.int64)
+        target = np.zeros((FOLDS, BUCKETS), np.int64)
         for batch in sliced(batches, 1):
             ids = batch.column(0).fill_null(-1).to_numpy()
             wanted = np.isin(ids, shared.value) & batch.column(0).is_valid().to_numpy(False)
             codes, sizes = features(batch.column(1))
             corpus += np.bincount(codes, minlength=BUCKETS)
-            target += np.bincount(codes[np.repeat(wanted, sizes)], minlength=BUCKETS)
+            fold = batch.column(2).to_numpy()
+            for k in np.unique(fold[wanted]):
+                own = codes[np.repeat(wanted & (fold == k), sizes)]
+                target[k] += np.bincount(own, minlength=BUCKETS)
         part = TaskContext.get().partitionId()
         yield from report("corpus", part, corpus)
-        yield from report("target", part, target)
+        for k in range(FOLDS):
+            yield from report(f"target {k}", part, target[k])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    fold = F.pmod(F.xxhash64(F.col(text)), F.lit(FOLDS)).alias("fold")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), fold)
     counts = summed(rows.mapInArrow(count, REPORT), BUCKETS)
     none = np.zeros(BUCKETS, np.int64)
-    corpus, target = counts.get("corpus", none), counts.get("target", none)
+    corpus = counts.get("corpus", none)
+    targets = np.array([counts.get(f"target {k}", none) for k in range(FOLDS)])
+    target = targets.sum(0)
     if not target.sum():
         return QualityModel(np.zeros(BUCKETS), -np.inf)
-    # the corpus is the prior of the target, so that unseen features say little
-    rate = (corpus + SMOOTHING) / (corpus.sum() + SMOOTHING * BUCKETS)
-    ratio = np.log((target + SMOOTHING * BUCKETS * rate) / (target.sum() + SMOOTHING * BUCKETS) / rate)
-    model = QualityModel(ratio, -np.inf)
+    model = QualityModel(log_ratio(corpus, target), -np.inf)
+    ratios = spark.sparkContext.broadcast(log_ratio(corpus, target - targets))
+
+    def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            codes, sizes = features(batch.column(1))
+            fold = np.repeat(batch.column(2).to_numpy(), sizes)
+            score = sums(ratios.value[fold, codes], sizes) / (sizes + NEUTRAL)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(score)], names=["quality", "score"]
+            )
+
     known = spark.createDataFrame(sample[["id", "quality"]], "id long, quality int")
-    seen = rows.join(F.broadcast(known), "id").select(
-        "quality", scorer(docs, model, "text").alias("found")
-    )
-    scored = seen.select("quality", "found.score").toPandas()
+    seen = rows.join(F.broadcast(known), "id").select("quality", "text", "fold")
+    scored = seen.mapInArrow(held_out, "quality int, score double").toPandas()
     model.threshold = threshold(
         scored["score"].to_numpy(float), scored["quality"].to_numpy(int) == 1
     )
     return model
 
 
+def log_ratio(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log ratio by bucket of each row of target counts and the corpus.
+
+    The corpus is the prior of the target, so that unseen features say little.
+    """
+    rate = (corpus + SMOOTHING) / (corpus.sum() + SMOOTHING * BUCKETS)
+    total = target.sum(-1, keepdims=True) + SMOOTHING * BUCKETS
+    return np.log((target + SMOOTHING * BUCKETS * rate) / total / rate)
+
+
+def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sum of the values of each text; 0 for a text without any."""
+    total = np.zeros(len(sizes))
+    some = np.flatnonzero(sizes)
+    if len(some):
+        total[some] = np.add.reduceat(values, np.cumsum(sizes[some]) - sizes[some])
+    return total
+
+
 def threshold(score: np.ndarray, good: np.ndarray) -> float:
     """The lowest score to accept: best balanced accuracy that still keeps ``KEEP_GOOD``.
 
@@ -151,11 +189,7 @@ def scorer(docs: DataFrame, model: QualityModel, text: str) -> Column:
             scored = []
             for part in sliced(iter([pa.record_batch([whole], names=["text"])]), 0):
                 codes, sizes = features(part.column(0))
-                total = np.zeros(len(sizes))
-                some = np.flatnonzero(sizes)
-                if len(some):
-                    begins = np.cumsum(sizes[some]) - sizes[some]
-                    total[some] = np.add.reduceat(shared.value[codes], begins)
+                total = sums(shared.value[codes], sizes)
                 columns = [sizes.astype(np.int64), total / (sizes + NEUTRAL)]
                 scored.append(
                     pa.StructArray.from_arrays(

@@ -241,6 +241,24 @@ def test_quality(spark):
     assert quality.classify(docs.limit(0), model).count() == 0
 
 
+def test_threshold_keeps_good_documents_without_a_label(spark):
+    # words of their own in every good document; the bad ones repeat a few common ones
+    common = [prose(10_000 + i, 1) for i in range(40)]
+    draw = random.Random(8)
+
+    def text(i, own):
+        words = [prose(1000 * i + j + 50_000, 1) + str(i) for j in range(own)]
+        return " ".join(words + draw.choices(common, k=30 - own))
+
+    good = [(i, text(i, 20)) for i in range(400)]
+    bad = [(1000 + i, text(1000 + i, draw.randrange(12, 20))) for i in range(200)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = [(i, 1, 0) for i, _ in good[:200]] + [(i, 0, 0) for i, _ in bad[:100]]
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, quality.train(docs, known)).where("kept").collect()
+    assert sum(200 <= r.doc_id < 400 for r in got) >= 190
+
+
 def test_kth_largest(spark):
     values = [random.Random(9).randrange(-(10**12), 10**12) for _ in range(300)] + [7] * 20
     df = spark.createDataFrame([(v,) for v in values], "v long")
