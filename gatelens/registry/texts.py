@@ -72,6 +72,38 @@ def pii_span_text(t):
     )
 
 
+# each value between two marks; the pieces before a mark give its place
+MARKED = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, string_split(regexp_replace(text, '{pattern}', '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'g'), chr(1)) AS p FROM pt"
+    for kind, pattern in [
+        ("email", r"(^|[^\w.+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)()"),
+        ("phone", r"(^|[^0-9])((?:\+91[\s-]?|91[\s-]?|0)?[6-9][0-9]{9})([^0-9]|$)"),
+        ("pan", r"(^|[^A-Z0-9])([A-Z]{3}[ABCFGHLJPT][A-Z][0-9]{4}[A-Z])([^A-Z0-9]|$)"),
+        ("aadhaar", r"(^|[^0-9])([2-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4})([^0-9]|$)"),
+    ]
+)
+
+
+@query(
+    "scn01_pii_spans",
+    "SELECT doc_id, kind, s, s + length(value) AS e, value FROM (SELECT doc_id, kind, split_part(p[i], chr(2), 1) AS value, list_sum(list_transform(p[1:i - 1], lambda x: length(x))) - (i - 2) AS s "
+    "FROM (SELECT doc_id, kind, p, unnest(range(2, len(p) + 1)) AS i FROM marked) y) z WHERE kind <> 'aadhaar' OR "
+    + verhoeff_sql("regexp_replace(value, '[^0-9]', '', 'g')"),
+    pt=PII_TEXT,
+    marked=MARKED,
+)
+def pii_spans(t):
+    """Place and value of every kind, over all documents and made-up rows."""
+    spans = t.sql(PII_TEXT.strip()).select("doc_id", "text", F.explode(tx.pii_spans("text")).alias("x"))
+    return spans.select(
+        "doc_id",
+        "x.kind",
+        F.col("x.start").cast("long").alias("s"),
+        F.col("x.end").cast("long").alias("e"),
+        F.substring("text", F.col("x.start") + 1, F.col("x.end") - F.col("x.start")).alias("value"),
+    )
+
+
 @query(
     "scn02_pii_tags",
     "SELECT doc_id, concat_ws(',', CASE WHEN email + phone + pan + aadhaar > 0 THEN 'PII' END, CASE WHEN aadhaar > 0 THEN 'PII_AADHAAR' END, CASE WHEN email > 0 THEN 'PII_EMAIL' END, CASE WHEN pan > 0 THEN 'PII_PAN' END, CASE WHEN phone > 0 THEN 'PII_PHONE' END) AS tags FROM cnt",

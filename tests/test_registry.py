@@ -62,3 +62,12 @@ def test_query_matches_duckdb(spark, duck, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_spans_of_every_kind_over_documents_and_made_up_rows(spark, duck):
+    got = entry.queries()["scn01_pii_spans"](spark, SF)
+    assert {r.kind for r in got.select("kind").distinct().collect()} == {"email", "phone", "pan", "aadhaar"}
+    assert got.where("doc_id < 1000000000").count() > 0
+    cursor = duck.execute(entry.oracle_sql()["scn01_pii_spans"])
+    columns = [d[0] for d in cursor.description]
+    assert rows_of(got.columns, got.collect()) == rows_of(columns, cursor.fetchall())
