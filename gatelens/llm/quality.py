@@ -29,8 +29,6 @@ NEUTRAL = 20.0
 FOLDS = 10
 #: Share of good labelled documents, scored out of their fold, that the threshold must accept.
 KEEP_GOOD = 0.995
-#: Features that a text of any length counts for in its weight.
-WEIGHT_FEATURES = 32.0
 
 
 @dataclass
@@ -208,7 +206,8 @@ ADDED = ["n_features", "score", "kept", "log_weight"]
 def classify(docs: DataFrame, model: QualityModel, *, text: str = "text") -> DataFrame:
     """``docs`` with ``n_features``, ``score``, ``kept`` and ``log_weight``.
 
-    ``score`` is the mean log ratio of target and corpus over the features of the whole text;
+    ``log_weight`` is the log ratio of target and corpus summed over the features of the whole text,
+    ``score`` its mean with the neutral features;
     ``kept`` is false below the model's threshold. Null and empty texts have no features and
     score 0, which says neither good nor bad. Equal texts get equal results, and columns of those
     names in ``docs`` are replaced.
@@ -217,7 +216,7 @@ def classify(docs: DataFrame, model: QualityModel, *, text: str = "text") -> Dat
     found = rows.withColumns(
         {"n_features": F.col("_found.n_features"), "score": F.col("_found.score")}
     ).drop("_found")
-    weight = F.col("score") * F.least(F.col("n_features").cast("double"), F.lit(WEIGHT_FEATURES))
+    weight = F.col("score") * (F.col("n_features") + F.lit(NEUTRAL))
     return found.withColumns({"kept": F.col("score") >= model.threshold, "log_weight": weight})
 
 
@@ -257,7 +256,8 @@ def kth_largest(df: DataFrame, key: str, k: int) -> int | None:
 def resample(scored: DataFrame, k: int, *, id_col: str = "doc_id", seed: int = 17) -> DataFrame:
     """``scored`` with ``gumbel_key`` and ``sampled``: a draw of ``k`` rows without replacement.
 
-    The chance of a row follows its weight (Gumbel top-k). Rows that tie with the k-th key, as
+    It is drawn from all rows, accepted or not. The chance of a row follows its weight (Gumbel
+    top-k). Rows that tie with the k-th key, as
     repeated rows do, are all drawn. ``scored`` should be a stored table: it is read several times.
     """
     keyed = clear_of(scored, ["gumbel_key", "sampled"]).withColumn(

@@ -259,6 +259,16 @@ def test_threshold_keeps_good_documents_without_a_label(spark):
     assert sum(200 <= r.doc_id < 400 for r in got) >= 190
 
 
+def test_weights_are_summed_over_the_whole_text(spark):
+    docs = spark.createDataFrame([(1, "ton ri"), (2, prose(4, 900))], "doc_id long, text string")
+    draw = np.random.default_rng(3)
+    model = quality.QualityModel(draw.normal(size=quality.BUCKETS), -np.inf)
+    got = {r.doc_id: r.log_weight for r in quality.classify(docs, model).collect()}
+    for i, text in docs.collect():
+        codes, _ = quality.features(pa.array([text]))
+        assert got[i] == pytest.approx(model.ratio[codes].sum())
+
+
 def test_kth_largest(spark):
     values = [random.Random(9).randrange(-(10**12), 10**12) for _ in range(300)] + [7] * 20
     df = spark.createDataFrame([(v,) for v in values], "v long")
