@@ -32,20 +32,33 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the least id.
+    """One document of each group of near duplicates, the one with the least id; null ids come last.
 
-    Of rows that repeat an id one stays; rows without an id all stay.
+    Rows that repeat an id, or have none, count by their own text. Texts without shingles stay, but
+    of rows that repeat an id and such a text one stays.
     """
-    found = neardup.near_duplicates(docs)
-    dropped = written(found.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    rest = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    if not docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").take(1):
-        return rest
-    return (
-        rest.where("doc_id IS NOT NULL")
-        .dropDuplicates(["doc_id"])
-        .unionByName(rest.where("doc_id IS NULL"))
+    if not (
+        docs.where("doc_id IS NULL").take(1)
+        or docs.groupBy("doc_id").count().where("count > 1").take(1)
+    ):
+        found = neardup.near_duplicates(docs)
+        dropped = written(found.where(~F.col("kept")).select("doc_id"), "dropped")
+        return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    # numbers of stored rows do not change when a task runs again
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = neardup.near_duplicates(rows.select("_row", "text"), id_col="_row")
+    facts = rows.select("_row", "doc_id", F.xxhash64("text").alias("_text"))
+    blank = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    group = F.struct(
+        F.when(~blank, F.col("component_id")).alias("root"),
+        F.when(blank, F.col("doc_id")).alias("id"),
+        F.when(blank, F.col("_text")).alias("text"),
     )
+    placed = written(found.join(facts, "_row").withColumn("_group", group), "placed")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    first = placed.groupBy("_group").agg(least.alias("least")).select("least._row")
+    dropped = written(placed.join(first, "_row", "left_anti").select("_row"), "dropped")
+    return rows.join(dropped, "_row", "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

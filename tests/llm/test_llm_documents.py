@@ -144,6 +144,24 @@ def test_near_duplicates_against_brute_force(spark, percent, monkeypatch):
     assert all(r.kept == (i == want[i]) for i, r in got.items())
 
 
+def test_pipeline_keeps_one_row_of_each_real_group(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (prose(i, 60) for i in (1, 2, 3, 4))
+    rows = [(1, a), (5, b), (5, a.upper()), (5, c), (7, None), (7, None), (8, "")]
+    rows += [(None, d), (None, d.upper()), (None, c), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_dedup(spark, docs.repartition(3), "").collect()
+    plain = sorted((str(r.doc_id), (r.text or "").lower()) for r in got)
+    want = [(1, a), (5, b), (5, c), (7, ""), (8, ""), (None, d), (None, "")]
+    assert plain == sorted((str(i), t) for i, t in want)
+    single = docs.where("doc_id IN (1, 8)").unionByName(
+        spark.createDataFrame([(9, a.upper())], docs.schema)
+    )
+    left = corpus_pipeline.near_dedup(spark, single, "").collect()
+    assert sorted(r.doc_id for r in left) == [1, 8]
+
+
 def test_shingles_of_slices():
     texts = pa.array([t for _, t in _copies()] * 2)
     whole, count = neardup.shingles(texts)
