@@ -99,19 +99,22 @@ def write_token_files(
 
     A null text counts as empty; every document ends with the id ``end``. Repeated ids are written
     each, in the order of their bytes. An empty table gives a dictionary and no file. Documents are
-    compressed where they lie; only their frames are shuffled, by ranges of ids.
+    compressed where they lie; only their frames are shuffled, by ranges of ids. A document without
+    an id has no place in that order: a table with one is refused before anything is written.
     """
     spark = docs.sparkSession
     width = id_width(tokenizer)
     if end >= 1 << 8 * width:
         raise ValueError(f"the end id {end} does not fit {width} bytes")
-    rows = docs.where(F.col(id_col).isNotNull())
-    trained = train_dictionary(rows, tokenizer, id_col, text)
+    nameless = docs.where(F.col(id_col).isNull()).count()
+    if nameless:
+        raise ValueError(f"{nameless} documents have no {id_col}")
+    trained = train_dictionary(docs, tokenizer, id_col, text)
     digest = hashlib.sha256(trained).digest()
     frame = spark.createDataFrame([(digest.hex(), trained)], "sha256 string, content binary")
     frame.coalesce(1).write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(trained)
-    low, span = id_blocks(rows, id_col, FILE_DOCS)
+    low, span = id_blocks(docs, id_col, FILE_DOCS)
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = ids_of(tokenizer)
@@ -134,7 +137,7 @@ def write_token_files(
 
     segment = F.floor((F.col(id_col).cast("long") - low) / span)
     files = (
-        rows.select(
+        docs.select(
             segment.alias("segment"),
             F.col(id_col).cast("long").alias("id"),
             F.col(text).alias("text"),

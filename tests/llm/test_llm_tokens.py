@@ -136,6 +136,13 @@ def test_token_files(spark, words, tmp_path):
     assert token_files.read_token_files(spark, empty).count() == 0
 
 
+def test_documents_without_an_id_are_refused(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some text"), (None, "more")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="1 documents have no doc_id"):
+        token_files.write_token_files(docs, str(tmp_path / "files"), WORDS)
+    assert not (tmp_path / "files").exists()
+
+
 def test_cut_token_files_are_refused(spark, tmp_path):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     path = str(tmp_path / "files")
