@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm import fingerprints, language, nbest, neardup, neighbours, packing, quality, token_counts, token_files, warc
+from gatelens.llm import fingerprints, language, nbest, neardup, neighbours, packing, quality, token_counts, token_files, warc, whitening
 from gatelens.llm.common import written
 from gatelens.session import scratch
 
@@ -102,3 +102,9 @@ def op10_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("decoded").cast("long").alias("decoded_bytes"),
         F.sha1("decoded").alias("decoded_sha1"),
     )
+
+
+@registered
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors)
