@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm import fingerprints, language, nbest, neardup, neighbours, packing, quality, token_counts, token_files, warc, whitening
+from gatelens.llm import fingerprints, language, nbest, neardup, neighbours, packing, quality, simhash, token_counts, token_files, warc, whitening
 from gatelens.llm.common import written
 from gatelens.session import scratch
 
@@ -108,3 +108,9 @@ def op10_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return whitening.whiten(vectors)
+
+
+@registered
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs)
