@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm import fingerprints, language, nbest, neardup, neighbours, packing, quality, simhash, token_counts, token_files, warc, whitening
+from gatelens.llm import (
+    alignment,
+    fingerprints,
+    language,
+    nbest,
+    neardup,
+    neighbours,
+    packing,
+    quality,
+    simhash,
+    token_counts,
+    token_files,
+    warc,
+    whitening,
+)
 from gatelens.llm.common import written
 from gatelens.session import scratch
 
@@ -110,6 +124,15 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(vectors)
 
 
+@registered
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    found = alignment.align(docs, *paths)
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.withColumn("groups_sha256", digest).drop("groups")
+
+
 @registered
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
