@@ -9,6 +9,7 @@ through the library.
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -27,12 +28,22 @@ _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
 #: Signs whose class and lower case are the same for every regular expression library.
 _CERTAIN = r"^[\x20-\x7e\n\r\tÀ-ÖØ-öø-ÿ]*$"
-_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+_RUN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+"
+#: What follows the cut into runs: bytes are written as signs.
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
 _SPACES = re.compile(r"[ \n\r\t]+")
 
 _WORKER: dict[str, "WordIds"] = {}
 
 
+def byte_signs() -> dict[str, int]:
+    """The bytes that the signs of a byte-level vocabulary stand for: printable Latin-1 signs for
+    themselves, all other bytes, in order, for the signs from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class WordIds:
     """Ids of texts as little-endian unsigned 32-bit integers in one byte string each."""
 
@@ -42,9 +53,7 @@ class WordIds:
         with open(path, encoding="utf-8") as file:
             layout = json.load(file)
         self.cuts = _cuts_into_runs(layout)
-        ids = layout["model"]["vocab"]
-        self.ends = np.zeros(max([*ids.values(), 0]) + 2, dtype=bool)
-        self.ends[[i for token, i in ids.items() if token.endswith("</w>")]] = True
+        self.signs = {b: sign for sign, b in byte_signs().items()}
         self.specials = [token["content"] for token in layout["added_tokens"]]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -77,39 +86,43 @@ class WordIds:
         return certain
 
     def _from_words(self, texts: pa.Array) -> pa.Array:
-        """Ids of texts that are certain: each distinct word is looked up once."""
+        """Ids of texts that are certain: each distinct word is cut, and each distinct run looked up, once."""
         lists = pc.ascii_split_whitespace(pc.utf8_lower(texts))
         words = pc.dictionary_encode(lists.flatten())
-        known = self._of_words(words.dictionary.to_pylist())
+        cut = pc.replace_substring_regex(words.dictionary, _RUN, r"\0 ")
+        run_lists = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(cut))
+        runs = pc.dictionary_encode(run_lists.flatten())
+        known = self._of_runs(runs.dictionary.to_numpy(zero_copy_only=False).tolist())
         width = np.fromiter(map(len, known), np.int64, len(known)) >> 2
         table = np.frombuffer(b"".join(known), "<u4")
-        codes = words.indices.to_numpy(zero_copy_only=False)
-        sizes = width[codes]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        first = (np.cumsum(width) - width)[codes]
-        ids = table[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])]
-        offsets = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * 4
+        # ids of words from those of their runs, and of texts from those of their words
+        for coded, lengths in ((runs, run_lists), (words, lists)):
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            sizes = width[codes]
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            first = (np.cumsum(width) - width)[codes]
+            table = table[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])]
+            offsets = ends[lengths.offsets.to_numpy() - lengths.offsets[0].as_py()]
+            width = np.diff(offsets)
         return pa.LargeBinaryArray.from_buffers(
             pa.large_binary(),
             len(texts),
-            [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids)],
+            [None, pa.py_buffer((offsets * 4).astype(np.int64)), pa.py_buffer(table)],
         )
 
-    def _of_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words in lower case, from the runs of each."""
+    def _of_runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs in lower case; an empty one has none."""
         young, old = self.young, self.old
-        cut: dict[str, list[str]] = {}
-        for word in words:
-            if word not in young:
-                if word in old:
-                    young[word] = old[word]
-                else:
-                    cut[word] = _RUNS.findall(word)
-        self._encode([run for run in set().union(*cut.values()) if run not in young])
-        for word, runs in cut.items():
-            if len(runs) != 1:
-                young[word] = b"".join([young[run] for run in runs])
-        found = [young[word] for word in words]
+        young[""] = b""
+        missing = [run for run in runs if run not in young]
+        new = []
+        for run in missing:
+            if run in old:
+                young[run] = old[run]
+            else:
+                new.append(run)
+        self._encode(new)
+        found = [young[run] for run in runs]
         if len(young) > GENERATION:
             self.old, self.young = young, {}
         return found
@@ -128,25 +141,13 @@ class WordIds:
     def _has_special(self, text: str) -> bool:
         return any(special in text for special in self.specials)
 
-    def _encode(self, keys: list[str]) -> None:
-        """Ids of runs: all in one text, cut after the tokens that end a word."""
-        for at in range(0, len(keys), 4096):
-            some = keys[at : at + 4096]
-            ids = np.array(
-                self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids,
-                dtype="<u4",
-            )
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(some):
-                starts = [0, *ends[:-1].tolist()]
-                data = ids.tobytes()
-                for key, start, end in zip(some, starts, ends.tolist(), strict=True):
-                    self.young[key] = data[4 * start : 4 * end]
-            else:
-                for key in some:
-                    self.young[key] = packed(
-                        self.library.encode(key, add_special_tokens=False).ids
-                    )
+    def _encode(self, runs: list[str]) -> None:
+        """Ids of runs from the merges alone: they are normal and cut already."""
+        tokenize, signs = self.library.model.tokenize, self.signs
+        for run in runs:
+            known = run if run.isascii() else "".join([signs[b] for b in run.encode()])
+            ids = [token.id for token in tokenize(known)]
+            self.young[run] = struct.pack(f"<{len(ids)}I", *ids)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -165,12 +166,14 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Record
 
 def _cuts_into_runs(layout: dict) -> bool:
     steps = layout.get("normalizer") or {}
-    parts = (layout.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    parts = (layout.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
     return (
         [n.get("type") for n in steps.get("normalizers", [])] == _NORMALIZERS
         and parts[0].get("pattern") == {"Regex": _PATTERN}
         and parts[0].get("behavior") == "Removed"
         and bool(parts[0].get("invert"))
+        and len(parts) == 2
+        and {name: parts[1].get(name) for name in _BYTES} == _BYTES
         and layout["model"].get("end_of_word_suffix") == "</w>"
         and not layout["model"].get("dropout")
     )
