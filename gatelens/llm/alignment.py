@@ -18,13 +18,14 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gatelens.llm.common import REPORT, report, summed, written
-from gatelens.llm.token_ids import sliced
+from gatelens.llm.token_ids import byte_signs, sliced
 
 #: Distinct pairs whose hash and counts are broadcast, at most (about 17 bytes each); more are
 #: counted and looked up by grouping and joining.
@@ -32,40 +33,56 @@ HASHED_PAIRS = 4_000_000
 #: Pairs of a shard of the hash on average, and slots a level has for each pair it gets.
 SHARD = 16_384
 ROOM = 2
-#: Words in one of the two generations of a worker's cache, and the longest that is kept.
-GENERATION = 100_000
-WIDEST = 256
+#: Words that a worker keeps aligned, and ids of them, before it starts anew; words encoded at a time.
+KEPT = 500_000
+KEPT_IDS = 8_000_000
+CHUNK = 1024
 #: Pairs that a partition of the first pass holds before it adds them up.
 HELD = 2_000_000
 
 #: White space other than space and line feed, and the sign that a piece model takes for a space.
-_ODD = re.compile(r"[^\S \n]|[\x1c-\x1f᠎​﻿▁]")
-_RUN = re.compile(r"[ \n]{2}|^[ \n]|[ \n]$")
+_ODD = r"[\t\x0b-\r\x1c-\x1f\x85\xa0\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}▁]"
+_RUN = r"[ \n][ \n]|\A[ \n]|[ \n]\z"
+# How a byte-level layout cuts pre-tokens: a fixed value of the public tokenizer.
+_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _UNIT = re.compile(r"[ \n]+[^ \n]+|[ \n]+$")
 
 _WORKER: dict[tuple[str, str], "Aligner"] = {}
 
 
-@dataclass(frozen=True, slots=True)
-class Aligned:
-    """Two tokenizations cut where tokens of both end; ``keys`` holds the linked id pairs."""
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``start, start + 1, ...`` of each run, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    keys: bytes
 
-
-NOTHING = Aligned(0, 0, 0, "", b"")
-
-
-def byte_signs() -> dict[str, int]:
-    """The bytes that the signs of a byte-level vocabulary stand for: printable Latin-1 signs for
-    themselves, all other bytes, in order, for the signs from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+@dataclass(frozen=True)
+class Units:
+    """Aligned strings. Each has the linked ``keys`` of its groups and ``parts``, which name the
+    ids of its groups in written order, with what follows them. Without ``ok`` it has no tokens."""
+
+    ok: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    keys: np.ndarray
+    parts: np.ndarray
+
+    @staticmethod
+    def none(n: int) -> "Units":
+        zero = np.zeros(n, np.int64)
+        return Units(np.zeros(n, bool), zero, zero, zero, zero[:0], np.zeros(0, np.int32))
+
+    def plus(self, other: "Units") -> "Units":
+        names = self.__dataclass_fields__
+        return Units(*[np.concatenate([getattr(self, f), getattr(other, f)]) for f in names])
+
+    def take(self, at: np.ndarray) -> "Units":
+        n_parts = self.n_a + self.n_b
+        keys = _ranges((np.cumsum(self.n_groups) - self.n_groups)[at], self.n_groups[at])
+        parts = _ranges((np.cumsum(n_parts) - n_parts)[at], n_parts[at])
+        numbers = [x[at] for x in (self.ok, self.n_a, self.n_b, self.n_groups)]
+        return Units(*numbers, self.keys[keys], self.parts[parts])
 
 
 class Aligner:
@@ -77,8 +94,7 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         signs = byte_signs()
-        size = self.a.get_vocab_size()
-        tokens = [self.a.id_to_token(i) or "" for i in range(size)]
+        tokens = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
         self.a_bytes = [
             bytes([signs[c] for c in t]) if all(c in signs for c in t) else t.encode() for t in tokens
         ]
@@ -87,6 +103,14 @@ class Aligner:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(pieces)
         ]
+        self.a_sizes = np.array([len(t) for t in self.a_bytes])
+        self.b_sizes = np.array([len(t) for t in self.b_bytes])
+        ids_a, ids_b = map(str, range(len(tokens))), map(str, range(len(pieces)))
+        #: What a part stands for: an id and what follows it.
+        self.written = pa.array(
+            [i + sign for ids, last in ((ids_a, "|"), (ids_b, ";")) for i in ids for sign in (",", last)],
+            pa.large_string(),
+        )
         self.space = self.b.piece_to_id("▁")
         with open(a_path, encoding="utf-8") as file:
             layout = json.load(file)
@@ -100,111 +124,166 @@ class Aligner:
             and not layout["model"].get("dropout")
             and not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
         )
-        self.young: dict[str, Aligned | None] = {}
-        self.old: dict[str, Aligned | None] = {}
-
-    def _aligned(self, data: bytes, a: list[int], b: list[int]) -> Aligned | None:
-        """The alignment of two tokenizations; None where their bytes are not ``data``."""
-        mine, other = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(mine) != data or b"".join(other) != data:
+        self.ranks = self._ranked(layout) if self.splits else None
+        self.index: dict[str, int] = {}
+        self.store = Units.none(0)
+
+    def _ranked(self, layout: dict) -> tiktoken.Encoding | None:
+        """The same vocabulary for the library that merges by rank; ids must follow the merges."""
+        vocabulary, merges = layout["model"]["vocab"], layout["model"]["merges"]
+        made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in merges]
+        if [vocabulary.get(t) for t in made] != [*range(256, 256 + len(made))]:
             return None
-        ends_a = np.cumsum([len(t) for t in mine])
-        ends_b = np.cumsum([len(t) for t in other])
-        _, cut_a, cut_b = np.intersect1d(ends_a, ends_b, return_indices=True)
-        groups = []
-        from_a = from_b = 0
-        for to_a, to_b in zip((cut_a + 1).tolist(), (cut_b + 1).tolist(), strict=True):
-            groups.append(
-                ",".join(map(str, a[from_a:to_a])) + "|" + ",".join(map(str, b[from_b:to_b]))
-            )
-            from_a, from_b = to_a, to_b
-        keys = (np.array(a, np.int64)[cut_a] << 32) | np.array(b, np.int64)[cut_b]
-        return Aligned(len(a), len(b), len(groups), ";".join(groups), keys.tobytes())
-
-    def whole(self, text: str) -> Aligned:
-        """A text by the libraries alone."""
-        if not text:
-            return NOTHING
-        a = self.a.encode(" " + text, add_special_tokens=False).ids
-        return self._aligned((" " + text).encode(), a, self.b.encode(text)) or NOTHING
-
-    def of_units(self, units: list[str]) -> list[Aligned | None]:
-        """The alignments of words, each with the white space before it; None where a word alone is
-        not certain."""
-        young, old = self.young, self.old
-        new = []
-        for unit in units:
-            if unit not in young:
-                if unit in old:
-                    young[unit] = old[unit]
-                else:
-                    new.append(unit)
-        long = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            mine = self.a.encode_batch_fast(some, add_special_tokens=False)
-            others = self.b.encode([u[1:] if u[0] == " " else u for u in some], num_threads=1)
-            for unit, a, b in zip(some, mine, others, strict=True):
-                if unit[0] != " ":
-                    # the model puts a space before the line feed
-                    b = b[1:] if b[:1] == [self.space] else []
-                made = self._aligned(unit.encode(), a.ids, b)
-                (young if len(unit) <= WIDEST else long)[unit] = made
-        found = [long[u] if u in long else young[u] for u in units]
-        if len(young) > GENERATION:
-            self.old, self.young = young, {}
-        return found
+        ranks = {self.a_bytes[i]: i for i in vocabulary.values() if i < 256 + len(made)}
+        if len(ranks) != 256 + len(made):
+            return None
+        return tiktoken.Encoding("a", pat_str=_PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+
+    def _ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of texts that start with a space or a line feed."""
+        if self.ranks:
+            a = [self.ranks.encode_ordinary(t) for t in texts]
+        else:
+            a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        b = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
+        # the model puts a space before a line feed
+        return a, [
+            ids if t[0] == " " else ids[1:] if ids[:1] == [self.space] else []
+            for t, ids in zip(texts, b, strict=True)
+        ]
+
+    def _fits(self, data: bytes, a: list[int], b: list[int]) -> bool:
+        one, other = self.a_bytes, self.b_bytes
+        return b"".join([one[i] for i in a]) == data == b"".join([other[i] for i in b])
+
+    def encoded(self, units: list[str]) -> Units:
+        """The alignments of words, each with the white space before it.
+
+        Words are encoded many at a time; white space at the end of a text, and words of a run whose
+        bytes do not come back, alone.
+        """
+        lone = [i for i, u in enumerate(units) if u[-1] in " \n"]
+        rest = [i for i, u in enumerate(units) if u[-1] not in " \n"]
+        runs = [[i] for i in lone] + [rest[at : at + CHUNK] for at in range(0, len(rest), CHUNK)]
+        order: list[int] = []
+        all_a: list[int] = []
+        all_b: list[int] = []
+        while runs:
+            texts = ["".join([units[i] for i in run]) for run in runs]
+            again = []
+            for run, text, a, b in zip(runs, texts, *self._ids(texts), strict=True):
+                if self._fits(text.encode(), a, b):
+                    order += run
+                    all_a += a
+                    all_b += b
+                elif len(run) > 1:
+                    again += [[i] for i in run]
+            runs = again
+        made = self._grouped(np.array(all_a, np.int64), np.array(all_b, np.int64), [units[i].encode() for i in order])
+        if len(order) == len(units) and order == sorted(order):
+            return made
+        place = np.full(len(units), len(order))
+        place[order] = np.arange(len(order))
+        return made.plus(Units.none(1)).take(place)
+
+    def _grouped(self, a: np.ndarray, b: np.ndarray, units: list[bytes]) -> Units:
+        """Ids of both over the joined units, cut where tokens of both end, and dealt to the units."""
+        n = len(units)
+        if not n:
+            return Units.none(0)
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends = np.cumsum([len(u) for u in units])
+        total = int(ends[-1]) + 1
+        mark_a, mark_b = np.zeros(total, bool), np.zeros(total, bool)
+        mark_a[ends_a] = True
+        mark_b[ends_b] = True
+        last_a, last_b = mark_b[ends_a], mark_a[ends_b]
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        many = int(last_a.sum())
+        unit = np.searchsorted(ends, ends_a[last_a])
+        per_a, per_b = np.bincount(group_a, minlength=many), np.bincount(group_b, minlength=many)
+        parts = np.empty(len(a) + len(b), np.int32)
+        parts[np.arange(len(a)) + (np.cumsum(per_b) - per_b)[group_a]] = 2 * a + last_a
+        parts[np.arange(len(b)) + np.cumsum(per_a)[group_b]] = 2 * (len(self.a_bytes) + b) + last_b
+        n_a = np.zeros(n, np.int64)
+        n_b = np.zeros(n, np.int64)
+        np.add.at(n_a, unit, per_a)
+        np.add.at(n_b, unit, per_b)
+        keys = (a[last_a] << 32) | b[last_b]
+        return Units(np.ones(n, bool), n_a, n_b, np.bincount(unit, minlength=n), keys, parts)
+
+    def whole(self, texts: list[str]) -> Units:
+        """Texts by the libraries alone."""
+        out = Units.none(0)
+        for text in texts:
+            data = (" " + text).encode()
+            a = self.a.encode(" " + text, add_special_tokens=False).ids if text else []
+            b = self.b.encode(text) if text else []
+            fits = bool(text) and self._fits(data, a, b)
+            made = self._grouped(np.array(a, np.int64), np.array(b, np.int64), [data]) if fits else Units.none(1)
+            out = out.plus(made)
+        return out
+
+    def of_units(self, units: list[str]) -> Units:
+        """The alignments of distinct words, kept by this worker."""
+        if len(self.index) > KEPT or len(self.store.parts) > KEPT_IDS:
+            self.index, self.store = {}, Units.none(0)
+        index = self.index
+        new = [u for u in units if u not in index]
+        if new:
+            at = len(index)
+            index.update(zip(new, range(at, at + len(new)), strict=True))
+            self.store = self.store.plus(self.encoded(new))
+        return self.store.take(np.array([index[u] for u in units]))
 
     def slices(self, texts: pa.Array) -> Iterator["Slice"]:
         """The texts in up to three groups: cut by single spaces, by runs, and not cut at all."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        data = texts.to_pylist()
-        kind = [
-            0 if not t else 3 if not self.splits or _ODD.search(t) else 2 if _RUN.search(t) else 1
-            for t in data
-        ]
-        kinds = np.array(kind, np.int8)
-        rows = np.flatnonzero(kinds == 1)
+        odd = pc.match_substring_regex(texts, _ODD)
+        run = pc.match_substring_regex(texts, _RUN)
+        empty = pc.equal(texts, "")
+        kinds = pc.if_else(pc.or_(odd, empty), 2, pc.if_else(run, 1, 0)).to_numpy(zero_copy_only=False)
+        if not self.splits:
+            kinds = np.full(len(texts), 2)
+        rows = np.flatnonzero(kinds == 0)
         if len(rows):
             usual = pc.replace_substring(texts.take(pa.array(rows)), "\n", " \n")
             lists = pc.split_pattern(usual, " ")
             offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            yield from self._slice(rows, lists.flatten(), offsets.astype(np.int64), True, data)
-        rows = np.flatnonzero(kinds == 2)
+            yield from self._slice(rows, lists.flatten(), offsets.astype(np.int64), True, texts)
+        rows = np.flatnonzero(kinds == 1)
         if len(rows):
-            cut = [_UNIT.findall(" " + data[i]) for i in rows]
+            cut = [_UNIT.findall(" " + t) for t in texts.take(pa.array(rows)).to_pylist()]
             words = pa.array([u for units in cut for u in units], pa.large_string())
             offsets = np.concatenate([[0], np.cumsum([len(u) for u in cut])])
-            yield from self._slice(rows, words, offsets, False, data)
-        rows = np.flatnonzero((kinds == 0) | (kinds == 3))
+            yield from self._slice(rows, words, offsets, False, texts)
+        rows = np.flatnonzero(kinds == 2)
         if len(rows):
-            yield self._whole(rows, data)
+            yield self._whole(rows, texts)
 
-    def _whole(self, rows: np.ndarray, data: list[str]) -> "Slice":
-        found = [self.whole(data[i]) for i in rows]
-        return Slice(rows, found, np.arange(len(rows)), np.arange(len(rows) + 1))
+    def _whole(self, rows: np.ndarray, texts: pa.Array) -> "Slice":
+        found = self.whole(texts.take(pa.array(rows)).to_pylist())
+        return Slice(rows, found, np.arange(len(rows)), np.arange(len(rows) + 1), self.written)
 
     def _slice(
-        self, rows: np.ndarray, words: pa.Array, offsets: np.ndarray, bare: bool, data: list[str]
+        self, rows: np.ndarray, words: pa.Array, offsets: np.ndarray, bare: bool, texts: pa.Array
     ) -> Iterator["Slice"]:
         """Texts from their words; texts with a word that is not certain go whole."""
         coded = pc.dictionary_encode(words)
-        units = coded.dictionary.to_pylist()
+        units = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if bare:
             units = [u if u[0] == "\n" else " " + u for u in units]
         found = self.of_units(units)
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        odd = np.array([f is None for f in found], bool)
-        if odd.any():
-            bad = np.add.reduceat(odd[codes], offsets[:-1]) > 0
-            yield self._whole(rows[bad], data)
+        if not found.ok.all():
+            bad = np.add.reduceat(~found.ok[codes], offsets[:-1]) > 0
+            yield self._whole(rows[bad], texts)
             sizes = np.diff(offsets)
             codes = codes[np.repeat(~bad, sizes)]
             offsets = np.concatenate([[0], np.cumsum(sizes[~bad])])
             rows = rows[~bad]
-            found = [f or NOTHING for f in found]
         if len(rows):
-            yield Slice(rows, found, codes, offsets)
+            yield Slice(rows, found, codes, offsets, self.written)
 
 
 @dataclass(frozen=True)
@@ -212,26 +291,33 @@ class Slice:
     """Texts ``rows`` of a batch, each a run of ``codes`` of distinct aligned words."""
 
     rows: np.ndarray
-    words: list[Aligned]
+    words: Units
     codes: np.ndarray
     offsets: np.ndarray
+    written: pa.Array
 
     def per_text(self, values: np.ndarray) -> np.ndarray:
         """Sums over the words of each text; every text has a word."""
         return np.add.reduceat(values[self.codes], self.offsets[:-1])
 
-    def numbers(self, name: str) -> np.ndarray:
-        return np.array([getattr(w, name) for w in self.words], np.int64)
-
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """The linked pairs of all distinct words, and the word of each."""
-        keys = np.frombuffer(b"".join([w.keys for w in self.words]), np.int64)
-        return keys, np.repeat(np.arange(len(self.words)), self.numbers("n_groups"))
+        n = self.words.n_groups
+        return self.words.keys, np.repeat(np.arange(len(n)), n)
 
     def groups(self) -> pa.Array:
-        known = pa.array([w.groups for w in self.words], pa.large_string())
-        lists = pa.LargeListArray.from_arrays(pa.array(self.offsets), known.take(pa.array(self.codes)))
-        return pc.binary_join(lists, pa.scalar(";", pa.large_string()))
+        """The groups of each text as a string."""
+        n_parts = self.words.n_a + self.words.n_b
+        known = _joined_strings(self.written.take(pa.array(self.words.parts)), np.append(0, np.cumsum(n_parts)))
+        whole = _joined_strings(known.take(pa.array(self.codes)), self.offsets)
+        return pc.ascii_rtrim(whole, characters=";")
+
+
+def _joined_strings(values: pa.Array, cuts: np.ndarray) -> pa.Array:
+    """The strings between cuts as one each; strings of an array lie behind each other already."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int64)[values.offset :][cuts] if len(values) else np.zeros(len(cuts), np.int64)
+    return pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(np.ascontiguousarray(at)), data or pa.py_buffer(b""))
 
 
 def aligner_of(a_path: str, b_path: str) -> Aligner:
@@ -387,7 +473,7 @@ def partial_counts(docs: DataFrame, a_path: str, b_path: str, text: str) -> Data
         for batch in sliced(batches, 0):
             for part in aligner.slices(batch.column(0)):
                 found, word = part.keys()
-                times = np.bincount(part.codes, minlength=len(part.words))
+                times = np.bincount(part.codes, minlength=len(part.words.ok))
                 more_keys.append(found)
                 more_counts.append(times[word])
             if sum(map(len, more_keys)) > HELD:
@@ -452,11 +538,11 @@ def _second_pass(docs: DataFrame, a_path: str, b_path: str, counts, schema: str)
         aligner = aligner_of(a_path, b_path)
         for batch in sliced(batches, 1):
             for part in aligner.slices(batch.column(1)):
-                n_groups = part.per_text(part.numbers("n_groups"))
+                n_groups = part.per_text(part.words.n_groups)
                 columns = [
                     batch.column(0).take(pa.array(part.rows)),
-                    pa.array(part.per_text(part.numbers("n_a"))),
-                    pa.array(part.per_text(part.numbers("n_b"))),
+                    pa.array(part.per_text(part.words.n_a)),
+                    pa.array(part.per_text(part.words.n_b)),
                     pa.array(n_groups),
                     pa.array(n_groups),
                     part.groups(),
@@ -466,7 +552,7 @@ def _second_pass(docs: DataFrame, a_path: str, b_path: str, counts, schema: str)
                 if counts is not None:
                     n, best = counts.value.of(keys)
                     for name, values in (("n_best", best.astype(np.int64)), ("count_sum", n)):
-                        by_word = np.zeros(len(part.words), np.int64)
+                        by_word = np.zeros(len(part.words.ok), np.int64)
                         np.add.at(by_word, word, values)
                         columns.append(pa.array(part.per_text(by_word)))
                         names.append(name)
@@ -481,7 +567,7 @@ def _second_pass(docs: DataFrame, a_path: str, b_path: str, counts, schema: str)
 
 def _links(part: Slice, keys: np.ndarray, word: np.ndarray) -> pa.Array:
     """Distinct pairs of each text with how often it has them."""
-    begin = np.searchsorted(word, np.arange(len(part.words) + 1))
+    begin = np.searchsorted(word, np.arange(len(part.words.ok) + 1))
     lists = []
     for i in range(len(part.rows)):
         some, times = np.unique(part.codes[part.offsets[i] : part.offsets[i + 1]], return_counts=True)

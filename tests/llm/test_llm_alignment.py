@@ -96,7 +96,7 @@ def test_words_give_what_the_libraries_give(texts):
     got = [None] * len(texts)
     for part in aligner.slices(pa.array(texts, pa.string())):
         groups = part.groups().to_pylist()
-        n_a = part.per_text(part.numbers("n_a")).tolist()
+        n_a = part.per_text(part.words.n_a).tolist()
         for at, i in enumerate(part.rows.tolist()):
             assert got[i] is None
             got[i] = (n_a[at], groups[at])
@@ -104,6 +104,23 @@ def test_words_give_what_the_libraries_give(texts):
     assert got == want
 
 
+def test_merging_by_rank_is_what_the_tokenizer_does():
+    aligner = alignment.aligner_of(A, B)
+    assert aligner.ranks
+    words = [p.decode("utf-8", "ignore") for p in aligner.a_bytes[300::7]]
+    text = "".join(" " + w + x for w, x in zip(words, words[::-1], strict=True))
+    assert aligner.ranks.encode_ordinary(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_full_store_starts_anew(monkeypatch):
+    monkeypatch.setattr(alignment, "KEPT", 3)
+    monkeypatch.setattr(alignment, "CHUNK", 2)
+    aligner = Aligner(A, B)
+    for text in ("one two three four five", "two six", "seven\neight nine ten", "one two"):
+        part = next(aligner.slices(pa.array([text])))
+        assert part.groups().to_pylist() == [brute([text])[0][0][4]]
+
+
 def test_byte_signs_are_those_of_the_vocabulary():
     signs = alignment.byte_signs()
     assert sorted(signs.values()) == list(range(256))
