@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gatelens.llm.blobs import read_files, write_files
-from gatelens.llm.common import id_blocks, small, starts
+from gatelens.llm.common import small, starts
 from gatelens.llm.token_ids import ids_of, sliced
 
 MAGIC = b"GTIDS001"
@@ -36,6 +36,9 @@ FIRST_FRAME = HEAD.size
 #: Documents that a file is meant to hold, and bytes of frames after which a new one is begun.
 FILE_DOCS = 2048
 FILE_BYTES = 32 << 20
+#: Ranges of ids that are told apart, at most, and ids drawn for each; larger ranges make more files.
+MOST_RANGES = 65_536
+PER_RANGE = 16
 #: The dictionary is trained on this many documents at most, up to this many bytes of each.
 TRAIN_DOCS = 1024
 TRAIN_BYTES = 16_384
@@ -43,15 +46,23 @@ DICTIONARY_BYTES = 65_536
 LEVEL = 3
 
 
-def sample(docs: DataFrame, id_col: str, text: str, rows: int = TRAIN_DOCS) -> DataFrame:
-    """``text`` of the ``rows`` documents whose ids hash lowest; the bound of the training."""
-    key = F.xxhash64(F.col(id_col))
-    lowest = docs.where(F.length(text) > 0).select(key.alias("key")).orderBy("key").limit(rows)
-    limit = lowest.agg(F.max("key")).first()[0]
-    return docs.where((key <= limit) & (F.length(text) > 0)).select(text).limit(rows)
+def sample(docs: DataFrame, n: int, id_col: str, text: str, rows: int = TRAIN_DOCS) -> DataFrame:
+    """``text`` of about ``rows`` of ``n`` documents, at most, by the hash of their ids; the bound of the training."""
+    lowest = min((1 << 63) - 1, (rows << 64) // max(n, 1) - (1 << 63))
+    return docs.where((F.xxhash64(id_col) <= lowest) & (F.length(text) > 0)).select(text).limit(rows)
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text: str) -> bytes:
+def id_bounds(docs: DataFrame, n: int, id_col: str, rows: int = FILE_DOCS) -> np.ndarray:
+    """Ids that cut ``n`` documents into ranges of about ``rows``, from a bounded sample of them."""
+    ranges = min(MOST_RANGES, -(-n // rows))
+    if ranges < 2:
+        return np.zeros(0, np.int64)
+    some = docs.select(F.col(id_col).cast("long").alias("id")).sample(fraction=min(1.0, PER_RANGE * ranges / n), seed=1)
+    ids = np.sort(some.toPandas()["id"].to_numpy(np.int64))
+    return np.unique(ids[np.arange(1, ranges) * len(ids) // ranges]) if len(ids) else ids
+
+
+def train_dictionary(docs: DataFrame, n: int, tokenizer: str, id_col: str, text: str) -> bytes:
     """A dictionary for id arrays of these documents; empty where there is nothing to learn from."""
     width = id_width(tokenizer)
 
@@ -61,7 +72,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text: str) ->
             short = [narrow(x, width)[:TRAIN_BYTES] for x in ids]
             yield pa.RecordBatch.from_pydict({"ids": pa.array(short, pa.large_binary())})
 
-    rows = sample(docs, id_col, text).mapInArrow(serialise, "ids binary").collect()
+    rows = sample(docs, n, id_col, text).mapInArrow(serialise, "ids binary").collect()
     samples = sorted(bytes(r.ids) for r in rows if r.ids)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
@@ -106,15 +117,15 @@ def write_token_files(
     width = id_width(tokenizer)
     if end >= 1 << 8 * width:
         raise ValueError(f"the end id {end} does not fit {width} bytes")
-    nameless = docs.where(F.col(id_col).isNull()).count()
-    if nameless:
-        raise ValueError(f"{nameless} documents have no {id_col}")
-    trained = train_dictionary(docs, tokenizer, id_col, text)
+    n, named = docs.agg(F.count("*"), F.count(id_col)).first()
+    if n > named:
+        raise ValueError(f"{n - named} documents have no {id_col}")
+    trained = train_dictionary(docs, n, tokenizer, id_col, text)
     digest = hashlib.sha256(trained).digest()
     frame = spark.createDataFrame([(digest.hex(), trained)], "sha256 string, content binary")
     frame.coalesce(1).write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(trained)
-    low, span = id_blocks(docs, id_col, FILE_DOCS)
+    bounds = id_bounds(docs, n, id_col)
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = ids_of(tokenizer)
@@ -122,12 +133,16 @@ def write_token_files(
         if known:
             known.precompute_compress(level=LEVEL)
         zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=known)
-        for batch in sliced(batches, 2):
-            ids = words.of_texts(batch.column(2), end)
+        for batch in sliced(batches, 1):
+            ids = words.of_texts(batch.column(1), end)
             n = pc.divide(pc.binary_length(ids), 4).cast(pa.int64())
-            frames = [zstd.compress(narrow(x.as_py(), width)) for x in ids]
+            segment = np.searchsorted(bounds, batch.column(0).to_numpy(), side="right")
+            data = memoryview(narrow(b"".join(ids.to_pylist()), width))
+            ends = np.cumsum(n.to_numpy()) * width
+            places = zip((ends - n.to_numpy() * width).tolist(), ends.tolist(), strict=True)
+            frames = [zstd.compress(data[a:b]) for a, b in places]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), n, pa.array(frames, pa.large_binary())],
+                [pa.array(segment, pa.int64()), batch.column(0), n, pa.array(frames, pa.large_binary())],
                 names=["segment", "id", "n", "frame"],
             )
 
@@ -135,10 +150,8 @@ def write_token_files(
         for content in _files(batches, digest, width):
             yield pa.RecordBatch.from_pydict({"content": pa.array([content], pa.large_binary())})
 
-    segment = F.floor((F.col(id_col).cast("long") - low) / span)
     files = (
         docs.select(
-            segment.alias("segment"),
             F.col(id_col).cast("long").alias("id"),
             F.col(text).alias("text"),
         )

@@ -136,6 +136,21 @@ def test_token_files(spark, words, tmp_path):
     assert token_files.read_token_files(spark, empty).count() == 0
 
 
+def test_ranges_of_uneven_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_DOCS", 50)
+    ids = [*range(1000), *range(10**12, 10**12 + 900), 1 << 62, -(1 << 62)]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").repartition(3)
+    bounds = token_files.id_bounds(docs, len(ids), "doc_id", 50)
+    sizes = np.bincount(np.searchsorted(bounds, ids, side="right"))
+    assert len(sizes) > 20 and sizes.max() < 150
+    path = str(tmp_path / "files")
+    token_files.write_token_files(docs, path, WORDS)
+    got = token_files.read_token_files(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(ids)
+    assert [r.start for r in got] == (np.cumsum([r.n_tokens for r in got]) - [r.n_tokens for r in got]).tolist()
+    assert spark.read.format("binaryFile").load(f"{path}/files").where("length > 0").count() == len(sizes)
+
+
 def test_documents_without_an_id_are_refused(spark, tmp_path):
     docs = spark.createDataFrame([(1, "some text"), (None, "more")], "doc_id long, text string")
     with pytest.raises(ValueError, match="1 documents have no doc_id"):
