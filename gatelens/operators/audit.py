@@ -7,7 +7,9 @@ no step ever needs more than one block per row. Proofs and prefix roots join eac
 own block only, so no node near the root becomes a hot join key.
 """
 
+import json
 import re
+from collections.abc import Collection
 from dataclasses import dataclass
 
 import pandas as pd
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gatelens.functions.hashing import EMPTY_ROOT, canonical_json, leaf_hash, node_hash
+from gatelens.functions.hashing import EMPTY_ROOT, canonical_json, has_float, leaf_hash, node_hash
 from gatelens.functions.scalars import key_purpose
 from gatelens.session import durable
 
@@ -436,12 +438,16 @@ def verify_log(log: DataFrame, heads: DataFrame) -> DataFrame:
 def leaf_page(log: DataFrame, start: int, limit: int) -> DataFrame:
     """A page of at most 200 leaves from an index on, each with an ``intact`` flag.
 
-    The idx range is filtered first, so the scan is pruned and only one page is sorted.
+    A log without gaps has its page between two indexes: only those leaves are read. A page that is
+    not full there (the end of the log, or a gap) is taken from all leaves that follow.
     """
     limit = min(limit, MAX_PAGE)
+    following = log.where(F.col("idx") >= start)
+    near = following.where(F.col("idx") < start + limit)
+    if near.select("idx").limit(limit).count() == limit:
+        following = near
     return (
-        log.where(F.col("idx") >= start)
-        .orderBy("idx")
+        following.orderBy("idx")
         .limit(limit)
         .select(
             "idx",
@@ -458,45 +464,110 @@ def head_schedule(log: DataFrame, every: int = HEAD_EVERY) -> DataFrame:
     return log.where(size % every == 0).select(size.alias("size"))
 
 
+NO_OBJECT, FRACTION = "not a JSON object", "a number with a fraction"
+
+
+def event_payloads(events: DataFrame) -> DataFrame:
+    """``seq``, ``payload`` and ``refused`` of each event; one of the last two is NULL.
+
+    An event is refused that is no JSON object the engine can parse (also one nested deeper than its
+    parser goes, or with a key twice) or holds a fraction, since amounts are whole.
+    """
+    document = F.try_parse_json(drop_secret_keys(F.col("event")))
+    rows = events.select("seq", document.alias("_d"))
+    reason = F.when(F.col("_d").isNull(), NO_OBJECT).when(has_float(F.col("_d")), FRACTION)
+    rows = rows.withColumns({"payload": canonical_json(F.col("_d")), "refused": reason})
+    return rows.select("seq", "payload", "refused")
+
+
+def refused_events(events: DataFrame) -> DataFrame:
+    """``seq, refused`` of the events that have no canonical form, to be set aside before hashing."""
+    return event_payloads(events).where("refused IS NOT NULL").select("seq", "refused")
+
+
 def canonical_leaves(events: DataFrame, start: int = 0) -> DataFrame:
     """Leaves of a batch of events: secret keys dropped, canonical JSON, hash, next indexes.
 
-    ``events``: seq (order in the batch, 0.. without gaps) and event (JSON text).
+    ``events``: seq (order in the batch, 0.. without gaps) and event (JSON text). A leaf is never
+    NULL: an event without canonical form ends the query; see ``refused_events``.
+    """
+    refusal = F.raise_error(F.concat(F.lit("event "), F.col("seq"), F.lit(" has no leaf: "), F.col("refused")))
+    payload = F.when(F.col("refused").isNull(), F.col("payload")).otherwise(refusal.cast("string"))
+    return (
+        event_payloads(events)
+        .select((F.col("seq").cast("long") + start).alias("idx"), payload.alias("payload"))
+        .withColumn("leaf_hash", leaf_hash("payload"))
+    )
+
+
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s"{}\[\],:]+', re.S)
+
+
+def without_keys(document: str, names: Collection[str]) -> str:
+    """JSON text without the members of those names (lower case), at any depth and inside lists.
+
+    What stays keeps its own text, so numbers and strings are never read or written anew. The text
+    is walked token by token with a stack; ValueError for what is no JSON.
     """
-    payload = canonical_json(F.try_parse_json(drop_secret_keys(F.col("event"))))
-    return events.select(
-        (F.col("seq").cast("long") + start).alias("idx"), payload.alias("payload")
-    ).withColumn("leaf_hash", leaf_hash("payload"))
+    tokens = _TOKEN.findall(document)
+    out: list[str] = []
+    open_: list[list] = []  # bracket and whether something is in it
+    after_key = False
+    at = 0
+    try:
+        while at < len(tokens):
+            token = tokens[at]
+            at += 1
+            if token == ",":
+                continue
+            if token in "}]":
+                open_.pop()
+                out.append(token)
+                continue
+            if open_ and not after_key:
+                inside = open_[-1]
+                named = inside[0] == "{"
+                if named and json.loads(token).lower() in names:
+                    depth = 0
+                    at += 1
+                    while True:
+                        depth += (tokens[at] in "{[") - (tokens[at] in "}]")
+                        at += 1
+                        if not depth:
+                            break
+                    continue
+                if inside[1]:
+                    out.append(",")
+                inside[1] = True
+                if named:
+                    out += token, ":"
+                    at += 1
+                    after_key = True
+                    continue
+            after_key = False
+            out.append(token)
+            if token in "{[":
+                open_.append([token, False])
+    except (IndexError, AttributeError) as broken:
+        raise ValueError("not JSON") from broken
+    return "".join(out)
 
 
 def drop_secret_keys(document: Column) -> Column:
     """JSON text without secret-named keys, at any depth and inside lists.
 
-    Only texts that may hold such a key (or an escaped name) leave the JVM. Numbers keep their
-    text. NULL for what is no JSON object.
+    Only texts that may hold such a key (or an escaped name) leave the JVM. NULL for what is no JSON
+    object.
     """
     from gatelens.operators.scan import SECRET_KEYS
 
     @F.pandas_udf("string")
     def stripped(documents: pd.Series) -> pd.Series:
-        import json
-
-        mark = "\ue000number:"
-
-        def clean(value):
-            if isinstance(value, dict):
-                return {k: clean(v) for k, v in value.items() if k.lower() not in SECRET_KEYS}
-            return [clean(v) for v in value] if isinstance(value, list) else value
-
-        def one(document):
-            if document is None:
-                return None
+        def one(text):
             try:
-                value = json.loads(document, parse_float=lambda text: mark + text)
+                return None if text is None else without_keys(text, SECRET_KEYS)
             except ValueError:
                 return None
-            text = json.dumps(clean(value), ensure_ascii=False)
-            return re.sub(f'"{mark}([^"]*)"', r"\1", text)
 
         return documents.map(one)
 

@@ -182,6 +182,24 @@ def canonical_leaf(t):
     return au.canonical_leaves(events, start=5)
 
 
+@query(
+    "aud15_hostile_events",
+    "SELECT event_id AS seq, CASE event_id % 6 WHEN 0 THEN '{\"note\":\"' || chr(57344) || 'number:true\"}' WHEN 1 THEN '{\"a\":[{},2],\"b\":-7}' WHEN 4 THEN '{\"k\":\"a' || chr(92) || '\"b\"}' "
+    "WHEN 5 THEN '{\"note\":\"7\",\"s\":\"{' || chr(92) || '\"seed' || chr(92) || '\":1}\"}' END AS payload, CASE event_id % 6 WHEN 2 THEN 'a number with a fraction' WHEN 3 THEN 'not a JSON object' END AS refused FROM events",
+)
+def hostile_events(t):
+    texts = [
+        '{"password":"x","note":"\ue000number:true"}',
+        '{"b":-7,"a":[{"SECRET":{"deep":[1,{}]}},2]}',
+        '{"password":1,"v":1.5}',
+        '["password"]',
+        '{"pass\\u0077ord":1,"k":"a\\"b"}',
+        '{"s":"{\\"seed\\":1}","seed":null,"note":"7"}',
+    ]
+    event = F.array(*[F.lit(x) for x in texts])[(F.col("event_id") % 6).cast("int")]
+    return au.event_payloads(t.events.select(F.col("event_id").alias("seq"), event.alias("event")))
+
+
 @query("aud16_verify_report", "SELECT true AS ok FROM events HAVING count(*) > 0")
 def verify_report(t):
     tree, size = _tree(t)

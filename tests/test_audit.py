@@ -1,6 +1,7 @@
 """Merkle trees, proofs and tamper checks against the recursive definition."""
 
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +89,59 @@ def test_first_bad_leaf(spark):
 def test_empty_log(spark):
     empty = spark.createDataFrame([], "idx long, hash string")
     assert au.tree_root(au.build_tree(empty, 0)).first().root == digest(b"").hex()
+
+
+HOSTILE = [
+    '{"password":"x","note":"\ue000number:]"}',
+    '{"password":"x","note":"\ue000number:true","n":7}',
+    '{"seed":[[1],{"a":2}],"a":{"Seed":1,"b":[{"sig":1},{"b":2,"signature":{}}]},"n":12345678901234567890}',
+    '{ "a" : [ ] , "secret" : {} , "b" : "x,\\"secret\\":1" }',
+    '{"\\u0070assword":1,"k":"\\ud83d\\ude42"}',
+    '{"token":1}',
+]
+
+
+def kept(value):
+    from gatelens.operators.scan import SECRET_KEYS
+
+    if isinstance(value, dict):
+        return {k: kept(v) for k, v in value.items() if k.lower() not in SECRET_KEYS}
+    return [kept(v) for v in value] if isinstance(value, list) else value
+
+
+def test_hostile_events_keep_their_strings(spark):
+    rows = list(enumerate(HOSTILE))
+    got = au.canonical_leaves(spark.createDataFrame(rows, "seq long, event string"), start=3).orderBy("idx").collect()
+    for (seq, text), row in zip(rows, got, strict=True):
+        want = json.dumps(kept(json.loads(text)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        assert row.idx == seq + 3 and row.payload == want
+        assert row.leaf_hash == hashlib.sha256(b"\0" + want.encode()).hexdigest()
+        assert json.loads(au.without_keys(text, ("none",))) == json.loads(text)
+
+
+@pytest.mark.parametrize("depth", [50, 1500])
+def test_deep_events_are_a_leaf_or_refused(spark, depth):
+    deep = '{"password":1,"a":' + "[" * depth + "]" * depth + "}"
+    events = spark.createDataFrame([(0, deep), (1, '{"a":1}')], "seq long, event string")
+    refused = {r.seq: r.refused for r in au.refused_events(events).collect()}
+    assert au.without_keys(deep, ("password",)) == deep.replace('"password":1,', "")
+    if depth == 50:
+        assert refused == {}
+        assert au.canonical_leaves(events).where("leaf_hash IS NULL").count() == 0
+    else:
+        assert refused == {0: au.NO_OBJECT}
+
+
+@pytest.mark.parametrize("text", ["", "nothing", "[1]", '{"a":1.5}', '{"a":', '{"password":}', '{"password"', '}{', '{"a":1,"a":2}', None])
+def test_events_without_a_leaf(spark, text):
+    events = spark.createDataFrame([(0, text)], "seq long, event string")
+    assert au.refused_events(events).count() == 1
+    with pytest.raises(Exception, match="event 0 has no leaf"):
+        au.canonical_leaves(events).collect()
+
+
+def test_pages_of_a_log_with_gaps(spark):
+    tampered = log(spark, ["x"] * 40, idx=[i for i in range(50) if i not in range(10, 20)])
+    assert [r.idx for r in au.leaf_page(tampered, 5, 8).collect()] == [5, 6, 7, 8, 9, 20, 21, 22]
+    assert [r.idx for r in au.leaf_page(tampered, 25, 8).collect()] == list(range(25, 33))
+    assert [r.idx for r in au.leaf_page(tampered, 48, 8).collect()] == [48, 49]
