@@ -52,7 +52,7 @@ def sample(docs: DataFrame, n: int, id_col: str, text: str, rows: int = TRAIN_DO
     return docs.where((F.xxhash64(id_col) <= lowest) & (F.length(text) > 0)).select(text).limit(rows)
 
 
-def id_bounds(docs: DataFrame, n: int, id_col: str, rows: int = FILE_DOCS) -> np.ndarray:
+def id_bounds(docs: DataFrame, n: int, id_col: str, rows: int) -> np.ndarray:
     """Ids that cut ``n`` documents into ranges of about ``rows``, from a bounded sample of them."""
     ranges = min(MOST_RANGES, -(-n // rows))
     if ranges < 2:
@@ -125,7 +125,7 @@ def write_token_files(
     frame = spark.createDataFrame([(digest.hex(), trained)], "sha256 string, content binary")
     frame.coalesce(1).write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(trained)
-    bounds = id_bounds(docs, n, id_col)
+    bounds = id_bounds(docs, n, id_col, FILE_DOCS)
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = ids_of(tokenizer)
