@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from gatelens.functions.scalars import key_purpose, rupees_text
 from gatelens.operators.ruleset import STEP_UP
-from gatelens.plans.order_stats import exact_median
+from gatelens.plans.history import prefix_spread
 from gatelens.plans.skew import lookup, newest_per_key, oldest_per_key
 from gatelens.plans.timeline import as_of, running_total
+from gatelens.session import durable
 
 FACTS = (
     "mandate_sig_valid",
@@ -260,47 +261,73 @@ MAD_SCALE = 1.4826
 Z_LIMIT = 3.5
 
 
-def payee_history(calls: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Size and span of the history of each call's (principal, payee), before the call.
+PAIR = ["principal", "payee_vpa"]
 
-    Running count and sum by time bucket; the rows of the history are never attached to a call.
+
+def _placed(calls: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ledger rows with their place ``pos`` in the history of their (principal, payee), and calls with
+    the size ``n`` and sum ``total`` of the history before them.
+
+    Running count and sum by time bucket; a row posted at the very instant of a call comes after it.
     """
-    pair = ["principal", "payee_vpa"]
     posted = ledger.select(
-        *pair, "ts", F.lit(None).cast("string").alias("_id"), F.lit(1).alias("_n"), F.col("amount_paise").alias("_a")
+        *PAIR, "ts", F.lit(None).cast("string").alias("_id"), F.lit(1).alias("_n"), F.col("amount_paise").alias("_a")
     )
     probes = calls.select(
-        *pair, "ts", F.col("call_id").cast("string").alias("_id"), F.lit(0).alias("_n"), F.lit(0).cast("long").alias("_a")
+        *PAIR, "ts", F.col("call_id").cast("string").alias("_id"), F.lit(0).alias("_n"), F.lit(0).cast("long").alias("_a")
     )
-    both = posted.unionByName(probes)
-    # a probe sorts before ledger rows of the same instant: strictly earlier rows count
     order = ["_n", "_id", "_a"]
-    counted = running_total(both, pair, "ts", order, F.col("_n"), "n", fine=86_400, coarse=86_400 * 365)
-    summed = running_total(counted, pair, "ts", order, F.col("_a"), "total", fine=86_400, coarse=86_400 * 365)
-    return summed.where("_n = 0").select(F.col("_id").alias("call_id"), "n", "total")
+    counted = running_total(posted.unionByName(probes), PAIR, "ts", order, F.col("_n"), "n", fine=86_400, coarse=86_400 * 365)
+    rows = counted.where("_n = 1").select(*PAIR, "ts", F.col("n").alias("pos"), F.col("_a").alias("x"))
+    return rows, counted
+
 
+def payee_history(calls: DataFrame, ledger: DataFrame, *, amounts: int = 100) -> DataFrame:
+    """``call_id, n, total, amounts``: the history of each call's (principal, payee), before the call.
 
-def history_profile(ledger: DataFrame, keys: Sequence[str] = ("principal", "payee_vpa")) -> DataFrame:
-    """Exact median and median absolute deviation of each pair's posted amounts."""
-    keys = list(keys)
-    middle = exact_median(ledger, keys, "amount_paise", "median")
-    spread = lookup(
-        ledger.select(*keys, "txn_id", "amount_paise"),
-        middle.select(*keys, "median"),
-        keys,
-        how="inner",
-    ).withColumn("_deviation", F.abs(F.col("amount_paise") - F.col("median")))
-    deviation = exact_median(spread, keys, "_deviation", "mad")
-    return middle.join(deviation.select(*keys, "mad"), keys)
+    ``amounts`` are the past amounts in ascending order where there are ``amounts`` of them at most,
+    else NULL: a long history is never attached to a call. Size and sum cover any history.
+    """
+    rows, counted = _placed(calls, ledger)
+    summed = running_total(counted, PAIR, "ts", ["_n", "_id", "_a"], F.col("_a"), "total", fine=86_400, coarse=86_400 * 365)
+    asked = durable(summed.where("_n = 0").select(*PAIR, F.col("_id").alias("call_id"), "n", "total"))
+    # histories of so few rows are the same for all calls that see as many rows of a pair
+    states = asked.where(F.col("n").between(1, amounts)).select(*PAIR, "n").distinct()
+    first = rows.where(F.col("pos") < amounts).select(*PAIR, "pos", "x")
+    seen = (
+        first.groupBy(*PAIR)
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda r: r["x"]).alias("_first"))
+        .join(states, PAIR)
+        .select(*PAIR, "n", F.array_sort(F.slice("_first", F.lit(1), F.col("n").cast("int"))).alias("amounts"))
+    )
+    none = F.array().cast("array<bigint>")
+    return asked.join(seen, [*PAIR, "n"], "left").select(
+        "call_id", "n", "total", F.when(F.col("n") == 0, none).otherwise(F.col("amounts")).alias("amounts")
+    )
+
+
+def history_profile(calls: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``call_id, n, median, mad``: exact median and median absolute deviation of the amounts that were
+    posted to the call's pair before the call; NULL with fewer than ``MIN_SAMPLES``.
+
+    Calls that see the same rows share one answer, so no pair is answered more often than it has rows.
+    """
+    rows, counted = _placed(calls, ledger)
+    rows = durable(rows.select(*PAIR, "pos", "x"))
+    asked = durable(counted.where("_n = 0").select(*PAIR, F.col("_id").alias("call_id"), "n"))
+    found = prefix_spread(rows, asked.where(F.col("n") >= MIN_SAMPLES), PAIR)
+    return asked.join(found, [*PAIR, "n"], "left").select("call_id", "n", "median", "mad")
 
 
 def robust_z(calls: DataFrame, ledger: DataFrame) -> DataFrame:
-    """``z`` of each amount against the ledger as it stands, and the decision it leads to.
+    """``call_id, z, decision`` of each amount against the history of its pair before the call.
 
-    The ledger given is the history: rows posted before the batch of calls. Both medians are
-    exact order statistics over distinct amounts, so a hot pair is never one task.
+    What is posted at the time of the call or later changes nothing. A history without spread gives 0
+    for its own amount and infinity for any other.
     """
-    rows = lookup(calls, history_profile(ledger), ["principal", "payee_vpa"])
+    rows = calls.select(F.col("call_id").cast("string").alias("call_id"), "amount_paise").join(
+        history_profile(calls, ledger), "call_id"
+    )
     gap = F.abs(F.col("amount_paise") - F.col("median"))
     z = F.when(
         F.col("n") >= MIN_SAMPLES,

@@ -355,28 +355,46 @@ def check_ledger_balance(t):
     return pay.check_ledger_balance(rows, accounts)
 
 
+# calls within the time of the ledger, some at the very instant of postings
+PAY_CALLS = """
+SELECT call_id, principal, payee_vpa, amount_paise, CASE WHEN call_id % 4 = 0 THEN date_trunc('day', moment) ELSE moment END AS moment
+FROM (SELECT *, ts - INTERVAL 8766 DAY + to_days(CAST(call_id % 3000 AS INT)) AS moment FROM v_calls WHERE tool = 'pay_upi') c
+"""
+SEEN = "SELECT c.call_id, l.amount_paise AS x FROM pay_calls c JOIN v_ledger l ON l.principal = c.principal AND l.payee_vpa = c.payee_vpa AND l.ts < c.moment"
+MIDDLES = "SELECT call_id, median(x) AS med, count(*) AS n FROM seen GROUP BY call_id"
+SPREADS = "SELECT s.call_id, med, n, median(abs(x - med)) AS mad FROM seen s JOIN middles m ON m.call_id = s.call_id GROUP BY s.call_id, med, n"
+
+
+def _pay_calls(t):
+    at = F.expr("ts - INTERVAL 8766 DAY + make_dt_interval(CAST(call_id % 3000 AS INT))")
+    at = F.when(F.col("call_id") % 4 == 0, F.date_trunc("day", at)).otherwise(at)
+    return t.v_calls.where("tool = 'pay_upi'").withColumn("ts", at)
+
+
 @query(
     "fct22_payee_history",
-    "SELECT CAST(c.call_id AS VARCHAR) AS call_id, count(l.ts) AS n, CAST(coalesce(sum(l.amount_paise), 0) AS BIGINT) AS total FROM pay_calls c LEFT JOIN v_ledger l ON l.principal = c.principal AND l.payee_vpa = c.payee_vpa AND l.ts < c.at GROUP BY c.call_id",
-    pay_calls="SELECT call_id, principal, payee_vpa, ts - INTERVAL 8766 DAY + to_days(CAST(call_id % 3000 AS INT)) AS at FROM v_calls WHERE tool = 'pay_upi'",
+    "SELECT CAST(c.call_id AS VARCHAR) AS call_id, count(s.x) AS n, CAST(coalesce(sum(s.x), 0) AS BIGINT) AS total, "
+    "CASE WHEN count(s.x) = 0 THEN '' WHEN count(s.x) <= 60 THEN string_agg(CAST(s.x AS VARCHAR), ',' ORDER BY s.x) END AS amounts FROM pay_calls c LEFT JOIN seen s ON s.call_id = c.call_id GROUP BY c.call_id",
+    pay_calls=PAY_CALLS,
+    seen=SEEN,
 )
 def payee_history(t):
-    calls = t.v_calls.where("tool = 'pay_upi'").withColumn(
-        "ts", F.expr("ts - INTERVAL 8766 DAY + make_dt_interval(CAST(call_id % 3000 AS INT))")
-    )
-    return pay.payee_history(calls, t.v_ledger)
+    found = pay.payee_history(_pay_calls(t), t.v_ledger, amounts=60)
+    return found.withColumn("amounts", F.array_join(F.col("amounts").cast("array<string>"), ","))
 
 
 @query(
     "fct23_robust_z",
-    "SELECT c.call_id, CASE WHEN h.n >= 5 THEN CASE WHEN h.mad = 0 THEN CASE WHEN c.amount_paise = h.med THEN 0.0 ELSE CAST('inf' AS DOUBLE) END ELSE abs(c.amount_paise * 900 - h.med) / (1.4826 * h.mad) END END AS z, "
-    "CASE WHEN h.n >= 5 AND (h.mad = 0 AND c.amount_paise * 900 <> h.med OR abs(c.amount_paise * 900 - h.med) / (1.4826 * h.mad) > 3.5) THEN 1 END AS decision FROM v_calls c LEFT JOIN ("
-    "SELECT l.principal, l.payee_vpa, m.med, m.n, median(abs(l.amount_paise - m.med)) AS mad FROM v_ledger l JOIN (SELECT principal, payee_vpa, median(amount_paise) AS med, count(*) AS n FROM v_ledger GROUP BY 1, 2) m "
-    "ON m.principal = l.principal AND m.payee_vpa = l.payee_vpa GROUP BY 1, 2, 3, 4) h ON h.principal = c.principal AND h.payee_vpa = c.payee_vpa WHERE c.tool = 'pay_upi'",
+    "SELECT c.call_id, CASE WHEN h.n >= 5 THEN CASE WHEN h.mad = 0 THEN CASE WHEN c.amount_paise * 900 = h.med THEN 0.0 ELSE CAST('inf' AS DOUBLE) END ELSE abs(c.amount_paise * 900 - h.med) / (1.4826 * h.mad) END END AS z, "
+    "CASE WHEN h.n >= 5 AND (h.mad = 0 AND c.amount_paise * 900 <> h.med OR abs(c.amount_paise * 900 - h.med) / (1.4826 * h.mad) > 3.5) THEN 1 END AS decision FROM pay_calls c LEFT JOIN spreads h ON h.call_id = c.call_id",
+    pay_calls=PAY_CALLS,
+    seen=SEEN,
+    middles=MIDDLES,
+    spreads=SPREADS,
 )
 def robust_z(t):
-    calls = t.v_calls.where("tool = 'pay_upi'").withColumn("amount_paise", F.col("amount_paise") * 900)
-    return pay.robust_z(calls, t.v_ledger)
+    calls = _pay_calls(t).withColumn("amount_paise", F.col("amount_paise") * 900)
+    return pay.robust_z(calls, t.v_ledger).withColumn("call_id", F.col("call_id").cast("long"))
 
 
 TRANSFERS = """
