@@ -144,6 +144,41 @@ def policy_sweep(t):
     )
 
 
+# every fact, level, tag, signal and failed stage of every tool of the log, under rules with gaps
+GAPS = ("PAYSHIELD.TAINT.UNTRUSTED_PAYEE", "PAYSHIELD.MANDATE.TIME", "PURPOSELOCK.TAINT.UNTRUSTED_EMAIL_CONTENT")
+THREE = "SELECT * FROM (VALUES (true), (false), (CAST(NULL AS BOOLEAN))) v(x)"
+LEVELS = "SELECT * FROM (VALUES (0), (1), (2)) v(x)"
+PAID = (
+    "SELECT *, coalesce(sg AND nf AND pm AND cm AND NOT mis, false) AND (pc OR ap) IS TRUE AND (tx OR ap) IS TRUE AND (dy OR ap) IS TRUE AS ok, (sg AND tv AND nf AND pm AND cm AND ((pc AND tx AND dy) OR ap)) IS TRUE AS mandated FROM "
+    "(SELECT a.x AS sg, b.x AS tv, c.x AS nf, d.x AS pm, e.x AS cm, f.x AS pc, g.x AS tx, h.x AS dy, i.x AS ap, j.x AS mis FROM three a, three b, three c, three d, three e, three f, three g, three h, three i, three j) z"
+)
+ROWS = """
+SELECT 'pay_upi' AS tool, false AS large, count(*) AS n, count_if(ok AND am < 2) AS allowed, count_if(ok AND am < 2 AND py = 2 AND ap IS NOT TRUE) AS untrusted, count_if(ok AND am < 2 AND NOT mandated) AS unmandated
+FROM (SELECT p.*, l.x AS am, m.x AS py FROM paid p, levels l, levels m) z
+UNION ALL SELECT 'issue_refund', large, count(*), count_if(ok AND am < 2 AND (NOT large OR ap)), 0, count_if(ok AND am < 2 AND (NOT large OR ap) AND NOT mandated) FROM (SELECT p.*, l.x AS am, m.x AS large FROM paid p, levels l, (VALUES (true), (false)) m(x)) z GROUP BY large
+UNION ALL SELECT 'add_payee', false, count(*), count_if(NOT mis.x AND l.x < 2), 0, 0 FROM three mis, three ap, levels l
+UNION ALL SELECT 'send_email', false, count(*), count_if(ok), count_if(ok AND (recipient = 2 OR body = 2) AND ap IS NOT TRUE), 0 FROM (SELECT ap.x AS ap, r.x AS recipient, b.x AS body, coalesce(NOT mis.x, false) AND r.x < 2 AND (NOT (t1.x OR t2.x OR t3.x) OR (co.x AND sk.x) IS TRUE) AS ok
+  FROM three co, three sk, three ap, three mis, levels r, levels b, (VALUES (true), (false)) t1(x), (VALUES (true), (false)) t2(x), (VALUES (true), (false)) t3(x)) z
+UNION ALL SELECT 'read_customer_data', false, count(*), count_if((co.x AND sk.x AND NOT mis.x) IS TRUE), 0, 0 FROM three co, three sk, three mis
+UNION ALL SELECT 'read_document', false, count(*), count_if(NOT x), 0, 0 FROM three
+"""
+
+
+@query(
+    "inv08_policy_counts",
+    "SELECT b.tool, base, calls, n * 24 AS combinations, allowed, untrusted AS untrusted_sink, unmandated AS unmandated_payment, CAST(0 AS BIGINT) AS broken_otherwise FROM "
+    "(SELECT tool, CASE WHEN tool = 'issue_refund' THEN args END AS base, coalesce(tool = 'issue_refund' AND amount_paise * 40 > 500000, false) AS large, count(*) AS calls FROM v_call_args WHERE call_id % 301 <> 7 AND tool <> 'wire_all' GROUP BY ALL) b JOIN swept r ON r.tool = b.tool AND r.large = b.large",
+    three=THREE,
+    levels=LEVELS,
+    paid=PAID,
+    swept=ROWS,
+)
+def policy_counts(t):
+    found = iv.policy_counts(t.v_call_args.select("tool", "args"), RULES.without(*GAPS))
+    rest = F.col("lowered") + F.col("allowed_after_failure") + F.col("unconsented_personal_data")
+    return found.select("tool", "base", "calls", "combinations", "allowed", "untrusted_sink", "unmandated_payment", rest.alias("broken_otherwise"))
+
+
 RULE_FILES = "SELECT 'f' || CAST(p_size % 3 AS STRING) AS file, 'RULE.' || p_brand AS name, CASE WHEN p_brand < 'Brand#15' THEN p_type ELSE 'same' END AS definition FROM part"
 
 
