@@ -9,7 +9,7 @@ from gatelens.functions.scalars import normalise
 from gatelens.functions.text import close_tags, field_tag, pii_tags
 from gatelens.operators.provenance import substring_taint
 from gatelens.plans.skew import lookup
-from gatelens.plans.timeline import as_of
+from gatelens.plans.timeline import stab_min
 
 # fixed values: purpose -> tools that may touch personal data
 PURPOSE_TOOLS = {
@@ -109,20 +109,25 @@ def consent_facts(
     """``consent_active`` and ``sink_allowed_for_purpose`` of each call.
 
     ``calls``: call_id, ts, tool, purpose, to. ``subjects``: call_id, subject. ``consents``:
-    principal_id, category, purpose (one row per purpose), exp, withdrawn_at. ``emails``:
+    principal_id, category, purpose (one row per purpose), exp, withdrawn_at, and granted_at where it
+    is known: a consent stored after the call then does not cover it. ``emails``:
     subject, email. Without a purpose both facts are NULL. All subjects must be covered. A consent
     holds up to its expiry or withdrawal; a withdrawal after the call does not undo the call.
     """
-    usable = (
-        consents.where("category = 'customer_data'")
-        .groupBy(F.col("principal_id").cast("string").alias("subject"), "purpose")
-        .agg(F.max(F.least("exp", "withdrawn_at")).alias("_last"))
-    )
     own = emails.groupBy("subject").agg(F.min(normalise("email")).alias("_email"))
     pairs = subjects.join(calls.select("call_id", "ts", "purpose", "to"), "call_id")
-    pairs = lookup(pairs, usable, ["subject", "purpose"])
+    if "granted_at" in consents.columns:
+        pairs = pairs.join(_next_end(pairs.distinct(), consents), ["call_id", "subject"])
+        good = F.col("_exp").isNotNull()
+    else:
+        usable = (
+            consents.where("category = 'customer_data'")
+            .groupBy(F.col("principal_id").cast("string").alias("subject"), "purpose")
+            .agg(F.max(F.least("exp", "withdrawn_at")).alias("_last"))
+        )
+        pairs = lookup(pairs, usable, ["subject", "purpose"])
+        good = F.coalesce(F.col("ts") < F.col("_last"), F.lit(False))
     pairs = lookup(pairs, own, ["subject"])
-    good = F.coalesce(F.col("ts") < F.col("_last"), F.lit(False))
     per_call = pairs.groupBy("call_id").agg(
         F.bool_and(good).alias("_active"),
         F.bool_and(F.coalesce(F.col("_email") == normalise("to"), F.lit(False))).alias("_own"),
@@ -143,31 +148,37 @@ def consent_facts(
     )
 
 
-def consent_valid_until(calls: DataFrame, subjects: DataFrame, consents: DataFrame) -> DataFrame:
-    """Earliest expiry the consent fact of a call depends on: per subject the next expiry after
-    the call among its usable consents, and the earliest of those.
+def _next_end(pairs: DataFrame, consents: DataFrame) -> DataFrame:
+    """``call_id, subject, _exp``: the earliest expiry among the consents that hold at the call.
 
-    "Next after" is an as-of join on mirrored time.
+    A consent holds from ``granted_at``, where that is a column, to its expiry or withdrawal. What is
+    withdrawn later still holds, and its stored expiry counts.
     """
-
-    def mirrored(column: str) -> Column:
-        return F.timestamp_micros(-F.unix_micros(F.col(column).cast("timestamp")))
-
-    usable = (
-        consents.where("category = 'customer_data' AND withdrawn_at IS NULL")
-        .select(F.col("principal_id").cast("string").alias("subject"), "purpose", "exp")
-        .distinct()
-        .withColumn("_m", mirrored("exp"))
+    start = F.col("granted_at") if "granted_at" in consents.columns else F.lit(None).cast("timestamp")
+    held = consents.where("category = 'customer_data'").select(
+        F.col("principal_id").cast("string").alias("subject"),
+        "purpose",
+        start.alias("_from"),
+        F.least("exp", "withdrawn_at").alias("_to"),
+        "exp",
     )
-    pairs = subjects.join(
-        calls.where("purpose IS NOT NULL").select("call_id", "ts", "purpose"), "call_id"
-    ).withColumn("_t", mirrored("ts"))
-    found = as_of(
-        pairs, usable, ["subject", "purpose"], "_t", "_m", ["exp"], inclusive=False, fine=86_400
+    return stab_min(
+        pairs, held, ["call_id", "subject"], ["subject", "purpose"], "ts", "_from", "_to", "exp", "_exp"
     )
+
+
+def consent_valid_until(calls: DataFrame, subjects: DataFrame, consents: DataFrame) -> DataFrame:
+    """Earliest expiry the consent fact of a call depends on: per subject the next expiry among the
+    consents that hold at the call, and the earliest of those.
+
+    Withdrawals count from their own time on. Calls with a subject that nothing covers are left out.
+    """
+    asked = calls.where("purpose IS NOT NULL").select("call_id", "ts", "purpose")
+    pairs = subjects.select("call_id", "subject").distinct().join(asked, "call_id")
     return (
-        found.groupBy("call_id")
-        .agg(F.min("exp").alias("valid_until"), F.bool_and(F.col("exp").isNotNull()).alias("_all"))
+        _next_end(pairs, consents)
+        .groupBy("call_id")
+        .agg(F.min("_exp").alias("valid_until"), F.bool_and(F.col("_exp").isNotNull()).alias("_all"))
         .where("_all")
         .select("call_id", "valid_until")
     )

@@ -192,3 +192,62 @@ def stab_count(
         marks.unionByName(probes), keys, "_t", ["_o"], F.col("_d"), out, fine=fine
     )
     return totals.where(F.col("_row").isNotNull()).select("_row.*", out)
+
+
+#: Positions of a second on the line of dyadic nodes, and of the line; it starts at FIRST seconds.
+_SECOND_BITS, _LINE_BITS = 20, 59
+_FIRST = -(1 << 38)
+
+
+def _position(ts: Column) -> Column:
+    """Place of a timestamp on a line where whole seconds fall on multiples of a power of two."""
+    micros = F.unix_micros(ts.cast("timestamp"))
+    second = F.floor(micros / F.lit(1_000_000)).cast("long")
+    return (second - F.lit(_FIRST)) * (1 << _SECOND_BITS) + F.pmod(micros, F.lit(1_000_000))
+
+
+def stab_min(
+    points: DataFrame,
+    intervals: DataFrame,
+    ids: Sequence[str],
+    keys: Sequence[str],
+    ts: str,
+    start: str,
+    end: str,
+    value: str,
+    out: str,
+) -> DataFrame:
+    """``ids`` and ``out``: the least ``value`` among the intervals of the key that contain the point.
+
+    ``ids`` tell points apart; a point in no interval has NULL. Intervals open at ``start`` (NULL: always
+    open) and close before ``end`` (NULL: never). Each is cut into dyadic nodes, two a level at most;
+    a node keeps its least value, and a point asks the one node of each level that it lies in. So there
+    are no pairs of points and intervals, and no order to keep inside a key.
+    """
+    lo = F.coalesce(_position(F.col(start)), F.lit(0).cast("long"))
+    hi = F.coalesce(_position(F.col(end)), F.lit(1 << _LINE_BITS).cast("long"))
+    ends = intervals.select(*keys, lo.alias("_lo"), hi.alias("_hi"), F.col(value).alias("_v"))
+
+    def nodes_of(level: Column) -> Column:
+        # the whole nodes of a level; the odd ones at either edge belong to no larger node inside
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        inside = (F.pmod(F.col("_lo"), size) > 0).cast("long")
+        first = F.call_function("shiftright", F.col("_lo"), level) + inside
+        last = F.call_function("shiftright", F.col("_hi"), level)
+        left = F.when((first < last) & (first % 2 == 1), first)
+        right = F.when((first < last) & (last % 2 == 1), last - 1)
+        return F.transform(
+            F.array_compact(F.array(left, right)), lambda n: F.struct(level.alias("_level"), n.alias("_node"))
+        )
+
+    levels = F.transform(F.sequence(F.lit(0), F.lit(_LINE_BITS)), nodes_of)
+    cut = ends.where("_lo < _hi").select(*keys, "_v", F.explode(F.flatten(levels)).alias("_n")).select(*keys, "_v", "_n.*")
+    least = cut.groupBy(*keys, "_level", "_node").agg(F.min("_v").alias("_v"))
+    # levels that any interval has: sixty at most
+    used = sorted(r[0] for r in least.select("_level").distinct().collect())
+    place = _position(F.col(ts)).alias("_p")
+    asked = points.select(*ids, *[k for k in keys if k not in ids], place)
+    levels = F.explode(F.array(*[F.lit(x) for x in used]).cast("array<int>")).alias("_level")
+    probes = asked.select("*", levels).withColumn("_node", F.expr("shiftright(_p, _level)"))
+    hit = probes.join(least, [*keys, "_level", "_node"]).groupBy(*ids).agg(F.min("_v").alias(out))
+    return asked.select(*ids).join(hit, list(ids), "left")

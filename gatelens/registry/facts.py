@@ -251,7 +251,7 @@ def apply_withdrawals(t):
 @query(
     "fct18_consent_valid_until",
     "SELECT s.call_id, min(x.nexp) AS valid_until FROM scalls s JOIN subj j ON j.call_id = s.call_id LEFT JOIN LATERAL (SELECT min(exp) AS nexp FROM v_consents k WHERE CAST(k.principal_id AS VARCHAR) = j.subject "
-    "AND k.purpose = s.purpose AND k.category = 'customer_data' AND k.withdrawn_at IS NULL AND k.exp > s.ts) x ON true WHERE s.purpose IS NOT NULL GROUP BY s.call_id HAVING bool_and(x.nexp IS NOT NULL)",
+    "AND k.purpose = s.purpose AND k.category = 'customer_data' AND (k.withdrawn_at IS NULL OR k.withdrawn_at > s.ts) AND k.exp > s.ts) x ON true WHERE s.purpose IS NOT NULL GROUP BY s.call_id HAVING bool_and(x.nexp IS NOT NULL)",
     **SUBJECT_PARTS,
 )
 def consent_valid_until(t):
@@ -259,6 +259,28 @@ def consent_valid_until(t):
     return cs.consent_valid_until(calls, cs.call_subjects(calls, _customers(t)), t.v_consents)
 
 
+# some consents are stored in the middle of the calls
+GRANTED = """
+SELECT *, CASE WHEN principal_id % 3 = 0 THEN TIMESTAMP '2024-01-12 10:00:00' ELSE TIMESTAMP '2023-06-01 00:00:00' END AS granted_at FROM v_consents
+"""
+
+
+@query(
+    "fct18_consent_when_granted",
+    "SELECT s.call_id, CASE WHEN bool_and(x.nexp IS NOT NULL) THEN min(x.nexp) END AS valid_until, bool_and(x.nexp IS NOT NULL) AS consent_active FROM scalls s JOIN subj j ON j.call_id = s.call_id LEFT JOIN LATERAL (SELECT min(exp) AS nexp FROM granted k WHERE CAST(k.principal_id AS VARCHAR) = j.subject "
+    "AND k.purpose = s.purpose AND k.category = 'customer_data' AND k.granted_at <= s.ts AND (k.withdrawn_at IS NULL OR k.withdrawn_at > s.ts) AND k.exp > s.ts) x ON true WHERE s.purpose IS NOT NULL GROUP BY s.call_id",
+    granted=GRANTED,
+    **SUBJECT_PARTS,
+)
+def consent_when_granted(t):
+    calls, granted = _subject_calls(t), t.sql(GRANTED.strip())
+    subjects = cs.call_subjects(calls, _customers(t))
+    until = cs.consent_valid_until(calls, subjects, granted)
+    active = cs.consent_facts(calls, subjects, granted, _customers(t).select("subject", "email"))
+    known = active.where("consent_active IS NOT NULL").select("call_id", "consent_active")
+    return known.join(until, "call_id", "left").select("call_id", "valid_until", "consent_active")
+
+
 COVER_CONSENTS = """
 SELECT principal_id AS principal, purpose, CASE WHEN exp > TIMESTAMP '2024-02-01 00:00:00' THEN 'active' ELSE 'expired' END AS status, TIMESTAMP '2024-01-05 00:00:00' AS granted_at, withdrawn_at,
   CASE WHEN principal_id % 3 = 0 THEN 'name' ELSE 'email,name,phone' END AS fields FROM v_consents

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gatelens.plans.order_stats import ceil_rank, exact_median, order_statistics
 from gatelens.plans.skew import lookup, newest_per_key, oldest_per_key, top_n_per_key
-from gatelens.plans.timeline import as_of, running_total, stab_count
+from gatelens.plans.timeline import as_of, running_total, stab_count, stab_min
 
 START = datetime(2024, 1, 1)
 
@@ -57,6 +57,27 @@ def test_stab_count_matches_brute_force(spark):
             assert got[i] == sum(k == key and a <= at and (at <= b if closed else at < b) for k, a, b in spans)
 
 
+def test_stab_min_matches_brute_force(spark):
+    rng = random.Random(7)
+    points = [(i, k, t + timedelta(microseconds=rng.choice([0, 0, 1, 999_999]))) for i, k, t, _ in hot_rows(250, 8)]
+    spans = []
+    for i, k, t, v in hot_rows(250, 9):
+        a = None if i % 9 == 0 else t + timedelta(microseconds=rng.choice([0, 0, 5]))
+        b = None if i % 7 == 0 else t + timedelta(seconds=rng.randrange(-50, 90_000), microseconds=rng.choice([0, 0, 3]))
+        spans.append((k, a, b, rng.randrange(1000)))
+    spans += [("hot", points[3][2], points[3][2] + timedelta(microseconds=1), -5), ("k1", points[9][2], points[9][2], -9)]
+    got = stab_min(
+        spark.createDataFrame(points, "id long, k string, ts timestamp"),
+        spark.createDataFrame(spans, "k string, a timestamp, b timestamp, v long"),
+        ["id"], ["k"], "ts", "a", "b", "v", "m",
+    ).collect()
+    assert sorted(r.id for r in got) == sorted(p[0] for p in points)
+    for row in got:
+        _, key, at = points[row.id]
+        inside = [v for k, a, b, v in spans if k == key and (a is None or a <= at) and (b is None or at < b)]
+        assert row.m == min(inside, default=None)
+
+
 def test_order_statistics_with_brackets_and_whole_groups(spark):
     rows = [("hot", float(v % 977)) for v in range(40_000)] + [("small", float(v)) for v in (5, 1, 9)]
     df = spark.createDataFrame(rows, "k string, v double")
