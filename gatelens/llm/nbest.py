@@ -11,7 +11,9 @@ import heapq
 import math
 import re
 from collections.abc import Iterator
+from operator import add
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -64,6 +66,13 @@ class Lattices(dict):
         #: Pieces, and None for what only begins one.
         self.begins = {p[:i]: None for p in self.pieces for i in range(1, len(p))} | self.pieces
         self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        #: Finds all pieces that end at each place, longest first.
+        self.finder = ahocorasick.Automaton()
+        for piece, (score, ids) in self.pieces.items():
+            self.finder.add_word(piece, (len(piece), score, ids))
+        if self.pieces:
+            self.finder.make_automaton()
+        self.signs = {p for p in self.pieces if len(p) == 1}
         lowest = min((s for s, _ in self.pieces.values() if s > -1e8), default=0.0)
         self.unknown = lowest - UNKNOWN
         self.old: dict[str, tuple[float, float, bytes]] = {}
@@ -112,14 +121,10 @@ class Lattices(dict):
         """Parts of the word, with its space sign, between which no piece can lie."""
         text = word if word[:1] == "\n" else SPACE + word
         pairs = self.pairs
-        parts = []
-        begin = 0
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in pairs:
-                parts.append(text[begin:i])
-                begin = i
-        parts.append(text[begin:])
-        return parts
+        cuts = [i for i, two in enumerate(map(add, text, text[1:]), 1) if two not in pairs]
+        if not cuts:
+            return [text]
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
 
     def of_sign(self, sign: str) -> tuple[float, bytes]:
         """Score and ids of a sign that is no piece."""
@@ -138,7 +143,18 @@ class Lattices(dict):
         way: list[tuple[int, bytes]] = [(0, b"")] * (n + 1)
         ahead[0] = 0.0
         begins = self.begins
-        for start in range(n):
+        known = self.signs.issuperset(text)
+        if known:
+            for last, (size, score, ids) in self.finder.iter(text):
+                end = last + 1
+                total = ahead[end - size] + score
+                if total >= ahead[end]:
+                    second[end] = ahead[end]
+                    ahead[end] = total
+                    way[end] = (end - size, ids)
+                elif total > second[end]:
+                    second[end] = total
+        for start in () if known else range(n):
             base = ahead[start]
             end = start + 1
             piece = begins.get(text[start:end]) or self.of_sign(text[start])
