@@ -6,7 +6,9 @@ micro-batch brings the key's new rows, they are put in event order, and a few nu
 state. Keys are spread over the cluster; what has to be sequential is only one key.
 """
 
+import json
 from collections.abc import Callable, Iterator
+from hashlib import sha256
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gatelens.functions.hashing import leaf_hash
+from gatelens.functions.hashing import leaf_hash, node_hash
 from gatelens.session import scratch
 
 #: How far behind the newest event an event may come before it is dropped.
@@ -97,6 +99,7 @@ def keyed(
     *,
     keep_seconds: float | None = None,
     delay: str = DELAY,
+    ordered: bool = False,
 ) -> DataFrame:
     """Fold the rows of each key in event order over a small state.
 
@@ -104,36 +107,65 @@ def keyed(
     ``keep_seconds`` a key starts anew with a row that comes so long after its last one (by ``ts``,
     epoch seconds), and its state is dropped once the watermark (``delay`` behind the newest row) is
     that far on, so keys that are used once do not pile up; rows behind the watermark are dropped.
+
+    Rows are put in order within a micro-batch. ``ordered`` puts them in order for good: a row waits in
+    the state until the watermark has passed it, so no earlier one can follow, and the result is the
+    same however the input was cut into batches. It comes ``delay`` later in return, and the rows of
+    the last ``delay`` wait for newer ones.
     """
     names = [field.split()[0] for field in output.split(", ")]
     timeout = GroupStateTimeout.NoTimeout
-    if keep_seconds is not None:
+    timed = ordered or keep_seconds is not None
+    keep = float("inf") if keep_seconds is None else keep_seconds
+    if timed:
         timeout = GroupStateTimeout.EventTimeTimeout
         # one second on, since the first watermark is the epoch and would drop its instant
         at = F.timestamp_micros(((F.col("ts") + 1) * 1_000_000).cast("long"))
         stream = stream.withColumn("_at", at).withWatermark("_at", delay)
-        state = f"{state}, _last double"
+        state = f"{state}, _last double, _waiting array<string>"
+
+    def place(row: dict) -> int:
+        return int((row["ts"] + 1) * 1000)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState):
-        if held.hasTimedOut:
+        current, last, waiting = initial, float("-inf"), []
+        if held.exists:
+            current = tuple(held.get)
+            if timed:
+                *current, last, waiting = current
+                current = tuple(current)
+        rows = [json.loads(text) for text in waiting]
+        if not held.hasTimedOut:
+            new = pd.concat(list(batches)).drop(columns="_at", errors="ignore")
+            rows += new.to_dict("records")
+        elif not rows:
             held.remove()
             return
-        current = tuple(held.get) if held.exists else initial
-        if keep_seconds is not None:
-            *current, last = current if held.exists else (*current, float("-inf"))
-            current = tuple(current)
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        waiting = []
+        if ordered:
+            passed = held.getCurrentWatermarkMs()
+            waiting = [row for row in rows if place(row) >= passed]
+            rows = [row for row in rows if place(row) < passed]
+        rows.sort(key=lambda row: tuple(row[name] for name in order))
         out: list[dict] = []
-        for row in rows.to_dict("records"):
-            if keep_seconds is not None:
-                current = initial if row["ts"] - last > keep_seconds else current
+        for row in rows:
+            if timed:
+                current = initial if row["ts"] - last > keep else current
                 last = max(last, float(row["ts"]))
             current, emitted = step(current, row)
             out.extend(emitted)
-        held.update(current if keep_seconds is None else (*current, last))
-        if keep_seconds is not None:
-            until = int((last + 1 + keep_seconds) * 1000)
-            held.setTimeoutTimestamp(max(until, held.getCurrentWatermarkMs() + 1))
+        if timed:
+            texts = [json.dumps(row, default=lambda value: value.item()) for row in waiting]
+            held.update((*current, last, texts))
+            until = None
+            if waiting:
+                until = min(map(place, waiting)) + 1
+            elif keep_seconds is not None:
+                until = int((last + 1 + keep_seconds) * 1000)
+            if until is not None:
+                held.setTimeoutTimestamp(max(until, held.getCurrentWatermarkMs() + 1))
+        else:
+            held.update(current)
         yield pd.DataFrame(out, columns=names)
 
     return stream.groupBy(*keys).applyInPandasWithState(update, output, state, "append", timeout)
@@ -175,7 +207,7 @@ def nonce_match(
     *,
     ttl_seconds: float = 30.0,
     keep_seconds: float = KEEP_SECONDS,
-    delay: str = DELAY,
+    delay: str = DELAY, ordered: bool = False,
 ) -> DataFrame:
     """Liveness of each attempt; issues and attempts come in one stream.
 
@@ -210,12 +242,12 @@ def nonce_match(
         "nonce_id bigint, session_id bigint, ts double, liveness string",
         "session bigint, issued double, used boolean",
         keep_seconds=keep_seconds,
-        delay=delay,
+        delay=delay, ordered=ordered,
     )
 
 
 def approval_expiry(
-    events: DataFrame, *, keep_seconds: float = KEEP_SECONDS, delay: str = DELAY
+    events: DataFrame, *, keep_seconds: float = KEEP_SECONDS, delay: str = DELAY, ordered: bool = False
 ) -> DataFrame:
     """First use of a live token wins; other uses are late, unknown or for another call.
 
@@ -249,12 +281,12 @@ def approval_expiry(
         "token_id string, ts double, verdict string",
         "expires double, digest string, used boolean",
         keep_seconds=keep_seconds,
-        delay=delay,
+        delay=delay, ordered=ordered,
     )
 
 
 def token_replay(
-    events: DataFrame, *, keep_seconds: float = KEEP_SECONDS, delay: str = DELAY
+    events: DataFrame, *, keep_seconds: float = KEEP_SECONDS, delay: str = DELAY, ordered: bool = False
 ) -> DataFrame:
     """Later uses of a nonce within ``keep_seconds``. Input: nonce, ts (epoch seconds), call_id."""
 
@@ -263,10 +295,10 @@ def token_replay(
         again = [{"nonce": row["nonce"], "call_id": row["call_id"]}] if seen else []
         return (True,), again
 
-    return keyed(events, ["nonce"], ["ts", "call_id"], step, (False,), "nonce string, call_id bigint", "seen boolean", keep_seconds=keep_seconds, delay=delay)
+    return keyed(events, ["nonce"], ["ts", "call_id"], step, (False,), "nonce string, call_id bigint", "seen boolean", keep_seconds=keep_seconds, delay=delay, ordered=ordered)
 
 
-def rate_limit(events: DataFrame, *, per_minute: int = 20) -> DataFrame:
+def rate_limit(events: DataFrame, *, per_minute: int = 20, ordered: bool = False, delay: str = DELAY) -> DataFrame:
     """Token bucket per client: a full bucket at first, one token per request.
 
     Input: client, ts (epoch seconds), request_id.
@@ -289,10 +321,12 @@ def rate_limit(events: DataFrame, *, per_minute: int = 20) -> DataFrame:
         (capacity, -1.0),
         "client bigint, request_id bigint, admitted boolean",
         "tokens double, stamp double",
+        ordered=ordered,
+        delay=delay,
     )
 
 
-def sliding_attempts(events: DataFrame, *, limit: int = 5, seconds: float = 60.0) -> DataFrame:
+def sliding_attempts(events: DataFrame, *, limit: int = 5, seconds: float = 60.0, ordered: bool = False, delay: str = DELAY) -> DataFrame:
     """Attempts over the limit in the trailing window are refused and do not count themselves.
 
     Input: client, ts (epoch seconds), request_id. State: times of the counted attempts, at most
@@ -315,11 +349,13 @@ def sliding_attempts(events: DataFrame, *, limit: int = 5, seconds: float = 60.0
         ([],),
         "client bigint, request_id bigint, admitted boolean",
         "times array<double>",
+        ordered=ordered,
+        delay=delay,
     )
 
 
 def daily_cap_stream(
-    payments: DataFrame, *, keep_seconds: float = 2 * KEEP_SECONDS, delay: str = DELAY
+    payments: DataFrame, *, keep_seconds: float = 2 * KEEP_SECONDS, delay: str = DELAY, ordered: bool = False
 ) -> DataFrame:
     """Payments allowed under the daily cap, where only allowed ones use it up.
 
@@ -342,7 +378,7 @@ def daily_cap_stream(
         "txn_id bigint, principal int, allowed boolean, spent bigint",
         "spent bigint",
         keep_seconds=keep_seconds,
-        delay=delay,
+        delay=delay, ordered=ordered,
     )
 
 
@@ -439,34 +475,122 @@ def latest_version(spark: SparkSession, path: str) -> DataFrame:
     return versions.join(newest, "version").drop("version")
 
 
-def append_audit(events: DataFrame, path: str, *, chunk_bits: int = 16) -> StreamingQuery:
+def append_audit(
+    events: DataFrame, path: str, *, chunk_bits: int = 16, heads: int | None = None
+) -> StreamingQuery:
     """Append each micro-batch to an audit log with continuing indexes.
 
-    Input: seq (unique, increasing), payload. Indexes are counted over chunks of ``seq``; the
-    offset is the number of leaves in the earlier batches, so a repeated batch writes the same.
+    Input: seq (unique, increasing), payload. Indexes are counted over chunks of ``seq``. What is kept
+    from batch to batch is the frontier of the Merkle tree: the size of the log and the roots of the
+    full subtrees that make it up, as many as the size has bits. So no earlier leaf is read, and a
+    repeated batch writes the same. With ``heads`` the root at every size that is a multiple of it, a
+    power of two, goes to ``<path>-heads`` (size, root).
     """
     from gatelens.operators.audit import positions
 
+    if heads is not None and heads & (heads - 1):
+        raise ValueError("heads are due at multiples of a power of two")
     spark = events.sparkSession
-    schema = "idx bigint, payload string, leaf_hash string, batch int"
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        offset = 0
+        size, peaks = 0, []
         if batch_id > 0:
-            earlier = spark.read.schema(schema).parquet(path)
-            offset = earlier.where(F.col("batch") < batch_id).count()
+            held = spark.read.schema(_FRONTIER).parquet(f"{path}-frontier/batch={batch_id - 1}").collect()
+            size = held[0]["size"]
+            peaks = [(r.level, r.hash) for r in held if r.hash is not None]
         rows = batch.select(F.col("seq").alias("idx"), "payload").withColumn(
             "leaf_hash", leaf_hash("payload")
         )
         place = positions(rows, chunk_bits=chunk_bits).select("idx", "position")
         placed = rows.join(place, "idx").select(
-            (F.col("position") + offset).alias("idx"), "payload", "leaf_hash"
+            (F.col("position") + size).alias("idx"), "payload", "leaf_hash"
         )
         placed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        leaves = spark.read.schema("idx bigint, payload string, leaf_hash string").parquet(f"{path}/batch={batch_id}")
+        grown = size + leaves.count()
+        every = heads or 1 << 62
+        nodes = _new_nodes(leaves, size, grown, peaks, every)
+        known = spark.createDataFrame([(lv, (size >> lv) - 1, h) for lv, h in peaks], _NODE)
+        nodes = nodes.unionByName(known).dropDuplicates(["level", "node"])
+        if heads is not None:
+            due = spark.range(-(-(size + 1) // heads) * heads, grown + 1, heads).withColumnRenamed("id", "size")
+            _roots(due, nodes).write.mode("overwrite").parquet(f"{path}-heads/batch={batch_id}")
+        ends = _peaks_of(spark.createDataFrame([(grown,)], "size bigint"), nodes)
+        frontier = ends.unionByName(spark.createDataFrame([(grown, None, None)], _FRONTIER))
+        frontier.coalesce(1).write.mode("overwrite").parquet(f"{path}-frontier/batch={batch_id}")
 
     return each_batch(events, work, "audit")
 
 
+_NODE = "level int, node bigint, hash string"
+_FRONTIER = "size bigint, level int, hash string"
+#: Levels of the tree that one group of rows is folded over.
+_FOLD = 10
+
+
+def _new_nodes(leaves: DataFrame, size: int, grown: int, peaks: list[tuple[int, str]], every: int) -> DataFrame:
+    """Full subtrees that the leaves from ``size`` on complete, as ``level, node, hash``.
+
+    Those below the level of ``every`` are left out unless the new log ends with them. Each round folds
+    groups of 1024 neighbouring nodes; the frontier steps in for the nodes before.
+    """
+    floor = every.bit_length() - 1
+
+    def folded(base: int):
+        def fold(rows: pd.DataFrame) -> pd.DataFrame:
+            block = int(rows["node"].iloc[0]) >> _FOLD
+            now = dict(zip(rows["node"].tolist(), rows["hash"].map(bytes.fromhex), strict=True))
+            out = []
+            for level in range(base, base + _FOLD + 1):
+                for held, text in peaks:
+                    at = (size >> held) - 1
+                    if held == level and at >> (base + _FOLD - level) == block:
+                        now[at] = bytes.fromhex(text)
+                new = level > base or base == 0
+                for at, value in now.items():
+                    if new and (level >= floor or level == base + _FOLD or at == (grown >> level) - 1):
+                        out.append((level, at, value.hex()))
+                now = {
+                    at >> 1: sha256(b"\1" + value + now[at + 1]).digest()
+                    for at, value in now.items()
+                    if not at & 1 and at + 1 in now
+                }
+            return pd.DataFrame(out, columns=["level", "node", "hash"])
+
+        return fold
+
+    spark = leaves.sparkSession
+    rows = leaves.select(F.col("idx").alias("node"), F.col("leaf_hash").alias("hash"))
+    found = spark.createDataFrame([], _NODE)
+    base = 0
+    while base == 0 or grown >> base:
+        made = rows.groupBy(F.shiftright("node", _FOLD)).applyInPandas(folded(base), _NODE)
+        at = scratch(spark, "nodes")
+        made.write.parquet(at)
+        made = spark.read.schema(_NODE).parquet(at)
+        found = found.unionByName(made)
+        base += _FOLD
+        rows = made.where(F.col("level") == base).select("node", "hash")
+    return found
+
+
+def _peaks_of(sizes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``size, level, hash``: the full subtrees that logs of these sizes are made of."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(61)), lambda b: F.pmod(F.call_function("shiftright", F.col("size"), b), F.lit(2)) == 1)
+    wanted = sizes.withColumn("level", F.explode(bits)).withColumn(
+        "node", F.call_function("shiftright", F.col("size"), F.col("level")) - 1
+    )
+    return wanted.join(nodes, ["level", "node"]).select("size", "level", "hash")
+
+
+def _roots(sizes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``size, root`` from the peaks of each size, the smallest folded first."""
+    listed = _peaks_of(sizes, nodes).groupBy("size").agg(F.array_sort(F.collect_list(F.struct("level", "hash"))).alias("peaks"))
+    first = F.element_at("peaks", 1)["hash"]
+    rest = F.slice("peaks", F.lit(2), F.size("peaks"))
+    return listed.select("size", F.aggregate(rest, first, lambda acc, peak: node_hash(peak["hash"], acc)).alias("root"))
+
+
 def redact_stream(events: DataFrame, columns: list[str]) -> DataFrame:
     """Public form of text columns; stateless, so the same on a stream and on a table."""
     from gatelens.functions.text import safe_text

@@ -1,5 +1,6 @@
 """Keyed streaming state against brute force, in one batch and in several."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -73,6 +74,55 @@ def test_audit_stream_continues_indexes(spark, tmp_path):
     assert len({r.batch for r in got}) == 3
 
 
+def test_heads_of_an_appended_log(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(150)], "seq long, payload string")
+
+    def root(leaves):
+        if len(leaves) == 1:
+            return hashlib.sha256(b"\0" + leaves[0]).digest()
+        half = 1 << ((len(leaves) - 1).bit_length() - 1)
+        return hashlib.sha256(b"\1" + root(leaves[:half]) + root(leaves[half:])).digest()
+
+    texts = [f"p{i}".encode() for i in range(150)]
+    for parts in (1, 4):
+        path = str(tmp_path / f"heads{parts}")
+        st.append_audit(stream_of(spark, tmp_path, df, f"l{parts}", parts), path, heads=16)
+        got = {r.size: r.root for r in spark.read.parquet(f"{path}-heads").collect()}
+        assert got == {n: root(texts[:n]).hex() for n in range(16, 151, 16)}
+        last = spark.read.parquet(f"{path}-frontier/batch={parts - 1}").collect()
+        assert {r["size"] for r in last} == {150} and sorted(r.level for r in last if r.hash) == [1, 2, 4, 7]
+
+
+def test_heads_over_several_rounds(spark, tmp_path):
+    # more leaves than one round folds, met in two unequal batches
+    n = 2_500
+    df = spark.range(n).select(F.col("id").alias("seq"), F.col("id").cast("string").alias("payload"))
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    st.append_audit(stream_of(spark, tmp_path, df, "a", 1), one, heads=64)
+    st.append_audit(stream_of(spark, tmp_path, df, "b", 3), two, heads=64)
+    rows = [sorted((r.size, r.root) for r in spark.read.parquet(f"{p}-heads").collect()) for p in (one, two)]
+    assert rows[0] == rows[1] and len(rows[0]) == n // 64
+
+
+def test_event_order_does_not_depend_on_batches(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, f"n{rng.randrange(12)}", float(rng.randrange(0, 3000))) for i in range(150)]
+    seen, want = {}, set()
+    for i, nonce, at in sorted(rows, key=lambda r: (r[2], r[0])):
+        if nonce in seen:
+            want.add(i)
+        seen[nonce] = at
+    end = [(150, "end", 20_000.0), (151, "end", 40_000.0)]
+    for parts in (1, 5):
+        mixed = list(rows)
+        random.Random(parts).shuffle(mixed)
+        mixed = [(k, i, n, at) for k, (i, n, at) in enumerate(mixed + end)]
+        df = spark.createDataFrame(mixed, "seq long, call_id long, nonce string, ts double")
+        live = stream_of(spark, tmp_path, df, f"o{parts}", parts)
+        out = st.token_replay(live, delay="3600 seconds", ordered=True)
+        assert {r.call_id for r in st.run_available(out, "order").collect()} - {150, 151} == want
+
+
 def test_state_of_old_keys_is_dropped(spark, tmp_path):
     rows = [(0, "a", 0.0), (1, "a", 50.0), (2, "b", 5_000.0), (3, "c", 9_000.0), (4, "a", 20_000.0), (5, "a", 20_010.0)]
     df = spark.createDataFrame(rows, "seq long, nonce string, ts double").withColumn("call_id", F.col("seq"))
