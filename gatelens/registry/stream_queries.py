@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gatelens.operators import evaluate as ev
+from gatelens.registry.audits import ROOTED
 from gatelens.registry.base import query
 from gatelens.registry.rules import ALL_SQL, RULES, facts
 from gatelens.registry.views import with_views
@@ -107,23 +108,113 @@ def token_replay(t):
     return st.run_available(st.token_replay(uses), "replay")
 
 
-# the bucket and the sliding limit feed back on themselves: no SQL, brute force in the tests
-@query("stm07_rate_limit")
+# the bucket, the sliding limit and the daily cap feed back on themselves: their checks walk each key row by row
+REQUESTS = "SELECT user_id AS client, event_id AS request_id, epoch_us(ts) / 1e6 / 1000 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events"
+BUCKET = (
+    "SELECT client, request_id, rn, sec, true AS admitted, CAST(4.0 AS DOUBLE) AS tokens FROM req WHERE rn = 1 UNION ALL SELECT client, request_id, rn, sec, t >= 1, CASE WHEN t >= 1 THEN t - 1 ELSE t END FROM "
+    "(SELECT r.*, least(CAST(5.0 AS DOUBLE), w.tokens + (r.sec - w.sec) * CAST(5 / 60.0 AS DOUBLE)) AS t FROM walk w JOIN req r ON r.client = w.client AND r.rn = w.rn + 1) z"
+)
+
+
+@query("stm07_rate_limit", "SELECT client, request_id, admitted FROM walk", req=REQUESTS, walk=BUCKET)
 def rate_limit(t):
     requests = _events(t).select(F.col("user_id").alias("client"), (seconds() / 1000).alias("ts"), F.col("event_id").alias("request_id"))
     return st.run_available(st.rate_limit(requests, per_minute=5), "rate")
 
 
-@query("stm08_sliding_attempts")
+RECENT = (
+    "SELECT client, request_id, rn, sec, true AS admitted, [sec] AS times FROM req WHERE rn = 1 UNION ALL SELECT client, request_id, rn, sec, len(recent) < 5, CASE WHEN len(recent) < 5 THEN list_append(recent, sec) ELSE recent END FROM "
+    "(SELECT r.*, list_filter(w.times, lambda x: x > r.sec - 60) AS recent FROM walk w JOIN req r ON r.client = w.client AND r.rn = w.rn + 1) z"
+)
+
+
+@query("stm08_sliding_attempts", "SELECT client, request_id, admitted FROM walk", req=REQUESTS.replace("/ 1000", "/ 3000"), walk=RECENT)
 def sliding_attempts(t):
     requests = _events(t).select(F.col("user_id").alias("client"), (seconds() / 3000).alias("ts"), F.col("event_id").alias("request_id"))
     return st.run_available(st.sliding_attempts(requests), "sliding")
 
 
-@query("stm09_daily_cap_stream")
+PAYS = "SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY principal, CAST(ts AS DATE) ORDER BY ts, txn_id) AS rn FROM v_payments"
+SPENT = (
+    "SELECT txn_id, principal, day, rn, amount_paise <= 20000 AS allowed, CASE WHEN amount_paise <= 20000 THEN amount_paise ELSE 0 END AS spent FROM pays WHERE rn = 1 UNION ALL "
+    "SELECT p.txn_id, p.principal, p.day, p.rn, w.spent + p.amount_paise <= 20000, CASE WHEN w.spent + p.amount_paise <= 20000 THEN w.spent + p.amount_paise ELSE w.spent END FROM walk w JOIN pays p ON p.principal = w.principal AND p.day = w.day AND p.rn = w.rn + 1"
+)
+CAPPED = "SELECT txn_id, principal, ts, amount_paise, CAST(CAST(ts AS DATE) AS STRING) AS day, CAST(20000 AS BIGINT) AS daily_cap FROM v_payments"
+
+
+@query("stm09_daily_cap_stream", "SELECT txn_id, principal, allowed, spent FROM walk", pays=PAYS, walk=SPENT)
 def daily_cap_stream(t):
-    pays = _shaped(t, "SELECT txn_id, principal, amount_paise, ts, CAST(CAST(ts AS DATE) AS STRING) AS day, CAST(20000 AS BIGINT) AS daily_cap FROM v_payments")
-    return st.run_available(st.daily_cap_stream(pays.withColumn("ts", seconds())), "cap")
+    return st.run_available(st.daily_cap_stream(_shaped(t, CAPPED).withColumn("ts", seconds())), "cap")
+
+
+def _mixed(t, rows, keys, batches=4):
+    """A table as a stream whose batches are cut across time, with two late rows that end the wait.
+
+    Batches go by the hash of ``keys`` and time, so each holds rows from the whole span of time. The
+    late rows have no ``keys``.
+    """
+    path = scratch(t.spark, "mixed")
+    last = rows.agg(F.max("ts").alias("ts")).first().ts
+    kinds = rows.dtypes
+    blank = rows.limit(1).withColumns({c: F.lit(None).cast(dict(kinds)[c]) for c in keys})
+    dealt = rows.withColumn("_batch", F.pmod(F.xxhash64(*keys, "ts"), F.lit(batches)))
+    for k in range(batches):
+        dealt.where(F.col("_batch") == k).drop("_batch").coalesce(1).write.mode("append").parquet(path)
+    for k in (1, 2):
+        blank.withColumn("ts", F.lit(last + k * 1e9)).coalesce(1).write.mode("append").parquet(path)
+    schema = ", ".join(f"{c} {kind}" for c, kind in kinds)
+    return st.read_call_stream(t.spark, path, schema, files_per_trigger=1)
+
+
+#: Longer than the events span: an order across all of them.
+WAIT = "4000 days"
+
+
+USED = (
+    "SELECT a.nonce_id, min(a.ts) AS ts FROM v_nonce_attempts a JOIN v_nonce_issues i ON i.nonce_id = a.nonce_id AND i.session_id = a.session_id AND a.ts >= i.issued_at WHERE a.transcript IS NOT NULL OR a.ts > i.issued_at + INTERVAL 30 SECOND GROUP BY a.nonce_id"
+)
+
+
+@query(
+    "stm04_nonce_match_ordered",
+    "SELECT a.nonce_id, a.session_id, epoch_us(a.ts) / 1e6 AS ts, CASE WHEN NOT own OR (u.ts IS NOT NULL AND a.ts > u.ts) THEN 'mismatch' WHEN late THEN 'expired' WHEN transcript IS NULL THEN 'unknown' WHEN contains(transcript, 'amber') THEN 'match' ELSE 'mismatch' END AS liveness FROM ("
+    "SELECT a.*, coalesce(i.session_id = a.session_id AND a.ts >= i.issued_at, false) AS own, a.ts > i.issued_at + INTERVAL 30 SECOND AS late FROM v_nonce_attempts a LEFT JOIN v_nonce_issues i ON i.nonce_id = a.nonce_id) a LEFT JOIN used u ON u.nonce_id = a.nonce_id",
+    used=USED,
+)
+def nonce_match_ordered(t):
+    mixed = _mixed(t, t.sql(NONCES.strip()).withColumn("ts", seconds()), ["nonce_id", "kind"])
+    found = st.run_available(st.nonce_match(mixed, delay=WAIT, ordered=True, keep_seconds=1e9), "nonces")
+    return found.where("nonce_id IS NOT NULL").select("nonce_id", "session_id", "ts", "liveness")
+
+
+@query(
+    "stm05_approval_expiry_ordered",
+    "SELECT token_id, epoch_us(used) / 1e6 AS ts, verdict FROM (SELECT 'tok' || event_id AS token_id, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 120 SECOND ELSE ts + INTERVAL 90 SECOND END AS used, CASE WHEN event_type = 'error' THEN 'unknown' WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'replay' WHEN event_id % 3 = 0 THEN 'expired' WHEN event_id % 4 = 0 THEN 'mismatch' ELSE 'valid' END AS verdict FROM events "
+    "UNION ALL SELECT 'tok' || event_id, ts + INTERVAL 100 SECOND, CASE WHEN event_id % 3 = 0 OR event_id % 4 = 0 THEN 'valid' ELSE 'replay' END FROM events WHERE event_type = 'click') z",
+)
+def approval_expiry_ordered(t):
+    rows = t.sql(TOKENS.strip()).withColumns({"ts": seconds(), "expires": st.epoch_seconds(F.col("expires"))})
+    mixed = _mixed(t, rows, ["token_id", "kind"])
+    found = st.run_available(st.approval_expiry(mixed, delay=WAIT, ordered=True, keep_seconds=1e9), "approvals")
+    return found.where("token_id IS NOT NULL")
+
+
+@query(
+    "stm06_token_replay_ordered",
+    "SELECT nonce, call_id FROM (SELECT 'n' || (event_id % 900) AS nonce, event_id AS call_id, row_number() OVER (PARTITION BY event_id % 900 ORDER BY ts, event_id) AS rn FROM events) z WHERE rn > 1",
+)
+def token_replay_ordered(t):
+    nonce = F.concat(F.lit("n"), (F.col("event_id") % 900).cast("string"))
+    rows = t.events.withColumn("ts", F.col("ts").cast("timestamp")).select(nonce.alias("nonce"), seconds().alias("ts"), F.col("event_id").alias("call_id"))
+    found = st.run_available(st.token_replay(_mixed(t, rows, ["nonce", "call_id"]), delay=WAIT, ordered=True, keep_seconds=1e9), "replay")
+    return found.where("nonce IS NOT NULL")
+
+
+@query("stm09_daily_cap_ordered", "SELECT txn_id, principal, allowed, spent FROM walk", pays=PAYS, walk=SPENT)
+def daily_cap_ordered(t):
+    mixed = _mixed(t, t.sql(CAPPED).withColumn("ts", seconds()), ["txn_id"])
+    found = st.run_available(st.daily_cap_stream(mixed, delay=WAIT, ordered=True, keep_seconds=1e9), "cap")
+    return found.where("txn_id IS NOT NULL")
 
 
 CLOSED = "time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
@@ -200,6 +291,20 @@ def append_audit(t):
     return t.spark.read.parquet(path).select("idx", "leaf_hash")
 
 
+@query("stm13_audit_heads", "SELECT size, root FROM roots", **ROOTED)
+def audit_heads(t):
+    # three batches, cut where no subtree ends
+    rows = t.v_leaves.withColumnRenamed("idx", "seq")
+    folder, path = scratch(t.spark, "leaves"), scratch(t.spark, "audit")
+    n = t.events.count()
+    edges = [0, n // 3 + 1, n // 2 + 3, n]
+    for a, b in zip(edges, edges[1:], strict=False):
+        rows.where(F.col("seq").between(a, b - 1 if b < n else 1 << 60)).coalesce(1).write.mode("append").parquet(folder)
+    stream = st.read_call_stream(t.spark, folder, "seq bigint, payload string", files_per_trigger=1)
+    st.append_audit(stream, path, heads=16)
+    return t.spark.read.parquet(f"{path}-heads").select("size", "root")
+
+
 @query("stm14_redact_stream", "SELECT event_id, 'call [REDACTED:email] &lt;now&gt;' AS note FROM events")
 def redact_stream(t):
     notes = _shaped(t, "SELECT event_id, 'call c' || CAST(user_id AS STRING) || '@mail.example <now>' AS note FROM events")
