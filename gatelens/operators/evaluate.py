@@ -15,7 +15,7 @@ from gatelens.functions.leaves import flatten_args, with_leaves
 from gatelens.functions.scalars import escape_token, is_prefix, strip
 from gatelens.operators import predicates as p
 from gatelens.operators.labels import cover_labels
-from gatelens.operators.ruleset import ALLOW, DECISION_NAMES, DENY, STEP_UP, UNTRUSTED, RuleSet
+from gatelens.operators.ruleset import ALLOW, ARG_STRUCT, DECISION_NAMES, DENY, STEP_UP, UNTRUSTED, RuleSet
 
 REASON = (
     "struct<rule_id:string,stage:string,decision:int,explanation:string,unknown:boolean,"
@@ -444,6 +444,54 @@ def error_evidence(
     return listed.select(key, F.slice("errors", 1, most).alias("errors"))
 
 
+def call_errors(calls: DataFrame, ruleset: RuleSet) -> DataFrame:
+    """``call_id, path, kind``: every place where a call does not fit the tool it names.
+
+    The arguments are walked by the tool's own specification: undeclared, missing and mistyped ones
+    each have their place, arguments that are no object one for all. The tool and the declared
+    category are fields of their own. All of it is expressions on the prepared row.
+    """
+    rows = with_tools(calls, ruleset)
+    kind = F.expr(p.json_type_sql(p.ARGS))
+    none = F.array().cast("array<struct<path:array<string>,kind:string>>")
+
+    def error(what: Column | str, *steps: Column | str) -> Column:
+        path = F.array(*[s if isinstance(s, Column) else F.lit(s) for s in steps])
+        return F.struct(path.alias("path"), (what if isinstance(what, Column) else F.lit(what)).alias("kind"))
+
+    def one(when: Column, found: Column) -> Column:
+        return F.when(F.coalesce(when, F.lit(False)), F.array(found)).otherwise(none)
+
+    is_object = F.coalesce(kind == "object", F.lit(False))
+    specs = F.coalesce("specs", F.array().cast(f"array<{ARG_STRUCT}>"))
+    declared = F.transform(specs, lambda s: s["name"])
+    given = lambda s: F.map_contains_key(F.col(p.TYPES), s["name"])
+    mistyped = lambda s: F.try_element_at(F.col(p.TYPES), s["name"]) != s["type"]
+    extra = F.transform(F.array_except(F.map_keys(p.TYPES), declared), lambda n: error("undeclared", "call", "args", n))
+    wrong = F.transform(
+        F.filter(specs, lambda s: F.coalesce(mistyped(s), F.lit(False))),
+        lambda s: error(F.concat(s["type"], F.lit("_expected")), "call", "args", s["name"]),
+    )
+    absent = F.transform(
+        F.filter(specs, lambda s: s["required"] & ~given(s)), lambda s: error("missing", "call", "args", s["name"])
+    )
+    inside = F.when(is_object & F.col("specs").isNotNull(), F.concat(extra, wrong, absent)).otherwise(none)
+    found = F.concat(
+        one(F.col("specs").isNull(), error("unknown_tool", "call", "tool")),
+        one(F.col("declared_category") != F.col(p.CATEGORY), error("category_mismatch", "call", "category")),
+        one(kind.isNull(), error("unparsable", "call", "args")),
+        one(kind.isNotNull() & ~is_object, error("object_expected", "call", "args")),
+        inside,
+    )
+    return rows.select("call_id", F.explode(found).alias("e")).select("call_id", "e.path", "e.kind")
+
+
+def known_steps(ruleset: RuleSet) -> tuple[str, ...]:
+    """Names that may stand in an error's place: fields of a call and arguments that tools declare."""
+    args = {name for tool in ruleset.tools.values() for name in tool.args}
+    return ("call", "args", "tool", "category", *sorted(args))
+
+
 # ---------------------------------------------------------------- around the decision
 # fixed values: what a failed stage escalates to, in the order the stages run
 STAGE_FAILURE = {

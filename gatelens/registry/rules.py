@@ -294,6 +294,22 @@ def error_locations(t):
     return found.select("session_id", F.array_join("errors", ",").alias("errors"))
 
 
+@query(
+    "rul12_call_errors",
+    "SELECT call_id, array_to_string(list_sort(e), ',') AS errors FROM (SELECT call_id, list_filter(["
+    "CASE WHEN tool = 'wire_all' THEN 'call/tool: unknown_tool' END, CASE WHEN declared_category = 'READ' AND tool IN ('pay_upi', 'add_payee', 'send_email', 'issue_refund') THEN 'call/category: category_mismatch' END, "
+    "CASE WHEN call_id % 301 = 7 THEN 'call/args: unparsable' WHEN call_id % 59 = 11 THEN 'call/args: object_expected' END, CASE WHEN parsed AND tool = 'pay_upi' AND call_id % 43 = 5 THEN 'call/args/payee_vpa: missing' END, "
+    "CASE WHEN parsed AND (tool = 'pay_upi' AND call_id % 41 = 3 OR tool = 'read_customer_data' AND call_id % 19 = 6) THEN 'call/args/*: undeclared' END, "
+    "CASE WHEN parsed AND tool = 'pay_upi' AND (call_id % 31 = 2 OR call_id % 37 = 4) THEN 'call/args/amount_paise: integer_expected' END], lambda x: x IS NOT NULL) AS e "
+    "FROM (SELECT *, call_id % 301 <> 7 AND call_id % 59 <> 11 AS parsed FROM v_calls) c) z WHERE len(e) > 0",
+)
+def call_errors(t):
+    listed = F.expr("CASE WHEN call_id % 301 <> 7 AND call_id % 59 = 11 THEN '[1,{}]' ELSE args END")
+    errors = ev.call_errors(t.v_call_args.withColumn("args", listed), RULES)
+    found = ev.error_evidence(errors, ev.known_steps(RULES))
+    return found.select("call_id", F.array_join("errors", ",").alias("errors"))
+
+
 SHIPPED = merge("shipped", [core_rules(), payment_rules(), voice_rules()])
 
 
