@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from gatelens.plans.skew import lookup
 
 ACCURACY = 10_000
+#: Places in which the distinct values of a group meet its brackets.
+SALTS = 128
 #: Half the width of a bracket, as a share of the group.
 MARGIN = 5.0 / ACCURACY
 #: A rank lies at most this many rows from its quantile; see the rank functions below.
@@ -25,6 +27,7 @@ def order_statistics(
     ranks: Mapping[str, tuple[float, Callable[[Column], Column]]],
     *,
     small: int = WHOLE,
+    salts: int | None = SALTS,
 ) -> DataFrame:
     """Exact values at 1-based ranks of each group: ``keys``, ``n`` and one column per rank.
 
@@ -33,6 +36,10 @@ def order_statistics(
     a bracket, counted per distinct value, are ordered. Groups of up to ``small`` rows are
     bracketed by their own minimum and maximum. Every bracket is checked against the counts below
     it: should one miss its rank, the query fails rather than return a neighbour.
+
+    The distinct values of a group meet its bracket in ``salts`` places, so that no task gets them all;
+    there they are folded to what lies inside the brackets and one row for the rest. Callers with
+    very many groups and none that is large pass None.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     brackets = sorted({q for q, _ in ranks.values()})
@@ -57,7 +64,7 @@ def order_statistics(
         inside = inside | F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
     # values inside a bracket stay; all others of a group fold into one row without a value
     counted = (
-        lookup(weighted, limits, keys, how="inner")
+        lookup(weighted, limits, keys, how="inner", salts=salts)
         .withColumn("_c", F.when(inside, F.col("_v")))
         .groupBy(*keys, "_c")
         .agg(

@@ -91,6 +91,20 @@ def test_order_statistics_with_brackets_and_whole_groups(spark):
             assert got[key] == want
 
 
+def test_distinct_values_of_a_group_do_not_meet_in_one_task(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = spark.range(60_000).select(F.lit("k").alias("k"), (F.pmod(F.col("id") * 7919, F.lit(59_999)) * 3).alias("v"))
+        stats = order_statistics(df, ["k"], "v", {"p99": (0.99, ceil_rank(99))}, small=10)
+        values = sorted(3 * ((i * 7919) % 59_999) for i in range(60_000))
+        assert stats.first().p99 == values[-(-60_000 * 99 // 100) - 1]
+        plan = stats._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(k" in plan and "_salt" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_exact_median_of_even_groups(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 10), ("a", 4)], "k string, v long")
     assert exact_median(df, ["k"], "v", "m").first().m == 3.0

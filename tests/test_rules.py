@@ -243,7 +243,7 @@ def test_deep_text_is_never_trusted(spark):
 
 
 def test_secrets_leave_the_hash_at_any_depth(spark):
-    from gatelens.operators.audit import canonical_leaves
+    from gatelens.operators.audit import canonical_leaves, refused_events
 
     events = [
         {"a": {"b": {"password": "hunter2", "list": [{"api_key": "k"}]}}, "items": [{"secret": "s"}]},
@@ -251,13 +251,16 @@ def test_secrets_leave_the_hash_at_any_depth(spark):
         {"plain": 1},
     ]
     rows = [(i, json.dumps(e)) for i, e in enumerate(events)] + [(3, '{"\\u0073eed": 1, "x": 2}'), (4, "[1]")]
-    got = canonical_leaves(spark.createDataFrame(rows, "seq long, event string")).collect()
+    table = spark.createDataFrame(rows, "seq long, event string")
+    # what is no object has no leaf, and is named so that it can be set aside
+    refused = refused_events(table)
+    assert [(r.seq, r.refused) for r in refused.collect()] == [(4, "not a JSON object")]
+    got = canonical_leaves(table.join(refused, "seq", "left_anti")).collect()
     assert {r.idx: r.payload for r in got} == {
         0: '{"a":{"b":{"list":[{}]}},"items":[{}]}',
         1: '{"k":{"l":{"m":{"n":{"kept":[1,{}]}}}}}',
         2: '{"plain":1}',
         3: '{"x":2}',
-        4: None,
     }
 
 
