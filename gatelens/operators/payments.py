@@ -278,6 +278,7 @@ def _placed(calls: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     order = ["_n", "_id", "_a"]
     counted = running_total(posted.unionByName(probes), PAIR, "ts", order, F.col("_n"), "n", fine=86_400, coarse=86_400 * 365)
+    counted = durable(counted)  # both parts are read more than once
     rows = counted.where("_n = 1").select(*PAIR, "ts", F.col("n").alias("pos"), F.col("_a").alias("x"))
     return rows, counted
 
@@ -313,9 +314,8 @@ def history_profile(calls: DataFrame, ledger: DataFrame) -> DataFrame:
     Calls that see the same rows share one answer, so no pair is answered more often than it has rows.
     """
     rows, counted = _placed(calls, ledger)
-    rows = durable(rows.select(*PAIR, "pos", "x"))
-    asked = durable(counted.where("_n = 0").select(*PAIR, F.col("_id").alias("call_id"), "n"))
-    found = prefix_spread(rows, asked.where(F.col("n") >= MIN_SAMPLES), PAIR)
+    asked = counted.where("_n = 0").select(*PAIR, F.col("_id").alias("call_id"), "n")
+    found = prefix_spread(rows.select(*PAIR, "pos", "x"), asked.where(F.col("n") >= MIN_SAMPLES), PAIR)
     return asked.join(found, [*PAIR, "n"], "left").select("call_id", "n", "median", "mad")
 
 

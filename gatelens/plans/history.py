@@ -18,7 +18,7 @@ from gatelens.session import durable
 
 #: Rows of one key that one task takes, rows that a task takes on average, and rows of a block.
 LARGE = 1 << 20
-TASK_ROWS = 1 << 17
+TASK_ROWS = 1 << 15
 BLOCK = 1 << 16
 #: Cells by value of a large key, and values that a round of the search tries.
 CELLS = 256
