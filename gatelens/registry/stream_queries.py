@@ -147,23 +147,32 @@ def daily_cap_stream(t):
     return st.run_available(st.daily_cap_stream(_shaped(t, CAPPED).withColumn("ts", seconds())), "cap")
 
 
+#: Rows of a file of a dealt batch, about.
+FILE_ROWS = 250_000
+
+
 def _mixed(t, rows, keys, batches=4):
     """A table as a stream whose batches are cut across time, with two late rows that end the wait.
 
     Batches go by the hash of ``keys`` and time, so each holds rows from the whole span of time. The
-    late rows have no ``keys``.
+    late rows have no ``keys``. Every batch, the late ones too, has the same number of files.
     """
     path = scratch(t.spark, "mixed")
-    last = rows.agg(F.max("ts").alias("ts")).first().ts
+    last, n = rows.agg(F.max("ts").alias("ts"), F.count("*")).first()
+    files = max(1, -(-n // (batches * FILE_ROWS)))
     kinds = rows.dtypes
     blank = rows.limit(1).withColumns({c: F.lit(None).cast(dict(kinds)[c]) for c in keys})
     dealt = rows.withColumn("_batch", F.pmod(F.xxhash64(*keys, "ts"), F.lit(batches)))
     for k in range(batches):
-        dealt.where(F.col("_batch") == k).drop("_batch").coalesce(1).write.mode("append").parquet(path)
+        some = dealt.where(F.col("_batch") == k).drop("_batch")
+        some = some.repartition(files) if files > 1 else some.coalesce(1)
+        some.write.mode("append").parquet(path)
+    each = t.spark.range(0, files, 1, files)
     for k in (1, 2):
-        blank.withColumn("ts", F.lit(last + k * 1e9)).coalesce(1).write.mode("append").parquet(path)
+        late = each.crossJoin(F.broadcast(blank.withColumn("ts", F.lit(last + k * 1e9)))).drop(each["id"])
+        late.write.mode("append").parquet(path)
     schema = ", ".join(f"{c} {kind}" for c, kind in kinds)
-    return st.read_call_stream(t.spark, path, schema, files_per_trigger=1)
+    return st.read_call_stream(t.spark, path, schema, files_per_trigger=files)
 
 
 #: Longer than the events span: an order across all of them.

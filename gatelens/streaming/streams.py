@@ -1,12 +1,14 @@
 """Structured Streaming forms of the stateful checks.
 
 Stateless operators (rules, redaction, scans) run on a stream as they are. Where the answer
-depends on order within a key, state is kept per key with ``applyInPandasWithState``: each
-micro-batch brings the key's new rows, they are put in event order, and a few numbers stay as
-state. Keys are spread over the cluster; what has to be sequential is only one key.
+depends on order within a key, state is kept with ``applyInPandasWithState``: each micro-batch
+brings the key's new rows, they are put in event order, and a few numbers stay as state. Keys are
+spread over buckets by their hash and these over the cluster; what has to be sequential is only
+one key.
 """
 
 import json
+import zlib
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 
@@ -23,6 +25,8 @@ from gatelens.session import scratch
 DELAY = "1 hour"
 #: How long the state of a nonce, token or approval is kept after its last event.
 KEEP_SECONDS = 86_400.0
+#: States that all keys share by their hash.
+BUCKETS = 1024
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
@@ -95,15 +99,15 @@ def keyed(
     step: Callable[[tuple, dict], tuple[tuple, list[dict]]],
     initial: tuple,
     output: str,
-    state: str,
     *,
     keep_seconds: float | None = None,
     delay: str = DELAY,
     ordered: bool = False,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Fold the rows of each key in event order over a small state.
 
-    ``step(state, row) -> (state, output rows)``. ``state`` is the schema of the tuple. With
+    ``step(state, row) -> (state, output rows)``; rows and states are plain numbers, texts and lists. With
     ``keep_seconds`` a key starts anew with a row that comes so long after its last one (by ``ts``,
     epoch seconds), and its state is dropped once the watermark (``delay`` behind the newest row) is
     that far on, so keys that are used once do not pile up; rows behind the watermark are dropped.
@@ -112,63 +116,81 @@ def keyed(
     the state until the watermark has passed it, so no earlier one can follow, and the result is the
     same however the input was cut into batches. It comes ``delay`` later in return, and the rows of
     the last ``delay`` wait for newer ones.
+
+    Keys share ``buckets`` states by their hash, since a call of Python for each key costs far more than
+    its few rows. A batch rewrites the buckets that it meets.
     """
     names = [field.split()[0] for field in output.split(", ")]
+    doubles = [f.name for f in stream.schema if f.dataType.typeName() in ("double", "float")]
     timeout = GroupStateTimeout.NoTimeout
     timed = ordered or keep_seconds is not None
     keep = float("inf") if keep_seconds is None else keep_seconds
+    packed = F.to_json(F.struct(*stream.columns), {"ignoreNullFields": "false"}).alias("_row")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket")
     if timed:
         timeout = GroupStateTimeout.EventTimeTimeout
         # one second on, since the first watermark is the epoch and would drop its instant
         at = F.timestamp_micros(((F.col("ts") + 1) * 1_000_000).cast("long"))
-        stream = stream.withColumn("_at", at).withWatermark("_at", delay)
-        state = f"{state}, _last double, _waiting array<string>"
+        stream = stream.withColumn("_at", at).withWatermark("_at", delay).select(bucket, packed, "_at")
+    else:
+        stream = stream.select(bucket, packed)
 
     def place(row: dict) -> int:
         return int((row["ts"] + 1) * 1000)
 
+    def gone(last: float) -> int:
+        return int((last + 1 + keep) * 1000)
+
+    def unpacked(text: str) -> dict:
+        row = json.loads(text)
+        for name in doubles:
+            value = row[name]
+            row[name] = float("nan") if value is None else float(value)
+        return row
+
     def update(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState):
-        current, last, waiting = initial, float("-inf"), []
+        states, texts = {}, []
         if held.exists:
-            current = tuple(held.get)
-            if timed:
-                *current, last, waiting = current
-                current = tuple(current)
-        rows = [json.loads(text) for text in waiting]
+            known, texts = json.loads(zlib.decompress(held.get[0]))
+            states = {name: (tuple(current), last) for name, current, last in known}
         if not held.hasTimedOut:
-            new = pd.concat(list(batches)).drop(columns="_at", errors="ignore")
-            rows += new.to_dict("records")
-        elif not rows:
-            held.remove()
-            return
-        waiting = []
-        if ordered:
-            passed = held.getCurrentWatermarkMs()
-            waiting = [row for row in rows if place(row) >= passed]
-            rows = [row for row in rows if place(row) < passed]
-        rows.sort(key=lambda row: tuple(row[name] for name in order))
+            for batch in batches:
+                texts.extend(batch["_row"])
+        passed = held.getCurrentWatermarkMs() if timed else 0
+        waiting, until = [], []
+        due: dict[str, list[dict]] = {}
+        for text in texts:
+            row = unpacked(text)
+            if ordered and place(row) >= passed:
+                waiting.append(text)
+                until.append(place(row) + 1)
+            else:
+                due.setdefault(json.dumps([row[name] for name in keys]), []).append(row)
         out: list[dict] = []
-        for row in rows:
-            if timed:
-                current = initial if row["ts"] - last > keep else current
-                last = max(last, float(row["ts"]))
-            current, emitted = step(current, row)
-            out.extend(emitted)
-        if timed:
-            texts = [json.dumps(row, default=lambda value: value.item()) for row in waiting]
-            held.update((*current, last, texts))
-            until = None
-            if waiting:
-                until = min(map(place, waiting)) + 1
-            elif keep_seconds is not None:
-                until = int((last + 1 + keep_seconds) * 1000)
-            if until is not None:
-                held.setTimeoutTimestamp(max(until, held.getCurrentWatermarkMs() + 1))
-        else:
-            held.update(current)
-        yield pd.DataFrame(out, columns=names)
+        for name, rows in due.items():
+            rows.sort(key=lambda row: tuple(row[field] for field in order))
+            current, last = states.get(name, (initial, float("-inf")))
+            for row in rows:
+                if timed:
+                    current = initial if row["ts"] - last > keep else current
+                    last = max(last, row["ts"])
+                current, emitted = step(current, row)
+                out.extend(emitted)
+            states[name] = (current, last)
+        if keep_seconds is not None:
+            states = {name: kept for name, kept in states.items() if gone(kept[1]) >= passed}
+            until.extend(gone(last) for _, last in states.values())
+        if states or waiting:
+            known = [(name, *kept) for name, kept in states.items()]
+            held.update((zlib.compress(json.dumps((known, waiting)).encode(), 1),))
+            if until:
+                held.setTimeoutTimestamp(max(min(until), passed + 1))
+        elif held.exists:
+            held.remove()
+        # objects, so that a missing number makes no fractions of the whole ones beside it
+        yield pd.DataFrame(out, columns=names, dtype=object)
 
-    return stream.groupBy(*keys).applyInPandasWithState(update, output, state, "append", timeout)
+    return stream.groupBy("_bucket").applyInPandasWithState(update, output, "held binary", "append", timeout)
 
 
 def gap_alerts(events: DataFrame) -> DataFrame:
@@ -183,7 +205,7 @@ def gap_alerts(events: DataFrame) -> DataFrame:
         return (seq,), gap if last >= 0 and seq > last + 1 else []
 
     return keyed(
-        events, ["feed"], ["seq"], step, (-1,), "feed bigint, gap_from bigint, gap_to bigint", "last bigint"
+        events, ["feed"], ["seq"], step, (-1,), "feed bigint, gap_from bigint, gap_to bigint"
     )
 
 
@@ -198,7 +220,7 @@ def late_events(events: DataFrame) -> DataFrame:
         return (max(last, seq),), [{"feed": row["feed"], "seq": seq, "late": late}]
 
     return keyed(
-        events, ["feed"], ["arrival"], step, (-1,), "feed bigint, seq bigint, late boolean", "last bigint"
+        events, ["feed"], ["arrival"], step, (-1,), "feed bigint, seq bigint, late boolean"
     )
 
 
@@ -240,7 +262,6 @@ def nonce_match(
         step,
         (-1, -1.0, False),
         "nonce_id bigint, session_id bigint, ts double, liveness string",
-        "session bigint, issued double, used boolean",
         keep_seconds=keep_seconds,
         delay=delay, ordered=ordered,
     )
@@ -279,7 +300,6 @@ def approval_expiry(
         step,
         (-1.0, "", False),
         "token_id string, ts double, verdict string",
-        "expires double, digest string, used boolean",
         keep_seconds=keep_seconds,
         delay=delay, ordered=ordered,
     )
@@ -295,7 +315,7 @@ def token_replay(
         again = [{"nonce": row["nonce"], "call_id": row["call_id"]}] if seen else []
         return (True,), again
 
-    return keyed(events, ["nonce"], ["ts", "call_id"], step, (False,), "nonce string, call_id bigint", "seen boolean", keep_seconds=keep_seconds, delay=delay, ordered=ordered)
+    return keyed(events, ["nonce"], ["ts", "call_id"], step, (False,), "nonce string, call_id bigint", keep_seconds=keep_seconds, delay=delay, ordered=ordered)
 
 
 def rate_limit(events: DataFrame, *, per_minute: int = 20, ordered: bool = False, delay: str = DELAY) -> DataFrame:
@@ -320,7 +340,6 @@ def rate_limit(events: DataFrame, *, per_minute: int = 20, ordered: bool = False
         step,
         (capacity, -1.0),
         "client bigint, request_id bigint, admitted boolean",
-        "tokens double, stamp double",
         ordered=ordered,
         delay=delay,
     )
@@ -348,7 +367,6 @@ def sliding_attempts(events: DataFrame, *, limit: int = 5, seconds: float = 60.0
         step,
         ([],),
         "client bigint, request_id bigint, admitted boolean",
-        "times array<double>",
         ordered=ordered,
         delay=delay,
     )
@@ -376,7 +394,6 @@ def daily_cap_stream(
         step,
         (0,),
         "txn_id bigint, principal int, allowed boolean, spent bigint",
-        "spent bigint",
         keep_seconds=keep_seconds,
         delay=delay, ordered=ordered,
     )

@@ -131,3 +131,51 @@ def test_state_of_old_keys_is_dropped(spark, tmp_path):
     assert {r.call_id for r in st.run_available(kept, "kept").collect()} == {1, 4, 5}
     dropped = st.token_replay(live, keep_seconds=100.0, delay="1 second")
     assert {r.call_id for r in st.run_available(dropped, "dropped").collect()} == {1, 5}
+
+
+def test_keys_share_bounded_states(spark, tmp_path):
+    n = 3 * st.BUCKETS
+    df = spark.range(2 * n).select(
+        F.col("id").alias("seq"),
+        F.concat(F.lit("n"), F.col("id") % n).alias("nonce"),
+        (F.col("id") / 1000).alias("ts"),
+        F.col("id").alias("call_id"),
+    )
+    live = stream_of(spark, tmp_path, df, "many", 1)
+    query = (
+        st.token_replay(live)
+        .writeStream.format("parquet")
+        .option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= st.BUCKETS
+    got = [r.call_id for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == list(range(n, 2 * n))
+
+
+def test_keys_of_one_bucket_stay_apart(spark, tmp_path):
+    # whole numbers beyond 2**53, one of them missing, in one state
+    big = 2**60
+    rows = [(i, None if i % 4 == 0 else big + i % 4, float(i * 7 % 40)) for i in range(40)]
+    end = [(40, -1, 20_000.0), (41, -1, 40_000.0)]
+    df = spark.createDataFrame(rows + end, "seq long, client long, ts double")
+
+    def step(state, row):
+        (total,) = state
+        total += row["seq"]
+        return (total,), [{"client": row["client"], "seq": row["seq"], "total": total}]
+
+    totals, want = {}, set()
+    for seq, client, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        totals[client] = totals.get(client, 0) + seq
+        want.add((client, seq, totals[client]))
+    for parts in (1, 3):
+        live = stream_of(spark, tmp_path, df, f"one{parts}", parts)
+        out = st.keyed(
+            live, ["client"], ["ts", "seq"], step, (0,), "client bigint, seq bigint, total bigint",
+            ordered=True, delay="3600 seconds", buckets=1,
+        )
+        assert {tuple(r) for r in st.run_available(out, "one").collect() if r.seq < 40} == want
