@@ -105,6 +105,11 @@ def _shingles(text: Column, size: int) -> Column:
     )
 
 
+def _pieces(value: Column, size: int) -> Column:
+    """Hashes of the distinct pieces of ``size`` characters."""
+    return F.transform(_shingles(value, size), lambda piece: F.xxhash64(piece))
+
+
 def substring_taint(
     values: DataFrame,
     registry: DataFrame,
@@ -118,7 +123,8 @@ def substring_taint(
     each text: the one fewest registered texts share, which keeps common prefixes from pairing
     everything with everything. ``contains`` then decides. Texts are cut into pieces as long as
     their length tier allows; texts below the first tier do not count. Each distinct value is cut
-    once, and pieces travel with the hash of their value, never with the value.
+    once, and pieces travel as hashes with the hash of their value, never with the value. No side is
+    broadcast: estimates made before texts are cut do not tell how many pieces there are.
     """
     texts = registry.select("text").distinct()
     whole = values.select(*keys, normalise("value").alias("_v")).where("_v IS NOT NULL")
@@ -129,21 +135,19 @@ def substring_taint(
         fits = F.length("text") >= size
         if place + 1 < len(tiers):
             fits = fits & (F.length("text") < tiers[place + 1])
-        pieces = texts.where(fits).select(
-            "text", F.explode(_shingles(F.col("text"), size)).alias("piece")
-        )
+        pieces = texts.where(fits).select("text", F.explode(_pieces(F.col("text"), size)).alias("piece"))
         shared = pieces.groupBy("piece").agg(F.count("*").alias("_n"))
         anchors = (
-            lookup(pieces, shared, ["piece"], how="inner")
+            lookup(pieces, shared.hint("merge"), ["piece"], how="inner")
             .groupBy("text")
             .agg(F.min_by("piece", F.struct("_n", "piece")).alias("piece"))
         )
-        opened = unique.select("_id", F.explode(_shingles(F.col("_v"), size)).alias("piece"))
-        found = opened.join(anchors, "piece").select("_id", "text")
+        opened = unique.select("_id", F.explode(_pieces(F.col("_v"), size)).alias("piece"))
+        found = opened.join(anchors.hint("merge"), "piece").select("_id", "text")
         hits = found if hits is None else hits.unionByName(found)
-    # values whose hashes collide are told apart here
-    inside = hits.distinct().join(unique, "_id").where(F.contains("_v", "text"))
-    return whole.join(inside, ["_id", "_v"]).select(*keys, "text").distinct()
+    # values and pieces whose hashes collide are told apart here
+    inside = hits.distinct().join(unique.hint("merge"), "_id").where(F.contains("_v", "text"))
+    return whole.join(inside.hint("merge"), ["_id", "_v"]).select(*keys, "text").distinct()
 
 
 def label_for_values(

@@ -151,3 +151,17 @@ def test_a_cycle_of_handles_is_reported(spark):
     rows = [("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "x")]
     got = {r.handle: (r.root, r.depth) for r in handle_roots(spark.createDataFrame(rows, "handle string, parent string")).collect()}
     assert got == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "x": (None, None), "y": (None, None), "z": (None, None)}
+
+
+def test_contained_texts_meet_without_a_broadcast(spark):
+    from gatelens.operators.provenance import substring_taint
+
+    texts = [f"c{i}@mail.example" for i in range(1, 40)] + ["amber", "amberly", None]
+    values = [(i, f"to C{i % 50}@mail.example, c{i}@Mail.example amberly") for i in range(60)] + [(60, None), (61, "c1@mail")]
+    want = {(i, t) for i, v in values for t in texts if v and t and len(t) >= 6 and t in v.lower()}
+    found = substring_taint(
+        spark.createDataFrame(values, "id long, value string"), spark.createDataFrame([(t,) for t in texts], "text string"), ["id"]
+    )
+    assert {tuple(r) for r in found.collect()} == want
+    # pieces are many more than the texts they are cut from, so no estimate may send them to the driver
+    assert "BroadcastExchange" not in found._jdf.queryExecution().toString()
