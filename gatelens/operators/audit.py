@@ -23,6 +23,8 @@ from gatelens.session import durable
 
 BITS = 10
 WIDTH = 1 << BITS
+#: Leaves of a block that meet their rows together.
+PART_BITS = 5
 HEAD_EVERY = 16
 MAX_PAGE = 200
 
@@ -209,6 +211,44 @@ def inclusion_proofs(tree: Tree, wanted: DataFrame | None = None) -> DataFrame:
     )
 
 
+def _parts(tree: Tree) -> tuple[DataFrame, int]:
+    """Blocks cut into subtrees of at most 2**PART_BITS leaves, each with its own path to the root.
+
+    A leaf then meets a few kilobytes instead of its whole block. ``part`` is the index of the leaves
+    by the bits of a part, which are returned too.
+    """
+    bits = min(PART_BITS, tree.bits)
+    leaves = F.get("levels", F.lit(0))
+    last = F.shiftright(F.size(leaves) - 1, bits)
+    cut = _with_blocks(tree, "path").select("*", F.explode(F.sequence(F.lit(0), last)).alias("_part"))
+    first = F.shiftleft("_part", bits)
+    levels = [
+        F.slice(F.get("levels", F.lit(x)), F.shiftright(first, x) + 1, F.lit(1 << (bits - x))) for x in range(bits)
+    ]
+    return cut.select(
+        (F.shiftleft("block", tree.bits - bits) + F.col("_part")).alias("part"),
+        F.array(*levels).alias("levels"),
+        F.concat(_path(F.col("levels"), first, tree.bits, bits), "upper").alias("upper"),
+    ), bits
+
+
+def proofs_beside(tree: Tree, rows: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``idx`` is in the tree, with ``leaf_hash`` and ``path``.
+
+    The rows travel to the leaves: a path is far wider than what it is asked for. No path is shuffled, and
+    no side is broadcast: estimates made before leaves are hashed do not tell how wide parts are.
+    """
+    parts, bits = _parts(tree)
+    part, offset = _split("idx", bits)
+    asked = rows.withColumn("idx", F.col("idx").cast("long")).withColumns({"part": part, "_offset": offset})
+    met = asked.join(parts.hint("merge"), "part").where(F.col("_offset") < F.size(F.get("levels", F.lit(0))))
+    return met.select(
+        *rows.columns,
+        F.get(F.get("levels", F.lit(0)), F.col("_offset")).alias("leaf_hash"),
+        F.concat(_path(F.col("levels"), F.col("_offset"), bits), "upper").alias("path"),
+    )
+
+
 def prefix_roots(tree: Tree, sizes: DataFrame) -> DataFrame:
     """``size`` and ``root`` for each requested size from 0 to the size of the log."""
     asked = sizes.select(F.col("size").cast("long")).distinct()

@@ -27,10 +27,10 @@ TREE = {"lv": LV, "nodes": NODES}
 ROOTED = {**TREE, "heads": HEADS, "roots": ROOTS}
 
 
-def _tree(t):
+def _tree(t, **options):
     leaves = au.hash_leaves(t.v_leaves)
     size = t.events.count()
-    return au.build_tree(leaves, size), size
+    return au.build_tree(leaves, size, **options), size
 
 
 @query("aud01_leaf_hash", f"SELECT idx, {LEAF} AS hash FROM v_leaves")
@@ -69,12 +69,12 @@ def inclusion_proofs(t):
 # clicks carry a path for their neighbour, which must not verify
 @query("aud07_verify_inclusion", "SELECT event_id AS idx, event_type <> 'click' AS ok FROM events")
 def verify_inclusion(t):
-    tree, size = _tree(t)
-    root = au.tree_root(tree).withColumn("_k", F.lit(1))
-    proofs = au.inclusion_proofs(tree).withColumn("_k", F.lit(1)).join(root, "_k")
+    tree, size = _tree(t, keep=True)
+    root = F.broadcast(au.tree_root(tree).withColumn("_k", F.lit(1)))
     kinds = t.events.select(F.col("event_id").alias("idx"), "event_type")
+    proofs = au.proofs_beside(tree, kinds).withColumn("_k", F.lit(1)).join(root, "_k")
     used = F.when(F.col("event_type") == "click", F.col("idx").bitwiseXOR(F.lit(1))).otherwise(F.col("idx"))
-    return proofs.join(kinds, "idx").select(
+    return proofs.select(
         "idx",
         au.verify_inclusion(F.col("leaf_hash"), used, F.lit(size), F.col("path"), F.col("root")).alias("ok"),
     )
@@ -202,13 +202,12 @@ def hostile_events(t):
 
 @query("aud16_verify_report", "SELECT true AS ok FROM events HAVING count(*) > 0")
 def verify_report(t):
-    tree, size = _tree(t)
+    tree, size = _tree(t, keep=True)
     root = au.tree_root(tree).withColumn("_k", F.lit(1))
     entries = (
-        au.inclusion_proofs(tree)
-        .join(t.v_leaves.where("payload LIKE '%\"domain\":\"purposelock\"%'"), "idx")
+        au.proofs_beside(tree, t.v_leaves.where("payload LIKE '%\"domain\":\"purposelock\"%'"))
         .withColumn("_k", F.lit(1))
-        .join(root, "_k")
+        .join(F.broadcast(root), "_k")
         .select("idx", F.col("idx").alias("proof_idx"), "payload", F.lit("purposelock").alias("domain"), "leaf_hash", "path", F.lit(size).cast("long").alias("tree_size"), "root")
     )
     head = root.select(F.lit(size).cast("long").alias("size"), "root", F.lit(True).alias("sig_ok"))
