@@ -216,13 +216,17 @@ def stab_min(
     end: str,
     value: str,
     out: str,
+    *,
+    few: int = 64,
 ) -> DataFrame:
     """``ids`` and ``out``: the least ``value`` among the intervals of the key that contain the point.
 
     ``ids`` tell points apart; a point in no interval has NULL. Intervals open at ``start`` (NULL: always
-    open) and close before ``end`` (NULL: never). Each is cut into dyadic nodes, two a level at most;
+    open) and close before ``end`` (NULL: never). Those of a key with ``few`` at most are one list, and a
+    point reads the list of its key. All others are cut into dyadic nodes, two a level at most;
     a node keeps its least value, and a point asks the one node of each level that it lies in. So there
-    are no pairs of points and intervals, and no order to keep inside a key.
+    are no pairs of points and intervals, no order to keep inside a key, and only points of keys with
+    many intervals are repeated.
     """
     lo = F.coalesce(_position(F.col(start)), F.lit(0).cast("long"))
     hi = F.coalesce(_position(F.col(end)), F.lit(1 << _LINE_BITS).cast("long"))
@@ -241,13 +245,41 @@ def stab_min(
         )
 
     levels = F.transform(F.sequence(F.lit(0), F.lit(_LINE_BITS)), nodes_of)
-    cut = ends.where("_lo < _hi").select(*keys, "_v", F.explode(F.flatten(levels)).alias("_n")).select(*keys, "_v", "_n.*")
+    ends = ends.where("_lo < _hi")
+    # counted first, so that no list grows with its key
+    sizes = ends.groupBy(*keys).agg(F.count("*").alias("_n"))
+    small = F.struct("_lo", "_hi", "_v")
+    lists = (
+        ends.join(sizes.where(F.col("_n") <= few).select(*keys), list(keys))
+        .groupBy(*keys)
+        .agg(F.collect_list(small).alias("_list"))
+    )
+    crowded = sizes.where(F.col("_n") > few).select(*keys)
+    cut = (
+        ends.join(crowded, list(keys))
+        .select(*keys, "_v", F.explode(F.flatten(levels)).alias("_n"))
+        .select(*keys, "_v", "_n.*")
+    )
     least = cut.groupBy(*keys, "_level", "_node").agg(F.min("_v").alias("_v"))
     # levels that any interval has: sixty at most
     used = sorted(r[0] for r in least.select("_level").distinct().collect())
     place = _position(F.col(ts)).alias("_p")
     asked = points.select(*ids, *[k for k in keys if k not in ids], place)
-    levels = F.explode(F.array(*[F.lit(x) for x in used]).cast("array<int>")).alias("_level")
-    probes = asked.select("*", levels).withColumn("_node", F.expr("shiftright(_p, _level)"))
-    hit = probes.join(least, [*keys, "_level", "_node"]).groupBy(*ids).agg(F.min("_v").alias(out))
-    return asked.select(*ids).join(hit, list(ids), "left")
+    inside = F.filter("_list", lambda x: (x["_lo"] <= F.col("_p")) & (F.col("_p") < x["_hi"]))
+    hit = asked.join(lists, list(keys), "left").select(
+        *ids, F.array_min(F.transform(inside, lambda x: x["_v"])).alias("_v")
+    )
+    if used:
+        levels = F.explode(F.array(*[F.lit(x) for x in used]).cast("array<int>")).alias("_level")
+        probes = asked.join(crowded, list(keys), "left_semi")
+        probes = probes.select("*", levels).withColumn("_node", F.expr("shiftright(_p, _level)"))
+        hit = hit.unionByName(probes.join(least, [*keys, "_level", "_node"]).select(*ids, "_v"))
+    # an id that is NULL is told apart from none, so it meets nothing
+    whole = F.lit(True)
+    for name in ids:
+        whole = whole & F.col(name).isNotNull()
+    if used:
+        least_of = hit.where(whole).groupBy(*ids).agg(F.min("_v").alias(out))
+        return asked.select(*ids).join(least_of, list(ids), "left")
+    over = F.min("_v").over(W.partitionBy(*ids))
+    return hit.select(*ids, F.when(whole, over).alias(out))

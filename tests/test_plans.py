@@ -165,3 +165,30 @@ def test_contained_texts_meet_without_a_broadcast(spark):
     assert {tuple(r) for r in found.collect()} == want
     # pieces are many more than the texts they are cut from, so no estimate may send them to the driver
     assert "BroadcastExchange" not in found._jdf.queryExecution().toString()
+
+
+def test_least_value_of_keys_with_few_and_with_many_intervals(spark):
+    import random
+
+    from gatelens.plans.timeline import stab_min
+
+    draw = random.Random(5)
+    spans = [(k, draw.randrange(900), draw.randrange(900), draw.randrange(50)) for k in (1, 1, 1, 2, 2, 2, 2, 2, 2, 2, 2, 2, 3)]
+    asks = [(i, draw.choice((1, 2, 3, 4, None)), draw.randrange(900)) for i in range(300)]
+    asks += [(None, 2, 450), (7, 2, 451)]
+    at = "k, v, timestamp_seconds(a) AS a, timestamp_seconds(b) AS b"
+    held = spark.createDataFrame(spans, "k int, a long, b long, v int").selectExpr(*at.split(", "))
+    points = spark.createDataFrame(asks, "id int, k int, t long").selectExpr("id", "k", "timestamp_seconds(t) AS t")
+
+    def least(i, k, t):
+        # points that share an id share their least value
+        same = [(q, u) for j, q, u in asks if j == i] if i is not None else []
+        return min((v for q, u in same for key, a, b, v in spans if key == q and a <= u < b), default=None)
+
+    want = sorted(((i, least(i, k, t)) for i, k, t in asks), key=str)
+    for few in (0, 4, 64):
+        found = stab_min(points, held, ["id"], ["k"], "t", "a", "b", "v", "w", few=few)
+        assert sorted((tuple(r) for r in found.collect()), key=str) == want
+    # a point of a key with few intervals is one row
+    plan = stab_min(points, held, ["id"], ["k"], "t", "a", "b", "v", "w")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_level" not in plan
