@@ -141,34 +141,48 @@ def keyed(
     def gone(last: float) -> int:
         return int((last + 1 + keep) * 1000)
 
-    def unpacked(text: str) -> dict:
-        row = json.loads(text)
+    def unpacked(texts: list[str]) -> list[dict]:
+        rows = json.loads(f"[{','.join(texts)}]")
         for name in doubles:
-            value = row[name]
-            row[name] = float("nan") if value is None else float(value)
-        return row
+            for row in rows:
+                value = row[name]
+                row[name] = float("nan") if value is None else float(value)
+        return rows
+
+    def named(values: list) -> tuple:
+        # one NaN is as good as another
+        return tuple("NaN" if value != value else value for value in values)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState):
-        states, texts = {}, []
+        states, waiting, ready = {}, [], []
         if held.exists:
-            known, texts = json.loads(zlib.decompress(held.get[0]))
-            states = {name: (tuple(current), last) for name, current, last in known}
+            known, waiting = json.loads(zlib.decompress(held.get[0]))
+            states = {named(name): (tuple(current), last) for name, current, last in known}
+        passed = held.getCurrentWatermarkMs() if timed else 0
+        if ordered:
+            # rows that wait on are not read again
+            ready = unpacked([text for at, text in waiting if at < passed])
+            waiting = [kept for kept in waiting if kept[0] >= passed]
         if not held.hasTimedOut:
             for batch in batches:
-                texts.extend(batch["_row"])
-        passed = held.getCurrentWatermarkMs() if timed else 0
-        waiting, until = [], []
-        due: dict[str, list[dict]] = {}
-        for text in texts:
-            row = unpacked(text)
-            if ordered and place(row) >= passed:
-                waiting.append(text)
-                until.append(place(row) + 1)
-            else:
-                due.setdefault(json.dumps([row[name] for name in keys]), []).append(row)
+                texts = batch["_row"].tolist()
+                rows = unpacked(texts)
+                if ordered:
+                    for text, row in zip(texts, rows):
+                        if (at := place(row)) >= passed:
+                            waiting.append([at, text])
+                        else:
+                            ready.append(row)
+                else:
+                    ready.extend(rows)
+        until = [at + 1 for at, _ in waiting]
+        due: dict[tuple, list[dict]] = {}
+        for row in ready:
+            due.setdefault(named([row[name] for name in keys]), []).append(row)
         out: list[dict] = []
         for name, rows in due.items():
-            rows.sort(key=lambda row: tuple(row[field] for field in order))
+            if len(rows) > 1:
+                rows.sort(key=lambda row: tuple(row[field] for field in order))
             current, last = states.get(name, (initial, float("-inf")))
             for row in rows:
                 if timed:

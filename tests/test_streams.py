@@ -179,3 +179,47 @@ def test_keys_of_one_bucket_stay_apart(spark, tmp_path):
             ordered=True, delay="3600 seconds", buckets=1,
         )
         assert {tuple(r) for r in st.run_available(out, "one").collect() if r.seq < 40} == want
+
+
+def test_rows_that_wait_are_read_once(spark, monkeypatch):
+    import json
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    rows = spark.createDataFrame([(1, 1.0)], "k long, ts double")
+    made = []
+
+    class Stream:
+        schema, columns = rows.schema, rows.columns
+
+        def __getattr__(self, name):
+            def call(*given):
+                made.append((name, given))
+                return self
+
+            return call
+
+    def step(state, row):
+        return (state[0] + 1,), [{"k": row["k"], "n": state[0] + 1}]
+
+    st.keyed(Stream(), ["k"], ["ts"], step, (0,), "k bigint, n bigint", ordered=True)
+    update = dict(made)["applyInPandasWithState"][0]
+    held = SimpleNamespace(exists=False, hasTimedOut=False, now=0, removed=False)
+    held.getCurrentWatermarkMs = lambda: held.now
+    held.setTimeoutTimestamp = lambda at: None
+    held.update = lambda value: held.__dict__.update(get=value, exists=True)
+    held.remove = lambda: held.__dict__.update(exists=False)
+    texts = [json.dumps({"k": i % 3, "ts": float(i)}) for i in range(9)]
+    batch = pd.DataFrame({"_row": texts})
+    read = []
+    loads = json.loads
+    monkeypatch.setattr(st.json, "loads", lambda text: read.append(text) or loads(text))
+    assert [len(x) for x in update((0,), iter([batch]), held)] == [0]
+    read.clear()
+    assert [len(x) for x in update((0,), iter([]), held)] == [0]
+    # the state alone is read, not its rows
+    assert len(read) == 2 and read[1] == "[]"
+    held.now = 5000
+    (out,) = update((0,), iter([]), held)
+    assert sorted(out.itertuples(index=False, name=None)) == [(0, 1), (0, 2), (1, 1), (2, 1)]
