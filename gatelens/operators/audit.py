@@ -225,10 +225,15 @@ def _parts(tree: Tree) -> tuple[DataFrame, int]:
     levels = [
         F.slice(F.get("levels", F.lit(x)), F.shiftright(first, x) + 1, F.lit(1 << (bits - x))) for x in range(bits)
     ]
+    # a node without sibling is NULL
+    above = [
+        F.get(F.get("levels", F.lit(x)), F.shiftright(first, x).bitwiseXOR(F.lit(1))) for x in range(bits, tree.bits)
+    ]
+    path = F.array_compact(F.array(*above).cast("array<string>"))
     return cut.select(
         (F.shiftleft("block", tree.bits - bits) + F.col("_part")).alias("part"),
         F.array(*levels).alias("levels"),
-        F.concat(_path(F.col("levels"), first, tree.bits, bits), "upper").alias("upper"),
+        F.concat(path, "upper").alias("upper"),
     ), bits
 
 
