@@ -9,8 +9,8 @@ from gatelens.functions.scalars import key_purpose, rupees_text
 from gatelens.operators.ruleset import STEP_UP
 from gatelens.plans.history import prefix_spread
 from gatelens.plans.skew import lookup, newest_per_key, oldest_per_key
-from gatelens.plans.timeline import as_of, running_total
-from gatelens.session import durable
+from gatelens.plans.timeline import as_of, running_total, running_totals
+from gatelens.session import durable, stored
 
 FACTS = (
     "mandate_sig_valid",
@@ -225,8 +225,9 @@ def preview_payments(calls: DataFrame, accounts: DataFrame) -> DataFrame:
 
 def check_ledger_balance(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
     """Ledger rows whose ``balance_after`` is not the opening balance less all spend so far."""
+    posted = ledger.select("txn_id", "principal", "ts", "amount_paise", "balance_after")
     running = running_total(
-        ledger, ["principal"], "ts", ["txn_id"], F.col("amount_paise"), "_spent", fine=86_400,
+        posted, ["principal"], "ts", ["txn_id"], F.col("amount_paise"), "_spent", fine=86_400,
         coarse=86_400 * 365,
     )
     rows = lookup(running, accounts.select("principal", "opening"), ["principal"])
@@ -238,16 +239,23 @@ def check_ledger_balance(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
     )
 
 
-def execution_delta(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Balance and row count of the principal before and after each executed payment."""
-    spent = running_total(
-        ledger, ["principal"], "ts", ["txn_id"], F.col("amount_paise"), "_spent"
-    )
-    counted = running_total(spent, ["principal"], "ts", ["txn_id"], F.lit(1), "rows_before")
+def execution_delta(
+    ledger: DataFrame, accounts: DataFrame, *, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Balance and row count of the principal before and after each executed payment.
+
+    Columns of the ledger named in ``keep`` stay beside them, so that rows need not be joined again.
+    """
+    own = ["txn_id", "principal", "ts", "amount_paise"]
+    # read for the rows and for the sums of buckets
+    posted = stored(ledger.select(*own, *[c for c in keep if c not in own]), "ledger")
+    sums = {"_spent": F.col("amount_paise"), "rows_before": F.lit(1)}
+    counted = running_totals(posted, ["principal"], "ts", ["txn_id"], sums)
     rows = lookup(counted, accounts.select("principal", "opening"), ["principal"])
     before = F.col("opening") - F.col("_spent")
     return rows.select(
         "txn_id",
+        *[c for c in keep if c != "txn_id"],
         before.alias("balance_before"),
         (before - F.col("amount_paise")).alias("balance_after"),
         "rows_before",

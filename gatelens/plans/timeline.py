@@ -5,7 +5,7 @@ aggregated group-by, carry the summaries forward over the buckets (a bounded num
 per key), and finish inside each bucket. The widest sort group is one key within one bucket.
 """
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,41 +35,54 @@ def running_total(
 
     The order is (``ts``, ``ties``). Sums start at zero, never NULL.
     """
-    rows = (
-        df.withColumn("_v", F.coalesce(value, F.lit(0)).cast("long"))
-        .withColumn("_fine", bucket_of(ts, fine))
-        .withColumn("_coarse", bucket_of(ts, coarse))
+    return running_totals(df, keys, ts, ties, {out: value}, fine=fine, coarse=coarse)
+
+
+def running_totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    ties: Sequence[str],
+    values: Mapping[str, Column],
+    *,
+    fine: int = FINE_SECONDS,
+    coarse: int = COARSE_SECONDS,
+) -> DataFrame:
+    """``running_total`` of several values by name; the rows are shuffled once for all of them."""
+    rows = df.withColumns(
+        {f"_v{i}": F.coalesce(value, F.lit(0)).cast("long") for i, value in enumerate(values.values())}
+    )
+    rows = rows.withColumn("_fine", bucket_of(ts, fine)).withColumn("_coarse", bucket_of(ts, coarse))
+    places = range(len(values))
+
+    def before(name: str, parts: Sequence[str], *order: str) -> Column:
+        earlier = W.partitionBy(*parts).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        return F.coalesce(F.sum(name).over(earlier), F.lit(0))
+
+    fine_totals = rows.groupBy(*keys, "_coarse", "_fine").agg(
+        *[F.sum(f"_v{i}").alias(f"_s{i}") for i in places]
+    )
+    coarse_totals = fine_totals.groupBy(*keys, "_coarse").agg(
+        *[F.sum(f"_s{i}").alias(f"_s{i}") for i in places]
     )
-    fine_totals = rows.groupBy(*keys, "_coarse", "_fine").agg(F.sum("_v").alias("_s"))
-    coarse_totals = fine_totals.groupBy(*keys, "_coarse").agg(F.sum("_s").alias("_s"))
-    before = (W.unboundedPreceding, -1)
     coarse_carry = coarse_totals.select(
-        *keys,
-        "_coarse",
-        F.coalesce(
-            F.sum("_s").over(W.partitionBy(*keys).orderBy("_coarse").rowsBetween(*before)), F.lit(0)
-        ).alias("_c1"),
+        *keys, "_coarse", *[before(f"_s{i}", keys, "_coarse").alias(f"_c{i}") for i in places]
     )
     fine_carry = fine_totals.select(
         *keys,
         "_coarse",
         "_fine",
-        F.coalesce(
-            F.sum("_s").over(
-                W.partitionBy(*keys, "_coarse").orderBy("_fine").rowsBetween(*before)
-            ),
-            F.lit(0),
-        ).alias("_c2"),
+        *[before(f"_s{i}", [*keys, "_coarse"], "_fine").alias(f"_d{i}") for i in places],
     )
     carry = fine_carry.join(coarse_carry, [*keys, "_coarse"]).select(
-        *keys, "_fine", (F.col("_c1") + F.col("_c2")).alias("_carry")
+        *keys, "_fine", *[(F.col(f"_c{i}") + F.col(f"_d{i}")).alias(f"_carry{i}") for i in places]
     )
-    inside = W.partitionBy(*keys, "_fine").orderBy(ts, *ties).rowsBetween(*before)
+    inside = {f"_in{i}": before(f"_v{i}", [*keys, "_fine"], ts, *ties) for i in places}
     return (
-        rows.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
+        rows.withColumns(inside)
         .join(carry, [*keys, "_fine"])
-        .withColumn(out, F.col("_in") + F.col("_carry"))
-        .select(*df.columns, out)
+        .withColumns({out: F.col(f"_in{i}") + F.col(f"_carry{i}") for i, out in enumerate(values)})
+        .select(*df.columns, *values)
     )
 
 

@@ -369,11 +369,11 @@ RUNNING = "SELECT l.*, a.opening - sum(l.amount_paise) OVER (PARTITION BY l.prin
 )
 def check_ledger_balance(t):
     accounts, ledger = t.sql(ACCOUNTS), t.sql(UNIQUE_LEDGER.strip())
-    posted = pay.execution_delta(ledger, accounts).select("txn_id", "balance_after")
+    posted = pay.execution_delta(ledger, accounts, keep=["principal", "ts", "amount_paise"])
     shifted = F.coalesce("balance_after", F.lit(0)) + F.when(
         F.col("amount_paise") % 1000 == 0, 1
     ).otherwise(0)
-    rows = ledger.join(posted, "txn_id").withColumn("balance_after", shifted.cast("long"))
+    rows = posted.where("txn_id IS NOT NULL").withColumn("balance_after", shifted.cast("long"))
     return pay.check_ledger_balance(rows, accounts)
 
 
