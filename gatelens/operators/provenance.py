@@ -12,6 +12,7 @@ from gatelens.operators.predicates import json_type_sql
 from gatelens.operators.ruleset import TRUSTED_SYSTEM, TRUSTED_USER, UNTRUSTED
 from gatelens.plans.skew import lookup
 from gatelens.plans.timeline import as_of
+from gatelens.session import stored
 
 HANDLE = r"\A\$(?:DOC|EMAIL|VOICE|VAR)_[1-9][0-9]*\z"
 MIN_SUBSTRING = 6
@@ -174,6 +175,7 @@ def label_for_values(
         is_filled(F.col("value")).alias("_filled"),
         key.alias("key"),
     )
+    registry = stored(registry.select("key", "text", "level", "kinds", "tags"), "registry")
     said = lookup(
         rows, task_tokens.withColumn("_said", F.lit(True)), ["task_id", "key"], how="left"
     )
@@ -187,6 +189,8 @@ def label_for_values(
         ),
         ["key"],
     )
+    # read many times below: as often as texts are cut into pieces and met again
+    known = stored(known.drop("key", "task_id"), "known")
     loose = known.where("_kind = 'string' AND _said IS NULL AND _level IS NULL").select(
         "call_id", "pointer", F.col("_text").alias("value")
     )

@@ -30,3 +30,21 @@ def test_several_running_totals_share_one_pass_and_the_ledger_is_read_once(spark
     assert found.columns == ["txn_id", "ts", "payee_vpa", "balance_before", "balance_after", "rows_before", "rows_after"]
     assert "Range" not in plan_of(found)
     assert found.count() == 90
+
+
+def test_values_are_looked_up_once_before_texts_are_cut(spark):
+    from gatelens.operators.provenance import label_for_values, register_values
+
+    leaves = spark.range(6).select(
+        F.col("id").alias("call_id"), F.lit("/body").alias("pointer"), F.lit("T").alias("task_id"),
+        F.parse_json(F.concat(F.lit('"for c'), (F.col("id") % 4).cast("string"), F.lit('@mail.example ok"'))).alias("value"),
+    )
+    tokens = spark.createDataFrame([("T", "s:for c2@mail.example ok")], "task_id string, key string")
+    values = spark.range(2).select(
+        F.concat(F.lit("c"), "id", F.lit("@mail.example")).alias("text"), F.lit(None).cast("long").alias("number"),
+        F.lit(1).alias("level"), F.lit("document").alias("source_kind"), F.lit(None).cast("string").alias("tag"),
+    )
+    found = label_for_values(leaves, tokens, register_values(values))
+    assert "Range" not in plan_of(found)
+    got = {r.call_id: r.found for r in found.collect()}
+    assert got == {0: "contains", 1: "contains", 2: "task", 3: "model", 4: "contains", 5: "contains"}
