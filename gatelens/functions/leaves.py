@@ -39,8 +39,8 @@ def leaf_array(args: Column, *, depth: int = NATIVE_LEVELS) -> Column:
 
 
 def _is_container(value: Column) -> Column:
-    schema = F.schema_of_variant(value)
-    return F.startswith(schema, F.lit("OBJECT<")) | F.startswith(schema, F.lit("ARRAY<"))
+    # one look at the schema: it is written out whole each time
+    return F.substring(F.schema_of_variant(value), 1, 6).isin("OBJECT", "ARRAY<")
 
 
 def is_filled(value: Column) -> Column:
@@ -121,8 +121,10 @@ def with_leaves(df: DataFrame, args: Column, out: str) -> DataFrame:
     The first levels are opened in the JVM. Only containers below them go through Arrow, as text;
     rows without such a container send an empty array. NULL for what is no container.
     """
-    native = df.withColumn("_native", leaf_array(args))
-    filled = F.filter("_native", lambda n: is_filled(n["value"]))
+    native = df.withColumn("_native", leaf_array(args)).withColumn(
+        "_filled", F.transform("_native", lambda n: is_filled(n["value"]))
+    )
+    filled = F.filter("_native", lambda n, i: F.get("_filled", i))
     rest = F.transform(
         F.coalesce(filled, F.array().cast("array<struct<pointer:string,value:variant>>")),
         lambda n: F.struct(n["pointer"].alias("pointer"), F.to_json(n["value"]).alias("value")),
@@ -133,13 +135,13 @@ def with_leaves(df: DataFrame, args: Column, out: str) -> DataFrame:
             n["pointer"].alias("pointer"), F.try_parse_json(n["value"]).alias("value")
         ),
     )
-    ready = F.filter("_native", lambda n: ~is_filled(n["value"]))
+    ready = F.filter("_native", lambda n, i: ~F.get("_filled", i))
     return (
         native.withColumn("_below", _finished(rest))
         .withColumn(
             out, F.when(F.size("_below") == 0, F.col("_native")).otherwise(F.concat(ready, below))
         )
-        .drop("_native", "_below")
+        .drop("_native", "_filled", "_below")
     )
 
 
@@ -156,4 +158,6 @@ def flatten_args(
         opened = with_leaves(calls.select(key, args), parsed, "leaves")
     else:
         opened = calls.select(key, leaf_array(parsed, depth=depth).alias("leaves"))
-    return opened.select(key, F.explode("leaves").alias("leaf")).select(key, "leaf.*")
+    # the plain explode would have its array computed twice more, to leave out empty ones beforehand
+    rows = opened.select(key, F.explode_outer("leaves").alias("leaf")).where("leaf IS NOT NULL")
+    return rows.select(key, "leaf.*")

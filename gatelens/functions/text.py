@@ -1,5 +1,6 @@
 """Text recognisers as Column builders: personal data, secrets, hidden text, red flags."""
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -177,6 +178,17 @@ def secret_patterns(session_cookie: str = SESSION_COOKIE) -> tuple[tuple[str, st
     )
 
 
+def least_secret(session_cookie: str = SESSION_COOKIE) -> int:
+    """Characters of the shortest match of any pattern, but for e-mail addresses."""
+    plain = re.fullmatch(r"[A-Za-z0-9_]+", session_cookie)
+    return min(10, len(session_cookie) + 2) if plain else 0
+
+
+def may_hold_secret(text: Column, **options) -> Column:
+    """False for a text that is too short for any pattern and no e-mail address."""
+    return (F.length(text) >= least_secret(**options)) | F.contains(text, F.lit("@"))
+
+
 def find_secrets(text: str | Column, **options) -> Column:
     """Kinds found, one entry per matching pattern, in pattern order."""
     t = F.col(text) if isinstance(text, str) else text
@@ -191,15 +203,21 @@ def find_secrets(text: str | Column, **options) -> Column:
 
 
 def contains_secret(text: str | Column, **options) -> Column:
-    return F.size(find_secrets(text, **options)) > 0
+    t = F.col(text) if isinstance(text, str) else text
+    found = F.size(find_secrets(t, **options)) > 0
+    return F.when(may_hold_secret(t, **options), found).otherwise(F.lit(False))
 
 
 def scrub(text: str | Column, **options) -> Column:
     """Replace every detected span by ``[REDACTED:kind]``, one pattern after the other."""
-    t = F.col(text) if isinstance(text, str) else text
-    for kind, pattern in secret_patterns(**options):
-        t = F.regexp_replace(t, pattern, f"[REDACTED:{kind}]")
-    return t
+
+    def scrubbed(t: Column) -> Column:
+        out = t
+        for kind, pattern in secret_patterns(**options):
+            out = F.regexp_replace(out, pattern, f"[REDACTED:{kind}]")
+        return F.when(may_hold_secret(t, **options), out).otherwise(t)
+
+    return let(F.col(text) if isinstance(text, str) else text, scrubbed)
 
 
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"

@@ -84,13 +84,20 @@ def sanitise_leaves(leaves: DataFrame, **options) -> DataFrame:
     A value under a secret-looking name, or nested deeper than twelve levels, is masked.
     ``leaves`` has ``pointer`` and ``value`` (text, NULL for JSON null).
     """
-    names = F.split("pointer", "/")
-    names = F.slice(names, 2, F.size(names))
-    masked = F.exists(names, tx.is_secret_key) | (F.size(names) > MAX_DEPTH)
-    safe_names = F.transform(names, lambda n: tx.safe_text(n, **options))
-    return leaves.withColumn(
+    parts = F.split("pointer", "/")
+    rows = leaves.withColumn("_names", F.slice(parts, 2, F.size(parts)))
+    # names are looked at one by one only where some name can be secret or unsafe at all
+    least = max(1, min(tx.least_secret(), tx.least_secret(**options)))
+    unsafe = r"\A(?!/)|[\x00-\x1f\x7f-\x9f&<>@]|[^/]{%d}" % least
+    rows = rows.withColumn("_unsafe", F.regexp_like("pointer", F.lit(unsafe)))
+    suspect = F.col("_unsafe") | F.regexp_like("pointer", F.lit(tx.SECRET_KEY))
+    secret = F.when(suspect, F.exists("_names", tx.is_secret_key)).otherwise(F.lit(False))
+    masked = secret | (F.size("_names") > MAX_DEPTH)
+    safe_names = F.transform("_names", lambda n: tx.safe_text(n, **options))
+    safe_pointer = F.concat(F.lit("/"), F.array_join(safe_names, "/"))
+    return rows.withColumn(
         "value", F.when(masked, F.lit(tx.REDACTED)).otherwise(tx.safe_text("value", **options))
-    ).withColumn("pointer", F.concat(F.lit("/"), F.array_join(safe_names, "/")))
+    ).withColumn("pointer", F.when(F.col("_unsafe"), safe_pointer).otherwise(F.col("pointer"))).drop("_names", "_unsafe")
 
 
 def document_summary(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -48,3 +49,60 @@ def test_values_are_looked_up_once_before_texts_are_cut(spark):
     assert "Range" not in plan_of(found)
     got = {r.call_id: r.found for r in found.collect()}
     assert got == {0: "contains", 1: "contains", 2: "task", 3: "model", 4: "contains", 5: "contains"}
+
+
+HARD = [
+    None, "", "a", "id", "a@b.cc", "x <a@b.cc>", "\x01a@b.co", "9876543210", "987654321", "2345 6789 0123", "ABCDE1234F",
+    "token:abcdef", "token:abcde", "ſecret=abcdef", "passwd=\x07abcdef", "Bearer abcdefgh", "sk-123456789012", "a&b", "<i>",
+    "gateway_session=1", "gateway_session=", "s=1", "\U0001f600" * 9 + "&", "password", "api-key", "line\nfeed\ttab\x85",
+]
+
+
+def scrubbed_by_all(text, **options):
+    from gatelens.functions import text as tx
+
+    out = F.regexp_replace(text, tx.CONTROL, "")
+    for kind, pattern in tx.secret_patterns(**options):
+        out = F.regexp_replace(out, pattern, f"[REDACTED:{kind}]")
+    return tx.html_escape(out)
+
+
+@pytest.mark.parametrize("options", [{}, {"session_cookie": "s"}, {"session_cookie": "s?"}])
+def test_short_texts_need_no_pattern(spark, options):
+    from gatelens.functions import text as tx
+    from gatelens.operators.scan import sanitise_leaves
+
+    texts = spark.createDataFrame([(x,) for x in HARD], "v string")
+    any_kind = F.lit(False)
+    for _, pattern in tx.secret_patterns(**options):
+        any_kind = any_kind | F.coalesce(F.regexp_like("v", F.lit(pattern)), F.lit(False))
+    asked = texts.select(
+        "v", tx.safe_text("v", **options).alias("got"), scrubbed_by_all(F.col("v"), **options).alias("want"),
+        tx.contains_secret("v", **options).alias("hit"), any_kind.alias("any"),
+        F.coalesce(tx.may_hold_secret(F.col("v"), **options), F.lit(False)).alias("may"),
+    )
+    for row in asked.collect():
+        assert row.got == row.want and row.hit == row.any and (row.may or not row.hit), row
+    pointers = [None, "", "x", "password", "/a/b", "//", "/a/", "/a@b.cc/x", "/Password", "/a<b/c", "/x\x02y/z", "/ABCDE1234F", "/s=1/t", "/n" * 13]
+    rows = spark.createDataFrame([(p, "v@w.example") for p in pointers], "pointer string, value string")
+    for before, row in zip(pointers, sanitise_leaves(rows, **options).collect(), strict=True):
+        names = spark.createDataFrame([(before,)], "p string").select(
+            F.slice(F.split("p", "/"), 2, 99).alias("n")
+        )
+        wanted = names.select(
+            F.concat(F.lit("/"), F.array_join(F.transform("n", lambda n: scrubbed_by_all(n, **options)), "/")).alias("p"),
+            (F.exists("n", lambda n: F.regexp_like(n, F.lit(tx.SECRET_KEY)) | tx.contains_secret(n)) | (F.size("n") > 12)).alias("m"),
+        ).first()
+        assert row.pointer == wanted.p and (row.value == tx.REDACTED) == bool(wanted.m), before
+
+
+def test_leaves_are_opened_once_and_empty_documents_have_none(spark):
+    from gatelens.functions.leaves import flatten_args
+
+    docs = ['{"a":{"b":{"c":{"d":{"e":[1,{}]}}}},"f":null}', "{}", "[]", "3", None, "{", '{"x":[]}']
+    calls = spark.createDataFrame(list(enumerate(docs)), "call_id int, args string")
+    got = sorted((r.call_id, r.pointer) for r in flatten_args(calls).select("call_id", "pointer").collect())
+    assert got == [(0, "/a/b/c/d/e/0"), (0, "/a/b/c/d/e/1"), (0, "/f"), (6, "/x")]
+    assert plan_of(flatten_args(calls)).count("walk_documents") == 1
+    # no filter that computes the whole array again
+    assert "size(CASE" not in plan_of(flatten_args(calls))
