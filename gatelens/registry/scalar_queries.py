@@ -194,15 +194,17 @@ def pluggable_fact(t):
 def pluggable_classifier(t):
     from collections.abc import Iterator
 
-    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
     from gatelens.operators.scan import score_texts
 
-    @F.pandas_udf("double")
-    def classify(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        limit = 5000  # a model would be loaded here, once per worker
+    @F.arrow_udf("double")
+    def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        limit = 5000.0  # a model would be loaded here, once per worker
         for texts in batches:
-            yield (texts.str.len() / limit).clip(upper=1.0)
+            share = pc.divide(pc.cast(pc.utf8_length(texts), pa.float64()), limit)
+            yield pc.min_element_wise(share, 1.0, skip_nulls=False)
 
     return score_texts(t.documents.select("doc_id", "text"), classify).select("doc_id", "score")
 

@@ -106,3 +106,19 @@ def test_leaves_are_opened_once_and_empty_documents_have_none(spark):
     assert plan_of(flatten_args(calls)).count("walk_documents") == 1
     # no filter that computes the whole array again
     assert "size(CASE" not in plan_of(flatten_args(calls))
+
+
+def test_the_pluggable_classifier_gets_arrow_batches(spark, tmp_path):
+    import re
+
+    import __spark_entry__ as entry
+
+    texts = [None, "", "a" * 2500, "é\U0001f600" * 1250, "b" * 5000, "c" * 9000]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = entry.queries()["udf02_pluggable_classifier"](spark, str(tmp_path))
+    assert {r.doc_id: r.score for r in found.collect()} == {0: None, 1: 0.0, 2: 0.5, 3: 0.5, 4: 1.0, 5: 1.0}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pandas_kinds = {"200", "204"}
+    kinds = set(re.findall(r"ArrowEvalPython \[.*\], (\d+)", plan))
+    assert kinds and not kinds & pandas_kinds
