@@ -2,16 +2,18 @@
 
 Forward Viterbi gives the best score of every prefix; a backward A-star search with those scores as
 exact heuristics then yields segmentations best first. No piece spans a pair of signs that no piece
-contains, so the lattice of a text is a chain of small ones. Each distinct word gets its best score
-and its gap to the second, kept by the Python worker; only the few words with the smallest gaps can
-be off their best among the best of a text, and those alone are searched for more.
+contains, so the lattice of a text is a chain of small ones: distinct words are cut there, and each
+distinct part gets its best score and its gap to the second, kept by the Python worker. Only the few
+words with the smallest gaps can be off their best among the best of a text, and those alone are
+searched for more.
 """
 
 import heapq
 import math
 import re
+import sys
 from collections.abc import Iterator
-from operator import add
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -25,8 +27,10 @@ from gatelens.llm.token_ids import packed, sliced
 
 #: Segmentations of a text.
 BEST = 4
-#: Words in one of the two generations of a worker's cache, and parts of words in another.
-GENERATION = 120_000
+#: Parts of words in one of the two generations of a worker's cache.
+GENERATION = 240_000
+#: Words whose best segmentations a worker keeps.
+LISTS = 30_000
 #: What a sign without a piece costs below the worst piece; it is written as its bytes.
 UNKNOWN = 10.0
 SPACE = "▁"
@@ -38,34 +42,41 @@ _WORKER: dict[tuple[str, int], "Lattices"] = {}
 Cut = tuple[float, bytes]
 
 
-class Lattices(dict):
-    """The best segmentation of words and how far behind the second is; unknown ones are searched.
+class Lattices:
+    """The best segmentation of parts of words and how far behind the second is.
 
-    A key is a word without the space sign before it; one that starts with a line feed has none.
-    A value is ``score, gap, ids``; the gap is infinite for a word with one segmentation.
+    Words come without the space sign before them; one that starts with a line feed has none. A part
+    has ``score, gap, ids``; the gap is infinite where there is one segmentation.
     """
 
     def __init__(self, model: str, best: int) -> None:
-        super().__init__()
         library = sentencepiece.SentencePieceProcessor(model_file=model)
         self.best = best
         self.pieces: dict[str, tuple[float, bytes]] = {}
         self.bytes: dict[int, bytes] = {}
-        self.table: list[bytes] = []
+        table: list[bytes] = []
         for i in range(library.get_piece_size()):
             piece = library.id_to_piece(i)
             if library.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = packed([i])
-                self.table.append(bytes([int(piece[3:5], 16)]))
+                table.append(bytes([int(piece[3:5], 16)]))
             elif library.is_control(i) or library.is_unknown(i) or library.is_unused(i):
-                self.table.append(b"")
+                table.append(b"")
             else:
                 self.pieces[piece] = (library.get_score(i), packed([i]))
-                self.table.append(piece.replace(SPACE, " ").encode())
+                table.append(piece.replace(SPACE, " ").encode())
+        #: Bytes by id.
+        self.table = pa.array(table, pa.large_binary())
         self.unknown_id = packed([library.unk_id()])
         #: Pieces, and None for what only begins one.
         self.begins = {p[:i]: None for p in self.pieces for i in range(1, len(p))} | self.pieces
-        self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        #: Rows and columns of signs in the table of pairs that some piece contains; 0 for all others.
+        self.row, firsts = numbered({two[0] for two in pairs})
+        self.column, seconds = numbered({two[1] for two in pairs})
+        self.paired = np.zeros((firsts + 1, seconds + 1), bool)
+        for one, other in pairs:
+            self.paired[self.row[ord(one)], self.column[ord(other)]] = True
         #: Finds all pieces that end at each place, longest first.
         self.finder = ahocorasick.Automaton()
         for piece, (score, ids) in self.pieces.items():
@@ -75,56 +86,52 @@ class Lattices(dict):
         self.signs = {p for p in self.pieces if len(p) == 1}
         lowest = min((s for s, _ in self.pieces.values() if s > -1e8), default=0.0)
         self.unknown = lowest - UNKNOWN
-        self.old: dict[str, tuple[float, float, bytes]] = {}
         self.parts: dict[str, tuple[float, float, bytes]] = {}
         self.old_parts: dict[str, tuple[float, float, bytes]] = {}
         self.lists: dict[str, list[Cut]] = {}
 
-    def __missing__(self, word: str) -> tuple[float, float, bytes]:
-        found = self.old.get(word)
-        if found is None:
-            parts = [self.of_part(part) for part in self.cut(word)]
-            if len(parts) == 1:
-                found = parts[0]
-            else:
-                gap = min([part[1] for part in parts])
-                ids = b"".join([part[2] for part in parts])
-                found = (sum([part[0] for part in parts]), gap, ids)
-        self[word] = found
-        if len(self) > GENERATION:
-            self.old = dict(self)
-            self.clear()
-        return found
-
-    def of_part(self, part: str) -> tuple[float, float, bytes]:
-        found = self.parts.get(part)
-        if found is None:
-            found = self.old_parts.get(part) or self.viterbi(part)
-            if len(self.parts) > GENERATION:
-                self.old_parts, self.parts = self.parts, {}
-            self.parts[part] = found
-        return found
-
-    def best_of(self, word: str) -> list[Cut]:
-        """The best segmentations of a word, best first."""
+    def of_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Scores, gaps and ids of distinct parts."""
+        found = list(map(self.parts.get, parts))
+        old = self.old_parts
+        for i, value in enumerate(found):
+            if value is None:
+                part = parts[i]
+                found[i] = self.parts[part] = old.get(part) or self.viterbi(part)
+        if len(self.parts) > GENERATION:
+            self.old_parts, self.parts = self.parts, {}
+        scores, gaps, ids = zip(*found, strict=True)
+        return np.array(scores), np.array(gaps), pa.array(ids, pa.large_binary())
+
+    def best_of(self, parts: list[str]) -> list[Cut]:
+        """The best segmentations of the word of these parts, best first."""
+        word = "".join(parts)
         found = self.lists.get(word)
         if found is None:
             found = [(0.0, b"")]
-            for part in self.cut(word):
+            for part in parts:
                 found = merged(found, self.search(part), self.best)
-            if len(self.lists) > GENERATION // 4:
+            if len(self.lists) > LISTS:
                 self.lists = {}
             self.lists[word] = found
         return found
 
-    def cut(self, word: str) -> list[str]:
-        """Parts of the word, with its space sign, between which no piece can lie."""
-        text = word if word[:1] == "\n" else SPACE + word
-        pairs = self.pairs
-        cuts = [i for i, two in enumerate(map(add, text, text[1:]), 1) if two not in pairs]
-        if not cuts:
-            return [text]
-        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+    def cut(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Parts of the words, with their space signs, between which no piece can lie.
+
+        The second is where the parts of each word begin, and where those of the last one end.
+        """
+        none, space = pa.scalar("", words.type), pa.scalar(SPACE, words.type)
+        before = pc.if_else(pc.starts_with(words, "\n"), none, space)
+        raw, places = joined(pc.binary_join_element_wise(before, words, none))
+        signs = np.frombuffer(str(raw, "utf-8").encode("utf-32-le"), "<u4")
+        size = 1 + (signs > 0x7F).astype(np.int64) + (signs > 0x7FF) + (signs > 0xFFFF)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        begins = np.ones(len(ends), bool)
+        begins[1:-1] = ~self.paired[self.row[signs[:-1]], self.column[signs[1:]]]
+        begins[np.searchsorted(ends, places)] = True
+        cuts = ends[begins]
+        return spliced(raw, cuts, pa.large_string()), np.searchsorted(cuts, places)
 
     def of_sign(self, sign: str) -> tuple[float, bytes]:
         """Score and ids of a sign that is no piece."""
@@ -258,35 +265,82 @@ class Lattices(dict):
         """
         lists = self.keys_of(texts)
         words = pc.dictionary_encode(lists.flatten())
-        names = words.dictionary.to_pylist()
-        known = [self[word] for word in names]
+        if not len(words):
+            return [[(0.0, b"")] for _ in range(len(texts))]
+        parts, first = self.cut(words.dictionary)
+        parts = pc.dictionary_encode(parts)
+        names = parts.dictionary.to_pylist()
+        scores, gaps, ids = self.of_parts(names)
         codes = words.indices.to_numpy(zero_copy_only=False)
-        none = np.zeros(0)
-        score = np.array([word[0] for word in known])[codes] if known else none
-        gap = np.array([word[1] for word in known])[codes] if known else none
-        ids = [word[2] for word in known]
+        part = parts.indices.to_numpy(zero_copy_only=False)
+        scores = scores[part]
+        each = scores[first[:-1]]
+        several = np.flatnonzero(np.diff(first) > 1)
+        ends = zip(first[several].tolist(), first[several + 1].tolist(), strict=True)
+        scores = scores.tolist()
+        each[several] = [sum(scores[a:b]) for a, b in ends]
+        score = each[codes]
+        gap = np.minimum.reduceat(gaps[part], first[:-1])[codes]
+        ids, places = joined(ids.take(parts.indices))
+        ids, places = joined(spliced(ids, places[first], pa.large_binary()).take(words.indices))
         cuts = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
         out = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            mine = codes[a:b].tolist()
-            whole = [ids[c] for c in mine]
+        for a, b in pairwise(cuts):
+            start, end = int(places[a]), int(places[b])
+            whole = ids[start:end].tobytes()
             total = float(score[a:b].sum())
             near = np.argsort(gap[a:b], kind="stable")[: self.best - 1].tolist()
-            choices = {i: self.best_of(names[mine[i]]) for i in sorted(near) if gap[a + i] < math.inf}
-            found = [(total, b"".join(whole))]
+            choices = {}
+            for i in sorted(near):
+                if gap[a + i] < math.inf:
+                    word = codes[a + i]
+                    choices[i] = self.best_of([names[p] for p in part[first[word] : first[word + 1]]])
+            found = [(total, whole)]
             for loss, changes in deviations(choices, self.best - 1):
-                other = list(whole)
+                other, done = [], 0
                 for place, which in changes:
-                    other[place] = choices[place][which][1]
-                found.append((total - loss, b"".join(other)))
+                    other += whole[done : places[a + place] - start], choices[place][which][1]
+                    done = places[a + place + 1] - start
+                found.append((total - loss, b"".join([*other, whole[done:]])))
             out.append(found)
         return out
 
     def decoded(self, ids: bytes) -> str:
         """The text of ids; the space sign before the first word is left off."""
-        raw = b"".join([self.table[i] for i in np.frombuffer(ids, "<u4").tolist()])
-        text = raw.decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+        return self.all_decoded([ids])[0]
+
+    def all_decoded(self, ids: list[bytes]) -> list[str]:
+        """The texts of lists of ids; the space sign before a first word is left off."""
+        numbers = np.frombuffer(b"".join(ids), "<u4")
+        raw, places = joined(self.table.take(pa.array(numbers)))
+        out = []
+        for a, b in pairwise(places[np.cumsum([0, *map(len, ids)]) // 4].tolist()):
+            text = str(raw[a:b], "utf-8", "replace")
+            out.append(text[1:] if text[:1] == " " else text)
+        return out
+
+
+def numbered(signs: set[str]) -> tuple[np.ndarray, int]:
+    """A number from 1 by code point for each of the signs, 0 for all others, and how many there are."""
+    numbers = np.zeros(sys.maxunicode + 1, np.uint32)
+    numbers[[ord(sign) for sign in signs]] = np.arange(1, len(signs) + 1)
+    return numbers, len(signs)
+
+
+def joined(values: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of large values one after the other, and where each begins and the last ends."""
+    _, places, raw = values.buffers()
+    if not len(values):
+        return memoryview(b""), np.zeros(1, np.int64)
+    places = np.frombuffer(places, np.int64)[values.offset : values.offset + len(values) + 1]
+    return memoryview(raw or b"")[places[0] : places[-1]], places - places[0]
+
+
+def spliced(raw: memoryview, places: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The values that ``joined`` takes apart."""
+    places = np.ascontiguousarray(places, np.int64)
+    buffers = [None, pa.py_buffer(places), pa.py_buffer(raw)]
+    return pa.Array.from_buffers(kind, len(places) - 1, buffers)
 
 
 def keys_of_spaced(text: str) -> list[str]:
@@ -351,7 +405,7 @@ def encode_nbest(
         for batch in sliced(batches, 1):
             found = words.of_texts(batch.column(1))
             rows = [[{"score": s, "ids": ids} for s, ids in cuts] for cuts in found]
-            decoded = [words.decoded(cuts[0][1]) for cuts in found]
+            decoded = words.all_decoded([cuts[0][1] for cuts in found])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(rows, pa.list_(cut)), pa.array(decoded, pa.string())],
                 names=["id", "nbest", "decoded"],
@@ -369,8 +423,7 @@ def decoder(model: str, ids: str) -> Column:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = lattices_of(model, BEST)
         for values in batches:
-            yield pa.array(
-                [None if v is None else words.decoded(v) for v in values.to_pylist()], pa.string()
-            )
+            texts = words.all_decoded(pc.fill_null(values, b"").to_pylist())
+            yield pa.array(texts, pa.string(), mask=~values.is_valid().to_numpy(False))
 
     return decode(F.col(ids))

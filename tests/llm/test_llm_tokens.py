@@ -1,3 +1,4 @@
+import sys
 import zlib
 
 import numpy as np
@@ -86,6 +87,40 @@ def test_nbest_is_the_best_of_all_segmentations(signs):
     assert lattice.decoded(found[0][1]) == text.replace("▁", " ")
 
 
+def test_nbest_work_grows_with_distinct_parts_of_words():
+    lattice = nbest.Lattices(PIECES, 4)
+    some = ["the", "and", "in", "of", "on", "new", "old", "one", "two", "word"]
+    some += [a + b for a in some for b in some]
+    words = [a + "日" + b for a in some for b in some]
+    texts = pa.array([" ".join(words), None, "", "a\nb", "  ▁", " ".join(words[:50])])
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        found = lattice.of_texts(texts)
+        back = lattice.all_decoded([cuts[0][1] for cuts in found])
+    finally:
+        sys.setprofile(None)
+    assert calls < len(words) / 4
+    assert back == [(t or "").replace("▁", " ") for t in texts.to_pylist()]
+    alone = [lattice.of_texts(texts.slice(i, 1))[0] for i in range(len(texts))]
+    assert found == alone
+
+
+def test_nbest_keeps_its_results_when_the_cache_turns_over(monkeypatch):
+    monkeypatch.setattr(nbest, "GENERATION", 3)
+    monkeypatch.setattr(nbest, "LISTS", 2)
+    texts = pa.array([f"some words {i} and x日y{i} of text" for i in range(40)])
+    small = nbest.Lattices(PIECES, 4)
+    found = [cuts for i in range(0, 40, 8) for cuts in small.of_texts(texts.slice(i, 8))]
+    monkeypatch.undo()
+    assert found == nbest.Lattices(PIECES, 4).of_texts(texts)
+
+
 def test_token_counts(spark, library):
     docs = spark.createDataFrame(ROWS, SCHEMA)
     got = token_counts.count_tokens(docs, PIECES, limit=100).collect()
